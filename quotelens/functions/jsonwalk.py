@@ -88,14 +88,14 @@ def object_keys(df: DataFrame, body_col: str, keep: list[str], max_depth: int =
 
 
 def key_set(body: Column) -> Column:
-    """Distinct lower-case object keys of a JSON text as an array, without a shuffle.
+    """Distinct lower-case object keys of a JSON text as an array, without a shuffle and without lambdas.
 
-    Works on the text: a key is a quoted string followed by a colon, outside of string values. String values are
-    blanked first where they contain a quote-colon pattern, and text that does not parse has no keys.
+    A key is a quoted string before a colon; the second alternative consumes string values so that their content is
+    never taken for a key. Text that does not parse has no keys.
     """
-    valid = F.try_parse_json(F.nullif(F.trim(body), F.lit(""))).isNotNull()
-    unescaped = F.regexp_replace(body, r'\\.', "_")
-    tokens = F.regexp_extract_all(unescaped, F.lit(r'"([^"]*)"(\s*:)?'), 0)
-    keys = F.filter(tokens, lambda t: t.rlike(r":$") & t.rlike(r'^"'))
-    names = F.transform(keys, lambda t: F.lower(F.regexp_extract(t, r'^"([^"]*)"\s*:$', 1)))
-    return F.when(valid, F.array_distinct(names)).otherwise(F.array().cast("array<string>"))
+    text = F.trim(body)
+    looks_json = F.substring(text, 1, 1).isin("{", "[")
+    valid = looks_json & F.try_parse_json(text).isNotNull()
+    plain = F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, r"\\.", "_")).otherwise(text)
+    names = F.regexp_extract_all(F.lower(plain), F.lit(r'"([^"]*)"\s*:|"[^"]*"'), 1)
+    return F.when(valid, F.array_except(names, F.array(F.lit("")))).otherwise(F.array().cast("array<string>"))

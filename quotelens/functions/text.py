@@ -9,14 +9,45 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+MARK = "\u0001"  # separates the words of a joined word list
+
+
 def contains_any(text: Column, tokens: list[str]) -> Column:
-    """True when any token is a substring. Null text counts as no hit."""
-    return F.coalesce(reduce(lambda a, b: a | b, [text.contains(t) for t in tokens]), F.lit(False))
+    """True when any token is a substring. Null text counts as no hit.
+
+    Long lists go through ``exists`` over a literal array: a substring search is much cheaper than a regex
+    alternation, and the generated methods stay small enough for the JIT.
+    """
+    if len(tokens) <= 2:
+        return F.coalesce(reduce(lambda a, b: a | b, [text.contains(t) for t in tokens]), F.lit(False))
+    return F.coalesce(F.exists(string_array(tokens), lambda t: F.contains(text, t)), F.lit(False))
 
 
 def hits_in(text: Column, tokens: list[str]) -> Column:
     """The tokens that are substrings of the text."""
-    return F.filter(F.array(*[F.lit(t) for t in tokens]), lambda t: F.contains(text, t))
+    return F.filter(string_array(tokens), lambda t: F.contains(text, t))
+
+
+def joined_words(words: Column) -> Column:
+    """Array of words as one text in which each word stands between marks."""
+    return F.concat(F.lit(MARK), F.array_join(words, MARK), F.lit(MARK))
+
+
+def _marked(words: list[str]) -> list[str]:
+    return [f"{MARK}{w}{MARK}" for w in words]
+
+
+def has_word(joined: Column, words: list[str]) -> Column:
+    return contains_any(joined, _marked(words))
+
+
+def count_words(joined: Column, words: list[str]) -> Column:
+    """How many of the words stand in a joined list."""
+    return F.size(hits_in(joined, _marked(words)))
+
+
+def words_found(joined: Column, words: list[str]) -> Column:
+    return F.transform(hits_in(joined, _marked(words)), lambda w: F.replace(w, F.lit(MARK), F.lit("")))
 
 
 def string_array(values: list[str]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quotelens.functions import vocab
-from quotelens.functions.text import contains_any, url_unquote
+from quotelens.functions.text import contains_any, hits_in, url_unquote
 
 
 def netloc(url: Column) -> Column:
@@ -47,9 +47,8 @@ def normalized_endpoint(url: Column) -> Column:
 def url_tokens(url: Column) -> Column:
     """Distinct letter/digit runs plus the compound hints that occur in the URL."""
     low = F.lower(F.coalesce(url, F.lit("")))
-    plain = F.filter(F.split(low, r"[^a-z0-9]+"), lambda t: t != "")
-    hints = F.filter(F.array(*[F.lit(h) for h in vocab.URL_COMPOUND_HINTS]), lambda h: F.contains(low, h))
-    return F.array_distinct(F.concat(plain, hints))
+    plain = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), 0)
+    return F.array_union(plain, hits_in(low, vocab.URL_COMPOUND_HINTS))
 
 
 def prefix_key(url: Column, segments: int = 2) -> Column:

@@ -117,8 +117,8 @@ PRICE_KEYWORD_GROUPS = [
     (r"price|preis|amount", 8),
     (r"net|netto|unit|stueck", 4),
 ]
-PRICE_NUMBER = r"\d{1,3}(?:[\.\s]\d{3})*(?:[,\.]\d{2})|\d+(?:[,\.]\d{2})"
-PRICE_NUMBER_GUARDED = r"(?<!\d)(?:\d{1,3}(?:[\.\s]\d{3})*[,\.]\d{2}|\d+[,\.]\d{2})(?!\d)"
+PRICE_NUMBER = r"\d{1,3}(?:[\.\s\u00a0]\d{3})*(?:[,\.]\d{2})|\d+(?:[,\.]\d{2})"
+PRICE_NUMBER_GUARDED = r"(?<!\d)(?:\d{1,3}(?:[\.\s\u00a0]\d{3})*[,\.]\d{2}|\d+[,\.]\d{2})(?!\d)"
 PATH_BONUS_VALUE = [
     "final_prices.total_gross_value", "final_prices.total_net_value", "total_gross_value", "total_net_value",
 ]

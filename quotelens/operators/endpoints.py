@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quotelens.functions import vocab
 from quotelens.functions.jsonwalk import key_set
-from quotelens.functions.text import contains_any, hits_in, string_array
+from quotelens.functions.text import MARK, contains_any, count_words, has_word, hits_in, joined_words, words_found
 from quotelens.functions.urls import prefix_key, url_tokens
 from quotelens.operators.skew import best_row, top_k
 
@@ -19,10 +19,6 @@ def _points(condition: Column, points: int) -> Column:
     return F.when(condition, F.lit(points)).otherwise(F.lit(0))
 
 
-def _any_key(keys: Column, wanted: list[str]) -> Column:
-    return F.arrays_overlap(keys, string_array(wanted))
-
-
 def with_evidence(traces: DataFrame) -> DataFrame:
     """Lower-case texts, JSON key sets and URL tokens that all rules share; computed once per trace."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -37,17 +33,21 @@ def with_evidence(traces: DataFrame) -> DataFrame:
         .withColumn("_pk", key_set(text("post_data")))
         .withColumn("_rk", key_set(text("response_body_preview")))
         .withColumn("_ut", url_tokens(F.col("url")))
+        .withColumn("_pw", joined_words(F.col("_pk")))
+        .withColumn("_rw", joined_words(F.col("_rk")))
+        .withColumn("_uw", joined_words(F.col("_ut")))
+        .withColumn("_words", joined_words(F.array_distinct(F.concat("_ut", "_pk", "_rk"))))
         .withColumn("_bare_price", F.contains(F.col("_u"), F.lit("premium-filecheck-price")) & F.col("_prev").rlike(vocab.BARE_PRICE_BODY))
     )
 
 
 def role_scores(rules: list[tuple[str, int, str, list[str]]] | None = None) -> dict[str, Column]:
     """Sum of the matching rules per role, over a frame from ``with_evidence``."""
-    has_payload = F.size("_pk") > 0
+    has_payload = F.col("_pw") != MARK + MARK
     where = {
         "url": lambda t: contains_any(F.col("_u"), t),
-        "payload": lambda t: _any_key(F.col("_pk"), t),
-        "response": lambda t: has_payload & _any_key(F.col("_rk"), t),
+        "payload": lambda t: has_word(F.col("_pw"), t),
+        "response": lambda t: has_payload & has_word(F.col("_rw"), t),
         "preview": lambda t: has_payload & contains_any(F.col("_prev"), t),
     }
     terms: dict[str, list[Column]] = {r: [] for r in vocab.ROLES}
@@ -106,14 +106,13 @@ def endpoint_score() -> Column:
 
 def classify_family(d: DataFrame) -> DataFrame:
     """Adds ``request_family`` from URL tokens, JSON keys and body markers."""
-    tokens = F.array_distinct(F.concat("_ut", "_pk", "_rk"))
-    hits = {f: F.size(F.array_intersect(tokens, string_array(t))) * 2 for f, t in vocab.FAMILY_TOKENS.items()}
+    hits = {f: count_words(F.col("_words"), t) * 2 for f, t in vocab.FAMILY_TOKENS.items()}
     hits["pricing_pipeline"] += _points(contains_any(F.col("_prev"), ["final_prices", "total_gross", "total_net"]), 3)
     hits["quantity_pipeline"] += _points(contains_any(F.col("_prev"), ["price_matrix", "pricescale", "quantity"]), 2)
     best = F.array_max(
         F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("o"), F.lit(f).alias("f")) for i, (f, s) in enumerate(hits.items())])
     )
-    d = d.withColumn("_best", best).withColumn("infra_hits", F.sort_array(F.array_intersect("_ut", string_array(vocab.INFRASTRUCTURE))))
+    d = d.withColumn("_best", best).withColumn("infra_hits", F.sort_array(words_found(F.col("_uw"), vocab.INFRASTRUCTURE)))
     family = (
         F.when((F.size("infra_hits") > 0) & (F.col("_best.s") < 4), "infrastructure")
         .when(F.col("_best.s") <= 0, "unknown")
@@ -124,24 +123,23 @@ def classify_family(d: DataFrame) -> DataFrame:
 
 def explanation_columns(d: DataFrame) -> DataFrame:
     """Penalties, payload signals and the signature used to relate endpoints."""
-    has = lambda keys, words: _any_key(F.col(keys), words)
+    has = lambda joined, words: has_word(F.col(joined), words)
     prev = F.col("_prev")
     d = (
         d.withColumn("noise_hits", F.slice(hits_in(F.col("_u"), vocab.URL_NOISE), 1, 8))
         .withColumn("has_post_data", F.coalesce("post_data", F.lit("")) != "")
         .withColumn("payload_key_count", F.size("_pk"))
         .withColumn("response_key_count", F.size("_rk"))
-        .withColumn("payload_has_price", has("_pk", vocab.PAYLOAD_PRICE_KEYS))
-        .withColumn("response_has_price", has("_rk", vocab.PAYLOAD_PRICE_KEYS) | contains_any(prev, vocab.PAYLOAD_PRICE_KEYS))
-        .withColumn("payload_has_quantity", has("_pk", vocab.PAYLOAD_QUANTITY_KEYS))
-        .withColumn("response_has_quantity", has("_rk", vocab.PAYLOAD_QUANTITY_KEYS) | contains_any(prev, vocab.PAYLOAD_QUANTITY_KEYS))
+        .withColumn("payload_has_price", has("_pw", vocab.PAYLOAD_PRICE_KEYS))
+        .withColumn("response_has_price", has("_rw", vocab.PAYLOAD_PRICE_KEYS) | contains_any(prev, vocab.PAYLOAD_PRICE_KEYS))
+        .withColumn("payload_has_quantity", has("_pw", vocab.PAYLOAD_QUANTITY_KEYS))
+        .withColumn("response_has_quantity", has("_rw", vocab.PAYLOAD_QUANTITY_KEYS) | contains_any(prev, vocab.PAYLOAD_QUANTITY_KEYS))
         .withColumn("response_is_json", F.contains(F.col("_rtype"), F.lit("json")))
         .withColumn("url_prefix", prefix_key(F.col("url")))
     )
-    tokens = F.array_distinct(F.concat("_ut", "_pk", "_rk"))
     found = []
     for group, words in vocab.SEMANTIC.items():
-        exact = F.array_intersect(tokens, string_array(words))
+        exact = words_found(F.col("_words"), words)
         hit = F.when(F.size(exact) > 0, exact).otherwise(hits_in(prev, words))
         d = d.withColumn(f"_sem_{group}", hit)
         found.append(f"_sem_{group}")
@@ -284,7 +282,7 @@ def endpoint_candidates(scored: DataFrame, limit: int = 30) -> DataFrame:
 def discovery_rollup(scored: DataFrame) -> DataFrame:
     """Flags and signal sums per run, with partial aggregation only."""
     u = F.col("_u")
-    has = lambda words: _any_key(F.col("_pk"), words)
+    has = lambda words: has_word(F.col("_pw"), words)
     payload = (
         F.col("has_post_data").cast("int") + has(vocab.PAYLOAD_PROPERTY_KEYS).cast("int")
         + has(vocab.PAYLOAD_PRODUCT_KEYS).cast("int") + has(["quantity", "qty", "auflage", "pricescale"]).cast("int")

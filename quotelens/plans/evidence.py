@@ -143,7 +143,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived view as a DataFrame: every view is ``SELECT expressions FROM one table``."""
     select, source = re.fullmatch(r"\s*SELECT\s+(.*)\s+FROM\s+(\w+)\s*", spark_sql_text(VIEWS[name]), re.S).groups()
-    return table(spark, sf_dir, source).selectExpr(*_split_columns(select))
+    return spread(table(spark, sf_dir, source)).selectExpr(*_split_columns(select))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table that arrives in fewer partitions than there are cores; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
 
 
 def _split_columns(select: str) -> list[str]:

@@ -243,7 +243,8 @@ def derived_gross_candidates(cands: DataFrame, rates: DataFrame, keys: list[str]
     biggest = once.groupBy(*keys).agg(F.max("value").alias("_max"))
     lead = top_k(once, keys, [F.desc("score"), F.desc("value")], seeds, "_rn")
     d = lead.join(biggest, keys).join(rates, keys)
-    gross = F.round(F.col("value") * (1 + F.col("vat_percent") / 100.0), 2)
+    rate = F.lit(1).cast("decimal(4,0)") + F.col("vat_percent").cast("decimal(6,2)") * F.lit(0.01).cast("decimal(3,2)")
+    gross = F.round(F.col("value").cast("decimal(18,2)") * rate, 2).cast("double")
     d = d.filter(F.col("value") >= F.col("_max") * near).withColumn("_g", gross).filter(F.abs(F.col("_g") - F.col("value")) >= 0.01)
     return d.select(
         *keys, F.col("_g").alias("value"), F.greatest(F.lit(1), F.col("score") - 2).alias("score"),

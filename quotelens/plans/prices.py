@@ -152,12 +152,10 @@ def named_total_prices(spark, sf_dir):
 @query("response_price_matrix", with_views(["traces"], """
 WITH i AS (SELECT trace_idx, f.key AS field, it.key AS row_no, it.value AS row FROM traces, LATERAL json_each(CASE WHEN json_valid(response_body_preview) AND response_body_preview LIKE '{%' THEN response_body_preview ELSE '{}' END) f,
   LATERAL json_each(CASE WHEN f.type = 'ARRAY' THEN f.value ELSE '[]' END) it)
-SELECT trace_idx, field, CAST(row_no AS INTEGER) AS row_no, row->>'$.quantity' AS quantity, row->>'$.price' AS price FROM i WHERE (row->>'$.quantity') IS NOT NULL AND (row->>'$.price') IS NOT NULL"""))
+SELECT trace_idx, field, CAST(row_no AS INTEGER) AS row_no, row->>'$.quantity' AS quantity, CAST(row->>'$.price' AS DOUBLE) AS price FROM i WHERE (row->>'$.quantity') IS NOT NULL AND (row->>'$.price') IS NOT NULL"""))
 def response_price_matrix(spark, sf_dir):
     d = pr.matrix_rows(view(spark, sf_dir, "traces"), ["trace_idx"], "response_body_preview")
-    return d.withColumn("price", F.regexp_replace(F.col("price"), r"(\.\d*?)0+$", "$1")).withColumn(
-        "price", F.regexp_replace("price", r"\.$", ".0")
-    ) if False else d
+    return d.withColumn("price", F.col("price").try_cast("double"))
 
 
 @query("adapter_declared_prices", with_views(["traces"], f"""
@@ -222,7 +220,7 @@ def vat_rates_by_run(spark, sf_dir):
 @query("vat_gross_candidates", with_views(["price_lines"], f"""WITH {VAT_CTE}, {SELECTED_CTE},
 on1 AS (SELECT run_id, value, max(score) AS score, arg_max(source, (score, source)) AS source FROM sel WHERE value > 0 GROUP BY run_id, value),
 ld AS (SELECT *, max(value) OVER (PARTITION BY run_id) AS mx, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, value DESC) AS rn FROM on1),
-g AS (SELECT run_id, round(value * (1 + vat_percent / 100.0), 2) AS gross, value, greatest(1, score - 2) AS score, printf('derived_vat:%.2f%%:', vat_percent) || source AS source
+g AS (SELECT run_id, CAST(round(CAST(value AS DECIMAL(18,2)) * (1 + CAST(vat_percent AS DECIMAL(6,2)) * 0.01), 2) AS DOUBLE) AS gross, value, greatest(1, score - 2) AS score, printf('derived_vat:%.2f%%:', vat_percent) || source AS source
   FROM ld JOIN vat USING (run_id) WHERE rn <= 6 AND value >= mx * 0.6)
 SELECT run_id, gross AS value, score, source FROM g WHERE abs(gross - value) >= 0.01"""))
 def vat_gross_candidates(spark, sf_dir):

@@ -125,6 +125,43 @@ VIEWS: dict[str, str] = {
                CASE p_partkey % 3 WHEN 0 THEN 'radio' WHEN 1 THEN 'select' ELSE 'checkbox' END AS control_type,
                p_size AS size_no, p_retailprice AS price
         FROM part""",
+    # requested options: several values per snapshot
+    "requests": """
+        SELECT o_orderkey AS unit_no, 'Brand#' || CAST(1 + o_custkey % 25 AS STRING) AS snapshot_id,
+               'shop' || CAST(o_custkey % 7 AS STRING) AS site,
+               CASE o_orderkey % 4 WHEN 0 THEN 'size' WHEN 1 THEN 'material' WHEN 2 THEN 'umschlag' ELSE 'promo pages' END AS key,
+               CASE o_orderkey % 9 WHEN 0 THEN 'Small Ring' WHEN 1 THEN 'red-widget' WHEN 2 THEN 'blue' WHEN 3 THEN 'OLD  gear'
+                    WHEN 4 THEN 'anvil' WHEN 5 THEN CAST(1 + o_orderkey % 50 AS STRING) WHEN 6 THEN 'gear hot'
+                    WHEN 7 THEN 'rod' ELSE 'unobtainium' END AS value
+        FROM orders""",
+    # option markup, plain and inside JSON text
+    "option_html": """
+        SELECT p_partkey AS part_no, p_brand AS snapshot_id,
+               CASE WHEN p_partkey % 2 = 0
+                 THEN '<form><input type="radio" class="x" data-varindex="V' || CAST(p_partkey AS STRING) || '" name="input_var_ZB_1_' || CAST(1 + p_partkey % 3 AS STRING) || '" value="' || p_name || '"' || CASE WHEN p_partkey % 5 = 0 THEN ' checked' ELSE '' END || '><input type="hidden" name="sid" value="s' || CAST(p_size AS STRING) || '"></form>'
+                 ELSE chr(92) || 'u003cinput value=' || chr(92) || '"' || p_name || chr(92) || '" name=' || chr(92) || '"input_var_ZB_1_' || CAST(1 + p_partkey % 3 AS STRING) || chr(92) || '" data-varindex=' || chr(92) || '"V' || CAST(p_partkey AS STRING) || chr(92) || '"' || chr(92) || 'u003e' END AS html
+        FROM part""",
+    # sideloaded value map entries
+    "value_map": """
+        SELECT 'shop' || CAST(p_partkey % 6 AS STRING) AS site, 'p' || CAST(p_size % 3 AS STRING) AS property_id,
+               CASE p_partkey % 3 WHEN 0 THEN 'material' WHEN 1 THEN 'format' ELSE 'binding' END AS canonical_key,
+               p_type AS source_label, CAST(p_partkey AS STRING) AS backend_id,
+               p_name || ' ' || lower(p_type) || ' ' || CAST(p_size AS STRING) AS label,
+               CASE p_partkey % 5 WHEN 0 THEN 'ui_only' WHEN 1 THEN 'partial' ELSE 'confirmed' END AS confidence
+        FROM part""",
+    # value-map requests
+    "map_requests": """
+        SELECT o_orderkey AS unit_no, 'shop' || CAST(o_custkey % 7 AS STRING) AS site,
+               CASE o_orderkey % 4 WHEN 0 THEN 'material' WHEN 1 THEN 'format' WHEN 2 THEN 'binding' ELSE 'finishing' END AS canonical_key,
+               CASE o_orderkey % 5 WHEN 0 THEN 'Small  Ring' WHEN 1 THEN 'red widget promo ' || CAST(o_orderkey % 50 AS STRING) WHEN 2 THEN 'gear'
+                    WHEN 3 THEN 'blue anvil large ' || CAST(1 + o_orderkey % 50 AS STRING) ELSE 'none such' END AS value
+        FROM orders""",
+    # captured configurator posts with the encoded dependency link
+    "form_posts": """
+        SELECT o_orderkey AS post_no, 'Brand#' || CAST(1 + o_custkey % 25 AS STRING) AS snapshot_id,
+               'sku=4&input_var_ZB_1_1=' || CAST(25 * (1 + o_orderkey % 12) AS STRING) || '&input_var_ZB_1_2=red+widget&input_var_ZB_1_3=&note=a%20b&SetLink=https%253A%252F%252Fs.example.com%252Fc%253Fdepvar_index_setparent%253D%253CAG'
+                 || CAST(o_orderkey % 9 AS STRING) || '%253E%253CA' || CAST(o_orderkey % 90 AS STRING) || '%253E%2526depvar_index_set_1%253D%253CAG7%253E%253CA8%253E%2526x%253D1' AS post_data
+        FROM orders""",
 }
 
 

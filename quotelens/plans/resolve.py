@@ -157,7 +157,8 @@ def value_map_summary(spark, sf_dir):
 
 
 @query("learned_rule_application", with_views(["units"], """
-WITH r AS (SELECT site_name AS site, quantity AS q, CAST(CAST(quantity AS INTEGER) * CASE WHEN min(unit_no) % 2 = 0 THEN 2 ELSE 1 END AS VARCHAR) AS acc FROM units WHERE state = 'completed' GROUP BY ALL)
+WITH g AS (SELECT site_name AS site, quantity AS q, min(unit_no) AS m FROM units WHERE state = 'completed' GROUP BY 1, 2),
+r AS (SELECT site, q, CAST(CAST(q AS INTEGER) * CASE WHEN m % 2 = 0 THEN 2 ELSE 1 END AS VARCHAR) AS acc FROM g)
 SELECT unit_no, coalesce(CASE WHEN acc <> quantity THEN acc END, quantity) AS effective_value, coalesce(acc <> quantity, false) AS rule_applied FROM units u LEFT JOIN r ON r.site = u.site_name AND r.q = u.quantity"""))
 def learned_rule_application(spark, sf_dir):
     u = view(spark, sf_dir, "units")

@@ -83,7 +83,7 @@ def _set_paths(template, paths, values) -> Column:
         fields[head] = placed(fields.get(head), rest, value)
         return fields
 
-    def bodies(template: pd.Series, paths: pd.Series, values: pd.Series) -> pd.Series:
+    def bodies(template, paths, values):
         out = []
         for body, where, what in zip(template, paths, values, strict=True):
             node = json.loads(body) if body else {}
@@ -93,6 +93,7 @@ def _set_paths(template, paths, values) -> Column:
             out.append(json.dumps(node, separators=(",", ":"), ensure_ascii=False))
         return pd.Series(out, dtype="object")
 
+    bodies.__annotations__ = {"template": pd.Series, "paths": pd.Series, "values": pd.Series, "return": pd.Series}
     return F.pandas_udf(bodies, "string")(template, paths, values)
 
 

@@ -1,0 +1 @@
+"""Live monitors over attempt streams."""

@@ -20,7 +20,9 @@ def contains_any(text: Column, tokens: list[str]) -> Column:
     """
     if len(tokens) <= 2:
         return F.coalesce(reduce(lambda a, b: a | b, [text.contains(t) for t in tokens]), F.lit(False))
-    return F.coalesce(F.exists(string_array(tokens), lambda t: F.contains(text, t)), F.lit(False))
+    # the one-element array binds the text, so a computed text is evaluated once and not per token
+    hit = F.exists(F.array(text), lambda x: F.exists(string_array(tokens), lambda t: F.contains(x, t)))
+    return F.coalesce(hit, F.lit(False))
 
 
 def hits_in(text: Column, tokens: list[str]) -> Column:
@@ -97,20 +99,31 @@ def token_set(normalised: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normalised, " "), lambda t: t != ""))
 
 
-def match_score_normalised(cand: Column, want: Column) -> Column:
-    """Similarity of two normalised texts: 30 equal, 20 contained, 24/16 without spaces, else shared tokens."""
-    cand_c, want_c = F.replace(cand, F.lit(" "), F.lit("")), F.replace(want, F.lit(" "), F.lit(""))
-    overlap = F.size(F.array_intersect(token_set(cand), token_set(want)))
+def match_parts(normalised: Column) -> Column:
+    """What a comparison needs of a normalised text, computed once per text: plain, without spaces, marked words."""
+    return F.struct(
+        normalised.alias("n"), F.replace(normalised, F.lit(" "), F.lit("")).alias("c"), joined_words(token_set(normalised)).alias("j"),
+        F.transform(token_set(normalised), lambda t: F.concat(F.lit(MARK), t, F.lit(MARK))).alias("w"),
+    )
+
+
+def match_score_parts(cand: Column, want: Column) -> Column:
+    """Similarity of two texts given by ``match_parts``: 30 equal, 20 contained, 24/16 without spaces, else shared words."""
+    shared = F.size(F.filter(want["w"], lambda t: F.contains(cand["j"], t)))
     return (
-        F.when((F.coalesce(cand, F.lit("")) == "") | (F.coalesce(want, F.lit("")) == ""), F.lit(0))
-        .when(cand == want, F.lit(30))
-        .when(F.contains(want, cand) | F.contains(cand, want), F.lit(20))
-        .when(cand_c == want_c, F.lit(24))
-        .when(F.contains(want_c, cand_c) | F.contains(cand_c, want_c), F.lit(16))
-        .otherwise(F.least(F.lit(14), overlap * 4))
+        F.when((F.coalesce(cand["n"], F.lit("")) == "") | (F.coalesce(want["n"], F.lit("")) == ""), F.lit(0))
+        .when(cand["n"] == want["n"], F.lit(30))
+        .when(F.contains(want["n"], cand["n"]) | F.contains(cand["n"], want["n"]), F.lit(20))
+        .when(cand["c"] == want["c"], F.lit(24))
+        .when(F.contains(want["c"], cand["c"]) | F.contains(cand["c"], want["c"]), F.lit(16))
+        .otherwise(F.least(F.lit(14), shared * 4))
     )
 
 
+def match_score_normalised(cand: Column, want: Column) -> Column:
+    return match_score_parts(match_parts(cand), match_parts(want))
+
+
 def match_score(candidate: Column, desired: Column) -> Column:
     return match_score_normalised(match_text(candidate), match_text(desired))
 

@@ -117,6 +117,10 @@ PRICE_KEYWORD_GROUPS = [
     (r"price|preis|amount", 8),
     (r"net|netto|unit|stueck", 4),
 ]
+# literal words without which a group cannot match
+PRICE_KEYWORD_GATES = [
+    ["finalprice", "endpreis", "gesamtpreis", "grandtotal"], ["gross", "brutto"], ["total", "sum"], ["price", "preis", "amount"], ["net", "unit", "stueck"],
+]
 PRICE_NUMBER = r"\d{1,3}(?:[\.\s\u00a0]\d{3})*(?:[,\.]\d{2})|\d+(?:[,\.]\d{2})"
 PRICE_NUMBER_GUARDED = r"(?<!\d)(?:\d{1,3}(?:[\.\s\u00a0]\d{3})*[,\.]\d{2}|\d+[,\.]\d{2})(?!\d)"
 PATH_BONUS_VALUE = [

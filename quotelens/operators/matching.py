@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quotelens.functions import vocab
 from quotelens.functions.text import MARK, contains_any, has_word, joined_words
 from quotelens.functions.urls import normalized_endpoint, normalized_path, path_tokens
-from quotelens.operators.skew import best_row
+from quotelens.operators.skew import best_row, salted_join
 
 SEMANTIC_PQ = sorted({*vocab.SEMANTIC["pricing"], *vocab.SEMANTIC["quantity"]})
 SEMANTIC_C = vocab.SEMANTIC["config"]
@@ -28,12 +28,13 @@ def mentions_any(tokens: list[str]) -> Column:
 def trace_profiles(traces: DataFrame) -> DataFrame:
     """Distinct (run, URL shape, transport evidence) with the earliest trace of each."""
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    words = joined_words(path_tokens(F.col("url")))
     d = traces.filter(F.trim(F.coalesce("url", F.lit(""))) != "").select(
         "run_id", "trace_idx", normalized_endpoint(F.col("url")).alias("t_endpoint"), normalized_path(F.col("url")).alias("t_path"),
         F.upper(F.coalesce("method", F.lit("GET"))).alias("t_method"), low("resource_type").isin("xhr", "fetch").alias("t_xhr"),
         F.coalesce("status", F.lit(0)).alias("t_status"), F.contains(low("response_content_type"), F.lit("json")).alias("t_rjson"),
         F.contains(low("request_content_type"), F.lit("json")).alias("t_qjson"), (F.coalesce("post_data", F.lit("")) != "").alias("t_body"),
-        (F.trim(F.coalesce("response_body_preview", F.lit(""))) != "").alias("t_preview"), mentions_any(SEMANTIC_PQ).alias("t_pq"), mentions_any(SEMANTIC_C).alias("t_c"),
+        (F.trim(F.coalesce("response_body_preview", F.lit(""))) != "").alias("t_preview"), (mentions_any(SEMANTIC_PQ) | has_word(words, SEMANTIC_PQ)).alias("t_pq"), (mentions_any(SEMANTIC_C) | has_word(words, SEMANTIC_C)).alias("t_c"),
     )
     keys = [c for c in d.columns if c != "trace_idx"]
     return d.groupBy(*keys).agg(F.min("trace_idx").alias("trace_idx"))
@@ -47,9 +48,12 @@ def match_traces(endpoints: DataFrame, traces: DataFrame) -> DataFrame:
     e = endpoints.select("run_id", "endpoint").distinct().filter(F.trim(F.coalesce("endpoint", F.lit(""))) != "").select(
         "run_id", "endpoint", normalized_endpoint(F.col("endpoint")).alias("e_endpoint"), normalized_path(F.col("endpoint")).alias("e_path"), path_tokens(F.col("endpoint")).alias("e_tokens")
     )
-    d = trace_profiles(traces).join(e, "run_id")
+    e_words = joined_words(F.col("e_tokens"))
+    e = e.withColumn("e_pq", has_word(e_words, SEMANTIC_PQ)).withColumn("e_c", has_word(e_words, SEMANTIC_C)).withColumn("e_last", F.substring_index("e_path", "/", -1))
+    p = trace_profiles(traces).withColumn("t_last", F.substring_index("t_path", "/", -1))
+    d = salted_join(p, e, ["run_id"], F.hash("t_path", "t_status"), salts=4)
     t_tokens = F.filter(F.split("t_path", "/"), lambda s: s != "")
-    eb, tb = F.substring_index("e_path", "/", -1), F.substring_index("t_path", "/", -1)
+    eb, tb = F.col("e_last"), F.col("t_last")
     both = (F.col("e_path") != "") & (F.col("t_path") != "")
     prefix = both & (F.col("t_path").startswith(F.col("e_path")) | F.col("e_path").startswith(F.col("t_path")))
     inside = (eb != "") & (tb != "") & (F.contains(eb, tb) | F.contains(tb, eb))
@@ -77,10 +81,9 @@ def match_traces(endpoints: DataFrame, traces: DataFrame) -> DataFrame:
     d = d.withColumn("_c", base)
     for step in steps:
         d = d.withColumn("_c", step(F.col("_c")))
-    words = joined_words(F.array_union("e_tokens", t_tokens))
     flag = lambda name, points: F.when(F.col(name), points).otherwise(0)
     bonus = (
-        F.when(F.col("t_pq") | has_word(words, SEMANTIC_PQ), 2).otherwise(0) + F.when(F.col("t_c") | has_word(words, SEMANTIC_C), 1).otherwise(0)
+        F.when(F.col("t_pq") | F.col("e_pq"), 2).otherwise(0) + F.when(F.col("t_c") | F.col("e_c"), 1).otherwise(0)
         + F.when(F.col("t_method") == "POST", 3).otherwise(0) + flag("t_xhr", 2) + flag("t_rjson", 2) + flag("t_qjson", 1)
         + F.when(F.col("t_status").between(200, 299), 1).otherwise(0) + flag("t_body", 2)
     )

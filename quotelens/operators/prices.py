@@ -64,26 +64,25 @@ def group_priority(group: Column) -> Column:
 
 # ---- candidates from text -----------------------------------------------------------------------------------------------
 
-def _patterns() -> list[tuple[str, int, int, str]]:
-    """(pattern, number group, score, source suffix) of the keyword rules."""
-    out = []
-    for words, score in vocab.PRICE_KEYWORD_GROUPS:
-        out.append((f"(?is)({words}).{{0,60}}?({vocab.PRICE_NUMBER})", 2, score, "kw_forward"))
-        out.append((f"(?is)({vocab.PRICE_NUMBER}).{{0,40}}?({words})", 1, max(1, score - 1), "kw_reverse"))
-    return out
-
-
 def keyword_candidates(text: Column, prefix: Column, extra: Column | None = None) -> Column:
-    """Array of candidates near price words or a currency sign."""
+    """Array of candidates near price words or a currency sign. A group's patterns run only where a word of it occurs."""
     bonus = F.lit(0) if extra is None else extra
+    low = F.lower(text)
+    none = F.array().cast("array<string>")
 
     def rows(numbers: Column, score: int, suffix: str) -> Column:
         found = F.filter(F.transform(numbers, parse_price), lambda v: v.isNotNull())
         return F.transform(found, lambda v: _candidate(v, F.lit(score) + bonus, F.concat(prefix, F.lit(f":{suffix}"))))
 
-    parts = [rows(F.regexp_extract_all(text, F.lit(p), g), score, suffix) for p, g, score, suffix in _patterns()]
-    currency = f"(?i)(?:€|eur)\\s*(?:{vocab.PRICE_NUMBER})|(?:{vocab.PRICE_NUMBER})\\s*(?:€|eur)"
-    hits = F.regexp_extract_all(text, F.lit(currency), 0)
+    parts = []
+    for (words, score), gate in zip(vocab.PRICE_KEYWORD_GROUPS, vocab.PRICE_KEYWORD_GATES, strict=True):
+        present = reduce(lambda a, b: a | b, [F.contains(low, F.lit(g)) for g in gate])
+        ahead = F.regexp_extract_all(low, F.lit(f"(?s)({words}).{{0,60}}?({vocab.PRICE_NUMBER})"), 2)
+        behind = F.regexp_extract_all(low, F.lit(f"(?s)({vocab.PRICE_NUMBER}).{{0,40}}?({words})"), 1)
+        parts.append(rows(F.when(present, ahead).otherwise(none), score, "kw_forward"))
+        parts.append(rows(F.when(present, behind).otherwise(none), max(1, score - 1), "kw_reverse"))
+    currency = f"(?:€|eur)\\s*(?:{vocab.PRICE_NUMBER})|(?:{vocab.PRICE_NUMBER})\\s*(?:€|eur)"
+    hits = F.when(F.contains(low, F.lit("€")) | F.contains(low, F.lit("eur")), F.regexp_extract_all(low, F.lit(currency), 0)).otherwise(none)
     parts.append(rows(F.transform(hits, lambda h: F.regexp_extract(h, vocab.PRICE_NUMBER, 0)), 7, "currency"))
     return F.concat(*parts)
 

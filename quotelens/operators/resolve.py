@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelens.functions import vocab
-from quotelens.functions.text import compact_key, label_key, loose_key, match_score_normalised, match_text, token_set, value_equals
-from quotelens.operators.skew import best_row, top_k
+from quotelens.functions.text import (
+    compact_key, label_key, loose_key, match_parts, match_score_normalised, match_score_parts, match_text, token_set, value_equals,
+)
+from quotelens.operators.skew import best_row, salted_join, top_k
 
 # Key families of request paths, in order.
 CANONICAL_KEYS = {
@@ -70,19 +72,26 @@ def match_catalog(requests: DataFrame, options: DataFrame, scope: str, texts: li
     no_matching_group, group_label, matched_label, scores.
     """
     texts = texts or ["visible_label", "visible_value"]
-    want = requests.select(scope, "key", "value").distinct().withColumn("_want", match_text(F.col("value")))
+    want = requests.select(scope, "key", "value").distinct().withColumn("_want", match_parts(match_text(F.col("value"))))
     want = want.withColumn("_aliases", key_aliases(F.col("key")))
-    opt = options.select(scope, "group_ord", "group_label", "option_ord", "visible_label", *[match_text(F.col(t)).alias(f"_t{i}") for i, t in enumerate(texts)])
+    cols = [f"_t{i}" for i in range(len(texts))]
+    opt = options.select(scope, "group_ord", "option_ord", "visible_label", *[match_text(F.col(t)).alias(c) for t, c in zip(texts, cols, strict=True)])
     # labels repeat inside a group: score each distinct text combination once
-    lab = opt.groupBy(scope, "group_ord", *[f"_t{i}" for i in range(len(texts))]).agg(F.min_by(F.struct("option_ord", "visible_label"), "option_ord").alias("_o"))
-    lab = lab.select(scope, "group_ord", *[f"_t{i}" for i in range(len(texts))], "_o.option_ord", "_o.visible_label")
-    pair = want.select(scope, "key", "value", "_want").join(lab, scope)
-    score = F.greatest(F.lit(0), *[match_score_normalised(F.col(f"_t{i}"), F.col("_want")) for i in range(len(texts))])
-    best = best_row(pair.withColumn("_vs", score), [scope, "key", "value", "group_ord"], [F.col("_vs"), -F.col("option_ord")], ["_vs", "option_ord", "visible_label"])
-    groups = options.groupBy(scope, "group_ord").agg(F.min("group_label").alias("group_label")).withColumn("_g", match_text(F.col("group_label")))
-    keyed = want.select(scope, "key", "value", F.explode("_aliases").alias("_a")).join(groups, scope)
-    alias_score = match_score_normalised(F.col("_g"), F.col("_a"))
-    gs = keyed.groupBy(scope, "key", "value", "group_ord", "group_label").agg(F.max(alias_score).alias("_as"))
+    lab = opt.groupBy(scope, "group_ord", *cols).agg(F.min_by(F.struct("option_ord", "visible_label"), "option_ord").alias("_o"))
+    lab = lab.select(scope, "group_ord", *[match_parts(F.col(c)).alias(c) for c in cols], "_o.option_ord", "_o.visible_label")
+    # distinct requests of a scope are spread over salts, the scope's labels are copied to each
+    pair = salted_join(want.select(scope, "key", "value", "_want"), lab, [scope], F.hash("key", "value"))
+    score = F.greatest(F.lit(0), *[match_score_parts(F.col(c), F.col("_want")) for c in cols])
+    # score and option order packed into one number: the aggregate stays a hash aggregate without a sort
+    top = 1 << 40
+    packed = score.cast("bigint") * top + (F.lit(top - 1) - F.col("option_ord"))
+    best = pair.withColumn("_p", packed).filter(F.col("_p") >= top).groupBy(scope, "key", "value", "group_ord").agg(F.max("_p").alias("_p"))
+    best = best.withColumn("_vs", F.floor(F.col("_p") / top).cast("int")).withColumn("option_ord", F.lit(top - 1) - F.col("_p") % top)
+    best = best.join(lab.select(scope, "group_ord", "option_ord", "visible_label").distinct(), [scope, "group_ord", "option_ord"], "left").drop("_p")
+    groups = options.groupBy(scope, "group_ord").agg(F.min("group_label").alias("group_label")).withColumn("_g", match_parts(match_text(F.col("group_label"))))
+    alias = want.select(scope, "key", F.explode("_aliases").alias("_a")).distinct().withColumn("_a", match_parts(F.col("_a")))
+    by_key = alias.join(groups, scope).groupBy(scope, "key", "group_ord", "group_label").agg(F.max(match_score_parts(F.col("_g"), F.col("_a"))).alias("_as"))
+    gs = want.select(scope, "key", "value").join(by_key, [scope, "key"])
     d = gs.join(best, [scope, "key", "value", "group_ord"], "left").withColumn("_vs", F.coalesce("_vs", F.lit(0)))
     base = F.when(F.col("_as") > 0, F.col("_as") + 6).otherwise(0)
     total = F.when((base == 0) & (F.col("_vs") >= 20), 8).when((base > 0) & (F.col("_vs") > 0), base + F.least(F.lit(10), F.floor(F.col("_vs") / 3))).otherwise(base)

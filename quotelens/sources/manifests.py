@@ -17,7 +17,7 @@ RESERVED = [
 
 def normalize_key(name: str) -> str:
     """Column header key: lower, dashes and blanks to underscores."""
-    return "_".join(name.replace("﻿", "").strip().lower().replace("-", "_").split())
+    return "_".join(name.replace("\ufeff", "").strip().lower().replace("-", "_").split())
 
 
 def read_json_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -46,9 +46,25 @@ def _json_rows(rows: DataFrame) -> DataFrame:
 
 
 def text_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 where every line is valid UTF-8, else the Windows code page (which reads any byte)."""
+    """UTF-8 where every line is valid UTF-8, else Latin-1 (which reads any byte; see ``windows_text``)."""
     ok = spark.read.text(path).agg(F.min(F.is_valid_utf8("value")).alias("ok")).first()["ok"]
-    return "UTF-8" if ok in (True, None) else "windows-1252"
+    return "UTF-8" if ok in (True, None) else "ISO-8859-1"
+
+
+def _windows_table() -> dict[int, str]:
+    """Control characters of a Latin-1 reading -> the signs the Windows code page has there."""
+    table = {}
+    for byte in range(0x80, 0xA0):
+        sign = bytes([byte]).decode("cp1252", "ignore")
+        if sign:
+            table[byte] = sign
+    return table
+
+
+def windows_text(value: Column) -> Column:
+    """Signs of the Windows code page restored in a Latin-1 reading."""
+    table = _windows_table()
+    return F.translate(value, "".join(map(chr, table)), "".join(table.values()))
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
@@ -62,10 +78,15 @@ def read_csv_manifest(
     spark: SparkSession, path: str, default_url: str | None = None, default_site: str | None = None, default_product: str | None = None
 ) -> DataFrame:
     """CSV rows to units. ``option.X`` and all other non-reserved columns become options, over ``options_json``."""
-    raw = spark.read.option("header", True).option("sep", sniff_delimiter(spark, path)).option("encoding", text_encoding(spark, path)).option("multiLine", True).option("escape", '"').csv(path)
-    names = [c.replace("﻿", "").strip() for c in raw.columns]
+    encoding = text_encoding(spark, path)
+    reader = spark.read.option("header", True).option("sep", sniff_delimiter(spark, path)).option("encoding", encoding)
+    raw = reader.option("multiLine", True).option("escape", '"').csv(path)
+    latin = encoding != "UTF-8"
+    names = [(c.translate(_windows_table()) if latin else c).replace("\ufeff", "").strip() for c in raw.columns]
     # dots and blanks in headers: work by position
     d = raw.toDF(*[f"c{i}" for i in range(len(names))])
+    if latin:
+        d = d.select(*[windows_text(F.col(c)).alias(c) for c in d.columns])
     by_key: dict[str, str] = {}
     for i, n in enumerate(names):
         by_key.setdefault(normalize_key(n), f"c{i}")

@@ -39,14 +39,18 @@ def canonical_key(token: Column) -> Column:
 
 def key_aliases(key: Column, groups: dict[str, list[str]] | None = None) -> Column:
     """The key itself and every alias of each family it belongs to, normalised for matching."""
-    norm = match_text(key)
-    parts = [F.array(norm)]
     none = F.array().cast("array<string>")
-    for fam, words in (groups or vocab.KEY_ALIASES).items():
-        member = reduce(lambda a, b: a | b, [F.contains(norm, F.lit(w)) for w in words]) | (norm == fam)
-        plain = sorted({w.replace("_", " ") for w in [fam, *words]})
-        parts.append(F.when(member, F.array(*[F.lit(w) for w in plain])).otherwise(none))
-    return F.filter(F.array_distinct(F.concat(*parts)), lambda a: a != "")
+
+    def expand(norm: Column) -> Column:
+        parts = [F.array(norm)]
+        for fam, words in (groups or vocab.KEY_ALIASES).items():
+            member = reduce(lambda a, b: a | b, [F.contains(norm, F.lit(w)) for w in words]) | (norm == fam)
+            plain = sorted({w.replace("_", " ") for w in [fam, *words]})
+            parts.append(F.when(member, F.array(*[F.lit(w) for w in plain])).otherwise(none))
+        return F.filter(F.array_distinct(F.concat(*parts)), lambda a: a != "")
+
+    # the one-element array binds the normalised key, so the large expression appears once
+    return F.flatten(F.transform(F.array(match_text(key)), expand))
 
 
 def value_variants(value: Column) -> Column:
@@ -73,7 +77,8 @@ def match_catalog(requests: DataFrame, options: DataFrame, scope: str, texts: li
     """
     texts = texts or ["visible_label", "visible_value"]
     want = requests.select(scope, "key", "value").distinct().withColumn("_want", match_parts(match_text(F.col("value"))))
-    want = want.withColumn("_aliases", key_aliases(F.col("key")))
+    # counted, so that the optimizer keeps this reduction before the alias expansion
+    used_keys = requests.groupBy(scope, "key").agg(F.count(F.lit(1)).alias("_uses")).filter("_uses > 0")
     cols = [f"_t{i}" for i in range(len(texts))]
     opt = options.select(scope, "group_ord", "option_ord", "visible_label", *[match_text(F.col(t)).alias(c) for t, c in zip(texts, cols, strict=True)])
     # labels repeat inside a group: score each distinct text combination once
@@ -89,7 +94,7 @@ def match_catalog(requests: DataFrame, options: DataFrame, scope: str, texts: li
     best = best.withColumn("_vs", F.floor(F.col("_p") / top).cast("int")).withColumn("option_ord", F.lit(top - 1) - F.col("_p") % top)
     best = best.join(lab.select(scope, "group_ord", "option_ord", "visible_label").distinct(), [scope, "group_ord", "option_ord"], "left").drop("_p")
     groups = options.groupBy(scope, "group_ord").agg(F.min("group_label").alias("group_label")).withColumn("_g", match_parts(match_text(F.col("group_label"))))
-    alias = want.select(scope, "key", F.explode("_aliases").alias("_a")).distinct().withColumn("_a", match_parts(F.col("_a")))
+    alias = used_keys.select(scope, "key", F.explode(key_aliases(F.col("key"))).alias("_a")).withColumn("_a", match_parts(F.col("_a")))
     by_key = alias.join(groups, scope).groupBy(scope, "key", "group_ord", "group_label").agg(F.max(match_score_parts(F.col("_g"), F.col("_a"))).alias("_as"))
     gs = want.select(scope, "key", "value").join(by_key, [scope, "key"])
     d = gs.join(best, [scope, "key", "value", "group_ord"], "left").withColumn("_vs", F.coalesce("_vs", F.lit(0)))

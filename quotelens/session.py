@@ -21,7 +21,8 @@ def build_session(app: str = "quotelens", master: str | None = None, cores: int
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if cores:
-        builder = builder.config("spark.sql.shuffle.partitions", str(cores)).config("spark.ui.enabled", "false")
+        # local runs only: one JVM holds the driver and all executor threads
+        builder = builder.config("spark.sql.shuffle.partitions", str(cores)).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from quotelens.llm import bpe, packing, token_files
+from quotelens.llm import bpe, exact_dedup, host_reputation, main_text, packing, quality, token_files
 
 QUERIES = {
     "op1_best_fit_packing": packing.best_fit_packing,
     "op2_bpe_round_trip": bpe.bpe_round_trip,
+    "op3_tag_path_text": main_text.tag_path_text,
     "op4_token_files": token_files.token_files,
+    "op5_host_reputation": host_reputation.host_reputation,
+    "op6_repetition_coverage": quality.repetition_coverage,
+    "op9_exact_dedup": exact_dedup.exact_dedup,
 }
 
-CHECKS: dict[str, str] = {}
+CHECKS = {
+    "op5_host_reputation": host_reputation.CHECK,
+    "op9_exact_dedup": exact_dedup.CHECK,
+}

@@ -69,7 +69,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 class LocalSearch:
-    """Empties underfull sequences, least filled first. Every step moves fill from a sequence to one at least as full, so the sum of squares rises."""
+    """Empties underfull sequences, least filled first, while the others have room for all of it. Every step moves fill from a sequence to one at least as full, so the sum of squares rises."""
 
     def __init__(self, lengths: np.ndarray, bins: list[list[int]], capacity: int):
         self.lengths, self.bins, self.capacity = lengths, bins, capacity
@@ -79,13 +79,18 @@ class LocalSearch:
         tried: set[int] = set()
         while steps > 0:
             source = min((b for b in np.flatnonzero((self.fill > 0) & (self.fill < self.capacity)).tolist() if b not in tried), key=lambda b: self.fill[b], default=None)
-            if source is None:
-                break
+            if source is None or self.room() < self.fill[source]:
+                break  # the others can't take all of it, nor all of any fuller one
             while self.bins[source] and steps > 0 and self.step(source):
                 steps -= 1
             tried.add(source)
         return [b for b in self.bins if b]
 
+    def room(self) -> int:
+        """Free places of all sequences but the least filled."""
+        used = self.fill[self.fill > 0]
+        return int(self.capacity * (len(used) - 1) - (used.sum() - used.min())) if len(used) else 0
+
     def step(self, source: int) -> bool:
         others = np.flatnonzero((self.fill >= self.fill[source]) & (self.fill < self.capacity))
         others = others[others != source]

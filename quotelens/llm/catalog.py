@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quotelens.llm import bpe, exact_dedup, host_reputation, main_text, packing, quality, token_files
+from quotelens.llm import bpe, exact_dedup, host_reputation, main_text, packing, quality, simhash, substring_dedup, suffix_dedup, token_files
 
 QUERIES = {
     "op1_best_fit_packing": packing.best_fit_packing,
@@ -11,10 +11,15 @@ QUERIES = {
     "op4_token_files": token_files.token_files,
     "op5_host_reputation": host_reputation.host_reputation,
     "op6_repetition_coverage": quality.repetition_coverage,
+    "op7_substring_dedup": substring_dedup.substring_dedup,
+    "op8_simhash_near_dedup": simhash.simhash_near_dedup,
     "op9_exact_dedup": exact_dedup.exact_dedup,
+    "op10_suffix_array_dedup": suffix_dedup.suffix_array_dedup,
 }
 
 CHECKS = {
     "op5_host_reputation": host_reputation.CHECK,
+    "op7_substring_dedup": substring_dedup.substring_dedup,
+    "op8_simhash_near_dedup": simhash.simhash_near_dedup,
     "op9_exact_dedup": exact_dedup.CHECK,
 }

@@ -12,7 +12,8 @@ repeated window can be missed. Each step looks only at what the step before foun
 
 All groups are summed up before they are shuffled (a count, a smallest id, a smallest and a largest class); a group's
 members are never brought together, and members learn the result through a join that Spark can split.
-Hashes are polynomials over mixed 64-bit units; classes and windows are told apart by 128 bits.
+Hashes are polynomials over mixed 64-bit units; classes are told apart by core and whole, windows by both
+halves, 128 bits each.
 """
 
 from __future__ import annotations
@@ -86,14 +87,10 @@ def marked(units: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def entries(units: np.ndarray, size: int) -> list[np.ndarray]:
-    """core, whole, first window and last window of every run."""
-    parts = []
-    for base in range(0, len(units) - size + 1, STRETCH):
-        part = units[base : base + STRETCH + size - 1]
-        first, last, at, one = marked(part, size)
-        whole = mixed(one.of(first, last + size)) + mixed(Hashes(part, 1).of(first, last + size) + (last - first).astype(np.uint64))
-        parts.append([mixed(one.of(at, at + size // 2)).view(np.int64), whole.view(np.int64), (first + base).astype(np.int32), (last + base).astype(np.int32)])
-    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
+    """core, whole, first window and last window of every run of a stretch."""
+    first, last, at, one = marked(units, size)
+    whole = mixed(one.of(first, last + size)) + mixed(Hashes(units, 1).of(first, last + size) + (last - first).astype(np.uint64))
+    return [mixed(one.of(at, at + size // 2)).view(np.int64), whole.view(np.int64), first.astype(np.int32), last.astype(np.int32)]
 
 
 def halves(units: np.ndarray, size: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:

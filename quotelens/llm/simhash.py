@@ -79,7 +79,7 @@ def bit_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
         for batch in batches:
             b = bits_of(batch.column("fp").to_numpy()).astype(np.float32)
             n, both = n + len(b), both + b.T @ b
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS + 1)), pa.array(np.append(both.ravel(), n).astype(np.int64))], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS + 1, dtype=np.int32)), pa.array(np.append(both.ravel(), n).astype(np.int64))], names=["cell", "n"])
 
     cells = distinct.select("fp").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(BITS * BITS + 1)

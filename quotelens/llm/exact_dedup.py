@@ -24,8 +24,8 @@ from quotelens.llm.tables import documents, kept, shared_folder
 
 #: Distinct keys of a bucket and rows of a page.
 BUCKET_KEYS, PAGE_ROWS = 8192, 8192
-#: Bits by which the histogram of keys grows, and directory slots that are small enough to broadcast (about 24 bytes each).
-HISTOGRAM_BITS, BROADCAST_SLOTS = 12, 50_000
+#: Bits by which the histogram of keys grows, and buckets whose directory is small enough to broadcast (about 24 bytes each).
+HISTOGRAM_BITS, BROADCAST_BUCKETS = 12, 50_000
 
 
 def normalised(text: Column) -> Column:
@@ -61,8 +61,6 @@ class Directory:
             if not overfull or depth == 64:
                 break
             known, parents = depth, overfull
-        self.depth = max((d for d, _ in self.buckets), default=0)
-
     def _split(self, counts: dict, bucket_keys: int, todo: list[tuple[int, int]], depth: int) -> list[int]:
         """Halves overfull buckets down to depth; the prefixes of those that are still overfull there."""
         overfull = []
@@ -77,14 +75,16 @@ class Directory:
                 todo += [(d + 1, 2 * slot), (d + 1, 2 * slot + 1)]
         return overfull
 
-    def slots(self, spark: SparkSession, page_rows: int) -> DataFrame:
-        """slot, bucket, pages: each bucket stands in all slots of the global depth that share its prefix."""
-        rows = []
-        for number, ((d, p), (_, n)) in enumerate(sorted(self.buckets.items())):
-            wide = self.depth - d
-            rows += [((p << wide) + i, number, max(1, -(-n // page_rows))) for i in range(1 << wide)]
-        df = spark.createDataFrame(rows, "slot long, bucket int, pages int")
-        return F.broadcast(df) if len(rows) <= BROADCAST_SLOTS else df
+    def table(self, spark: SparkSession, page_rows: int) -> DataFrame:
+        """depth, prefix, bucket, pages."""
+        rows = [(d, p, number, max(1, -(-n // page_rows))) for number, ((d, p), (_, n)) in enumerate(sorted(self.buckets.items()))]
+        df = spark.createDataFrame(rows, "depth int, prefix long, bucket int, pages int")
+        return F.broadcast(df) if len(rows) <= BROADCAST_BUCKETS else df
+
+    def probes(self, key: Column) -> Column:
+        """The prefixes under which a key may be filed, one for each local depth; exactly one of them is in the table."""
+        depths = sorted({d for d, _ in self.buckets}) or [0]
+        return F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), prefix(key, d).alias("prefix")) for d in depths)))
 
 
 def build_index(docs: DataFrame, key: Callable[[Column], Column], bucket_keys: int, page_rows: int) -> DataFrame:
@@ -92,7 +92,7 @@ def build_index(docs: DataFrame, key: Callable[[Column], Column], bucket_keys: i
     spark, flat = docs.sparkSession, kept(entries(docs, key))
     directory = Directory(flat.groupBy("key").agg(F.count("*").alias("n")), bucket_keys)
     folder = f"{shared_folder(spark)}/index"
-    placed = flat.withColumn("slot", prefix(F.col("key"), directory.depth)).join(directory.slots(spark, page_rows), "slot").drop("slot")
+    placed = flat.withColumn("probe", directory.probes(F.col("key"))).select("*", "probe.*").join(directory.table(spark, page_rows), ["depth", "prefix"]).drop("probe", "depth", "prefix")
     placed = placed.withColumn("page", F.pmod(F.xxhash64("row"), F.col("pages")).cast("int"))
     placed.repartition("bucket", "page").write.partitionBy("bucket").parquet(folder)
     return spark.read.schema(placed.schema).option("basePath", folder).parquet(folder)

@@ -3,7 +3,7 @@
 Documents become pieces of at most ``capacity`` tokens. Pieces are dealt at random to shards of a bounded number of rows;
 each shard is packed best-fit and then improved: pieces move between underfull sequences, or are exchanged one for one or
 two for one, as long as the sum of squared fills rises, until sequences run empty. Sequences that are still open are dealt
-anew to fewer shards, until one shard is left or a round empties no sequence. Only the rows of open sequences move on.
+anew to fewer shards, until one shard is left or a round closes and empties few of them. Only the rows of open sequences move on.
 
 Null text is an empty document of one token (the end id). Repeated rows and ids are pieces of their own, null ids pass
 through, ties of length are broken by position in the shard, an empty table gives no rows. Nothing is dropped.
@@ -31,6 +31,8 @@ END = 1
 SHARD = 2000
 #: A sequence filled to this share is closed; fuller ones gain nothing from another round.
 CLOSED = 0.99
+#: Another round is worth its while if it leaves at most this share of the open sequences.
+GAIN = 0.9
 #: Exchanges tried in a shard for each of its pieces.
 STEPS = 4
 
@@ -163,7 +165,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataF
         out = kept(dealt.groupBy("_shard").applyInArrow(_shard_packer(turn, capacity, columns), schema))
         still = out.where(F.col("fill") < int(CLOSED * capacity))
         n, bins = still.agg(F.count("*"), F.count_distinct("sequence_id")).first()
-        if shards == 1 or n == 0 or (before is not None and bins >= before):
+        if shards == 1 or n == 0 or (before is not None and bins > GAIN * before):
             done.append(out)
             break
         done.append(out.where(F.col("fill") >= int(CLOSED * capacity)))

@@ -1,15 +1,16 @@
 """SimHash near-dedup with the generalised pigeonhole principle.
 
-Fingerprints: bit by bit the majority of the XXH64 hashes of a text's word shingles. Search, over distinct fingerprints:
+Fingerprints: bit by bit the majority of the hashes of a text's word shingles, one or several words of 64 bits. Search,
+over distinct fingerprints by their first word:
 
 1. Bits that go together are grouped into partitions, by their correlation over all fingerprints.
 2. Each partition i gets a threshold t_i, -1 meaning that it is not looked at, with sum(t_i + 1) = distance + 1: two
    fingerprints within the distance must differ in at most t_i bits of some partition. A dynamic program picks the t_i with
-   the fewest expected candidates, for each number of partitions, from how often fingerprints meet in each partition.
-3. Every fingerprint is filed under its bits of a partition and under all variants within t_i. Those that meet under a key
-   are verified by counting all differing bits. A key with more fingerprints than ``GROUP`` is not opened as a whole: its
-   members are filed again by other partitions, one more than the distance, and so on until groups are small.
-4. Within a group a search from neighbour to neighbour yields a spanning forest of the links, never all pairs, and the
+   the least expected work, for each number of partitions, from how often fingerprints meet in each partition.
+3. Every fingerprint is filed under its bits of a partition and under all variants within half of t_i, so that any two
+   within t_i meet. Those that meet under a key are verified by counting all differing bits.
+4. Within a group a search from neighbour to neighbour yields a spanning forest of the links, never all pairs. A key with
+   more fingerprints than ``GROUP`` is opened in blocks, each pair of blocks on its own, so that no task holds more. The
    forests' edges are joined to components.
 
 Null text and texts without words have the fingerprint zero, linked like any other; texts with fewer words than a shingle
@@ -32,39 +33,59 @@ from xxhash import xxh64_intdigest
 
 from quotelens.llm.components import components
 from quotelens.llm.tables import documents, kept
+from quotelens.llm.windows import mixed
 
 BITS, SHINGLE, SEED, DISTANCE = 64, 4, 42, 4
-#: Fingerprints of a group that one task opens; larger groups are filed again.
+#: Fingerprints that one task compares at a time.
 GROUP = 16384
 #: Cost of filing and opening a key, in comparisons of a pair.
-KEY_COST = 2000.0
+KEY_COST = 200.0
 LOWERED = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    words = (text or "").encode().translate(LOWERED).split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
+def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
+    """The words of the fingerprint; the first from XXH64 with the seed, the others from mixtures of that hash."""
+    parts = (text or "").encode().translate(LOWERED).split()
+    if not parts:
+        return np.zeros(words, np.uint64)
+    joined = b" ".join(parts)
+    ends = np.cumsum([len(w) + 1 for w in parts])
     starts = [0, *ends[:-1].tolist()]
-    stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
+    stops = (ends[min(shingle, len(parts)) - 1 :] - 1).tolist()
     hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(stops))  # noqa: B905
-    set_bits = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 8192):
-        set_bits += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
+    out = np.zeros(words, np.uint64)
+    for k in range(words):
+        own = hashes if not k else mixed(hashes + np.uint64(k))
+        set_bits = np.zeros(BITS, np.int64)
+        for at in range(0, len(own), 8192):
+            set_bits += bits_of(own[at : at + 8192]).sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * set_bits > len(own), bitorder="little").view("<u8")[0]
+    return out
+
+
+def node_of(fps: np.ndarray) -> np.ndarray:
+    """One long for each row of words: the only word itself, or a hash of all."""
+    out = fps[:, 0].copy()
+    for k in range(1, fps.shape[1]):
+        out = mixed(out + np.uint64(k)) ^ fps[:, k]
+    return out.view(np.int64)
+
 
+def columns_of(words: int) -> list[str]:
+    return [f"fp{k}" for k in range(words)]
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row of docs (doc_id, text)."""
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """doc_id, text_hash (to tell rows with the same id apart), node and the fingerprint's words fp0 ... (signed longs) of every row of docs (doc_id, text)."""
+    names = columns_of(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle, words) for t in batch.column("text")], np.uint64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(node_of(fps)), *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(words))], names=["doc_id", "text_hash", "node", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    tagged = docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    return tagged.mapInArrow(run, "doc_id long, text_hash int, node long, " + ", ".join(f"{c} long" for c in names))
 
 
 def bits_of(fps: np.ndarray) -> np.ndarray:
@@ -77,11 +98,11 @@ def bit_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, both = 0, np.zeros((BITS, BITS))
         for batch in batches:
-            b = bits_of(batch.column("fp").to_numpy()).astype(np.float32)
+            b = bits_of(batch.column("fp0").to_numpy()).astype(np.float32)
             n, both = n + len(b), both + b.T @ b
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS + 1, dtype=np.int32)), pa.array(np.append(both.ravel(), n).astype(np.int64))], names=["cell", "n"])
 
-    cells = distinct.select("fp").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = distinct.select("fp0").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(BITS * BITS + 1)
     for cell, n in cells:
         out[cell] = n
@@ -118,22 +139,25 @@ def meetings(n: int, both: np.ndarray, bits: list[int], t: int) -> float:
 
 
 def plan(n: int, both: np.ndarray, distance: int = DISTANCE) -> list[tuple[list[int], int]]:
-    """The cheapest partitions with their thresholds; those with -1 are left out."""
+    """The cheapest partitions with the number of bits to vary in each; those without a share are left out."""
     best: tuple[float, list[tuple[list[int], int]]] | None = None
     for parts in range(2, distance + 2):
         groups = grouped_bits(n, both, parts)
-        price = [[0.0, *(KEY_COST * n * sum(comb(len(g), k) for k in range(t + 1)) + meetings(n, both, g, t) for t in range(distance + 1))] for g in groups]
+        # handing out t + 1 units lets both sides vary ceil(t / 2) bits
+        price = [[0.0, *(KEY_COST * n * sum(comb(len(g), k) for k in range(-(-t // 2) + 1)) + meetings(n, both, g, 2 * -(-t // 2)) for t in range(min(distance, 8) + 1))] for g in groups]
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-        for row in price:  # table: cheapest way to hand out so many units of t + 1
+        for row in price:  # table: cheapest way to hand out so many units
             after: dict[int, tuple[float, list[int]]] = {}
             for used, (cost, chosen) in table.items():
                 for units, more in enumerate(row[: distance + 2 - used]):
                     if used + units not in after or cost + more < after[used + units][0]:
                         after[used + units] = (cost + more, [*chosen, units - 1])
             table = after
+        if distance + 1 not in table:
+            continue
         cost, chosen = table[distance + 1]
         if best is None or cost < best[0]:
-            best = cost, [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]
+            best = cost, [(g, -(-t // 2)) for g, t in zip(groups, chosen, strict=True) if t >= 0]
     return best[1]
 
 
@@ -144,79 +168,87 @@ def variants(bits: tuple[int, ...], t: int) -> np.ndarray:
     return np.array(masks, np.uint64)
 
 
-def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges that connect exactly what links within the distance connect: from each fingerprint to neighbours not met before."""
-    left, edges = np.unique(fps), []
+def forest(fps: np.ndarray, near: int, distance: int) -> list[tuple[int, int]]:
+    """Pairs of rows that connect exactly what links connect: from each fingerprint to neighbours not met before."""
+    left, edges = np.arange(len(fps)), []
+    first, rest = fps[:, 0].copy(), fps[:, 1:]
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
             x = front.pop()
-            near = np.bitwise_count(left ^ x) <= distance
-            if near.any():
-                edges += [(int(x), int(y)) for y in left[near]]
-                front += list(left[near])
-                left = left[~near]
+            close = np.flatnonzero(np.bitwise_count(first[left] ^ first[x]) <= near)
+            if len(close) and rest.shape[1]:
+                at = left[close]
+                close = close[np.bitwise_count(first[at] ^ first[x]).astype(int) + np.bitwise_count(rest[at] ^ rest[x]).sum(axis=1, dtype=int) <= distance]
+            if len(close):
+                met = left[close]
+                edges += [(x, y) for y in met]
+                front += list(met)
+                left = np.delete(left, close)
     return edges
 
 
-def filed(fps: DataFrame, scheme: list[tuple[list[int], int]], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Each fingerprint under its key in every partition and under all variants within the threshold."""
-    tables = [(np.uint64(sum(1 << b for b in bits)), variants(tuple(bits), t)) for bits, t in scheme]
+def filed(fps: DataFrame, scheme: list[tuple[list[int], int]], words: int) -> DataFrame:
+    """Each fingerprint under its key in every partition and under all variants of it."""
+    tables = [(np.uint64(sum(1 << int(b) for b in bits)), variants(tuple(bits), t)) for bits, t in scheme]
+    names = columns_of(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                own = part.column("fp").to_numpy().view(np.uint64)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                own = part.column("fp0").to_numpy().view(np.uint64)
                 for i, (mask, flips) in enumerate(tables):
-                    keys = ((own & mask)[:, None] ^ flips[None, :]).ravel()
-                    rows = np.repeat(np.arange(len(own)), len(flips))
-                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(rows)) for c in keep), pa.array(np.full(len(keys), i, np.int32)), pa.array(keys.view(np.int64)), pa.array(own[rows].view(np.int64))], names=[*keep, "part", "key", "fp"])
+                    keys = ((own & mask)[:, None] ^ flips[None, :]).ravel().view(np.int64)
+                    rows = pa.array(np.repeat(np.arange(len(own)), len(flips)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys), *(part.column(c).take(rows) for c in names)], names=["part", "key", *names])
 
-    lead = "".join(f"{c} long, " for c in keep)
-    return fps.select(*keep, "fp").mapInArrow(run, f"{lead}part int, key long, fp long")
+    return fps.select(*names).mapInArrow(run, "part int, key long, " + ", ".join(f"{c} long" for c in names))
 
 
-def links(distinct: DataFrame, scheme: list[tuple[list[int], int]], distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
-    """a, b: edges that connect all fingerprints (fp) within the distance of each other, directly or through others."""
+def links(distinct: DataFrame, scheme: list[tuple[list[int], int]], near: int, distance: int, words: int, group: int) -> DataFrame:
+    """a, b: nodes of edges that connect all fingerprints within the distances of each other, directly or through others."""
+    names = columns_of(words)
 
     def opened(rows: pa.Table) -> pa.Table:
-        edges = np.array(forest(rows.column("fp").to_numpy().view(np.uint64), distance), np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
-
-    out, todo, names, level = [], filed(distinct, scheme), ["part", "key"], 0
-    while True:
-        large = kept(todo.groupBy(*names).agg(F.count("*").alias("n")).where(F.col("n") > group).select(names))
-        some = bool(large.take(1))
-        held = todo.join(large, names, "left_anti") if some else todo
-        out.append(held.groupBy(*names).applyInArrow(opened, "a long, b long"))
-        if not some:
-            break
-        # too many for one task: filed again inside the group, by one partition more than the distance. Members of a new
-        # group share a fifth of the bits that they did not share before, so a few levels leave few bits to differ in
-        level += 1
-        cut = np.array_split(np.random.default_rng(level).permutation(BITS), distance + 1)
-        inside = todo.join(large, names, "left_semi").select(F.xxhash64(*names).alias("inside"), "fp").distinct()
-        todo, names = filed(kept(inside), [(bits.tolist(), 0) for bits in cut], ("inside",)), ["inside", "part", "key"]
-    edges = out[0]
-    for part in out[1:]:
-        edges = edges.unionByName(part)
-    return edges
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links) of every row of docs (doc_id, text)."""
-    own = kept(fingerprints(docs, shingle))
-    distinct = kept(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+        fps = np.stack([rows.column(c).to_numpy().view(np.uint64) for c in names], axis=1)
+        fps = fps[np.unique(node_of(fps), return_index=True)[1]]
+        edges = np.array(forest(fps, near, distance), np.int64).reshape(-1, 2)
+        nodes = node_of(fps)
+        return pa.table({"a": nodes[edges[:, 0]], "b": nodes[edges[:, 1]]})
+
+    keys, out = filed(distinct, scheme, words), "a long, b long"
+    large = kept(keys.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("part", "key", F.ceil(2 * F.col("n") / group).cast("int").alias("blocks")))
+    if not large.take(1):
+        return keys.groupBy("part", "key").applyInArrow(opened, out)
+    small = keys.join(large, ["part", "key"], "left_anti").groupBy("part", "key").applyInArrow(opened, out)
+    own = F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    blocks = keys.join(large, ["part", "key"]).withColumn("own", own).withColumn("other", other)
+    blocks = blocks.select("part", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), *names)
+    return small.unionByName(blocks.groupBy("part", "key", "x", "y").applyInArrow(opened, out))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, near: int = DISTANCE, words: int = 1, distance: int | None = None, group: int = GROUP) -> DataFrame:
+    """doc_id, text_hash, node, fp0, component (its smallest node), component_id (smallest doc_id reachable) of every row of docs (doc_id, text).
+
+    Documents link where the first words of their fingerprints differ in at most near bits and all words in at most
+    distance bits (near, if not given).
+    """
+    own = kept(fingerprints(docs, shingle, words))
+    distinct = kept(own.groupBy("node", *columns_of(words)).agg(F.min("doc_id").alias("first_id")))
     n, both = bit_counts(distinct)
+    own = own.select("doc_id", "text_hash", "node", "fp0")
     if n < 2:
-        return own.join(distinct, "fp").select("doc_id", "fp", F.col("first_id").alias("component_id"))
-    edges = kept(links(distinct, plan(n, both, distance), distance, group))
+        return own.join(distinct.select("node", "first_id"), "node").select("doc_id", "text_hash", "node", "fp0", F.col("node").alias("component"), F.col("first_id").alias("component_id"))
+    edges = kept(links(distinct, plan(n, both, near), near, near if distance is None else distance, words, group))
     member = kept(components(edges))
-    first = member.join(distinct.withColumnRenamed("fp", "node"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = kept(distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").join(first, "component", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
-    return own.join(known, "fp").select("doc_id", "fp", "component_id")
+    ids = distinct.select("node", "first_id")
+    first = member.join(ids, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = ids.join(member, "node", "left").join(first, "component", "left")
+    known = kept(named.select("node", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")))
+    return own.join(known, "node")
 
 
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")

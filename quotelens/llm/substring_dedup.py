@@ -11,6 +11,9 @@ aside.
 
 from __future__ import annotations
 
+import hashlib
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,28 +29,32 @@ MEMORY = 500_000
 _known: dict[bytes, int] = {}
 
 
-def word_units(text: str) -> tuple[tuple[str, list[bytes]], np.ndarray]:
+def word_units(text: str) -> tuple[list[bytes], np.ndarray]:
     words = text.encode().split()
     if len(_known) > MEMORY:
         _known.clear()
     for w in set(words):
         if w not in _known:
             _known[w] = xxhash.xxh3_64_intdigest(w)
-    return (text, words), np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    return words, np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
-def cut_words(parts: tuple[str, list[bytes]], gone: np.ndarray) -> tuple[int, int, str]:
-    text, words = parts
+def cut_words(words: list[bytes], gone: np.ndarray, output: str) -> tuple[int, int, str | None]:
     removed = int(gone.sum())
-    left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed else words
-    return len(words), removed, b" ".join(left).decode()
+    if not removed and output == "changed":
+        return len(words), 0, None
+    left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed else words)
+    return len(words), removed, hashlib.sha256(left).hexdigest() if output == "digest" else left.decode()
+
 
+def drop_repeated_words(docs: DataFrame, window: int = WINDOW, output: str = "text") -> DataFrame:
+    """doc_id, text_hash, n_words, n_removed, left (the remaining words, joined by one space) of every row of docs.
 
-def drop_repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, n_words, n_removed, left (the remaining words, joined by one space) of every row of docs."""
+    output: "text"; "changed" leaves null the text of rows that lose nothing; "digest" gives the text's SHA-256 instead.
+    """
     shape = [("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("left", pa.string(), "string")]
-    return remove_repeats(docs, window, True, word_units, cut_words, shape)
+    return remove_repeats(docs, window, True, word_units, partial(cut_words, output=output), shape)
 
 
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_words(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2(F.col("left").cast("binary"), 256).alias("kept_sha256"))
+    return drop_repeated_words(documents(spark, sf_dir), output="digest").select("doc_id", "n_words", "n_removed", F.col("left").alias("kept_sha256"))

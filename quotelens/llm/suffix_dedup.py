@@ -11,6 +11,9 @@ own: copies lose each other's windows. An empty table gives no rows; further col
 
 from __future__ import annotations
 
+import hashlib
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,17 +31,17 @@ def byte_units(text: str) -> tuple[bytes, np.ndarray]:
     return data, BYTE_VALUES[np.frombuffer(data, np.uint8)]
 
 
-def cut_bytes(data: bytes, gone: np.ndarray) -> tuple[int, int, int, bytes]:
+def cut_bytes(data: bytes, gone: np.ndarray, digest: bool) -> tuple[int, int, int, bytes]:
     runs = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1))
     left = data if not runs else np.frombuffer(data, np.uint8)[~gone].tobytes()
-    return len(data), int(gone.sum()), runs, left
+    return len(data), int(gone.sum()), runs, hashlib.sha256(left).digest() if digest else left
 
 
-def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, n_bytes, n_removed, n_spans, left (the remaining bytes) of every row of docs."""
+def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
+    """doc_id, text_hash, n_bytes, n_removed, n_spans, left (the remaining bytes, or with digest their SHA-256) of every row of docs."""
     shape = [("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("left", pa.binary(), "binary")]
-    return remove_repeats(docs, window, False, byte_units, cut_bytes, shape)
+    return remove_repeats(docs, window, False, byte_units, partial(cut_bytes, digest=digest), shape)
 
 
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_bytes(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("left", 256).alias("kept_sha256"))
+    return drop_repeated_bytes(documents(spark, sf_dir), digest=True).select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("left")).alias("kept_sha256"))

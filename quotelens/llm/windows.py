@@ -128,23 +128,15 @@ def remove_repeats(docs: DataFrame, size: int, earlier: bool, units: Callable[[s
                     yield pa.RecordBatch.from_arrays([pa.repeat(doc_id, n), pa.repeat(tag, n), pa.array(columns[0]), pa.array(columns[1]), *places], names=[*owner, "core", "whole", "first", "last"])
 
     runs = kept(tagged.mapInArrow(_gathered(index), "doc_id long, text_hash int, core long, whole long, first int, last int"))
-    cores = kept(
-        runs.groupBy("core").agg(F.count("*").alias("n"), F.min("doc_id").alias("core_first"), (F.min("whole") != F.max("whole")).alias("split")).where("n > 1").select("core", "core_first", "split")
-    )
+    cores = kept(runs.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
     shared = kept(runs.join(cores, "core"))
-    split = shared.where("split")
-    classes = kept(split.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_first")))
-    member = split.join(classes, ["core", "whole"])
-    if earlier:
-        alike = shared.where("not split").where(F.coalesce(F.col("doc_id") > F.col("core_first"), F.lit(True)))
-        sure = F.coalesce(F.col("doc_id") > F.col("class_first"), F.col("class_first").isNotNull())
-    else:
-        alike, sure = shared.where("not split"), F.col("n") > 1
-    # of a class, the document with the smallest id goes on to single windows
-    goes_on = F.col("doc_id").eqNullSafe(F.col("class_first"))
-    found = alike.select(*owner, "first", "last", F.lit(True).alias("sure"), F.lit(False).alias("open"), F.lit(0).cast("long").alias("whole")).unionByName(
-        member.select(*owner, "first", "last", sure.alias("sure"), goes_on.alias("open"), "whole").where("sure or open")
-    )
+    classes = kept(shared.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_first")))
+    split = classes.groupBy("core").agg((F.count("*") > 1).alias("split"))
+    member = shared.join(classes.join(split, "core"), ["core", "whole"])
+    sure = F.coalesce(F.col("doc_id") > F.col("class_first"), F.col("class_first").isNotNull()) if earlier else F.col("n") > 1
+    # of a class that shares its core with others, the document with the smallest id goes on to single windows
+    goes_on = F.col("split") & F.col("doc_id").eqNullSafe(F.col("class_first"))
+    found = member.select(*owner, "first", "last", sure.alias("sure"), goes_on.alias("open"), "whole").where("sure or open")
     by_document = found.groupBy(*owner).agg(F.collect_list(F.struct("first", "last", "sure", "open", "whole")).alias("runs"))
     same = [tagged[c].eqNullSafe(by_document[c]) for c in owner]
     joined = tagged.join(by_document, same[0] & same[1], "left").select(*(tagged[c] for c in (*owner, "text")), "runs")

@@ -62,7 +62,7 @@ def corpus(spark):
         (6, LONG[2] + " " + PASSAGE, "a"), (7, PASSAGE + " " + LONG[3], "a"),  # a shared passage
         (8, "too short", "a"), (9, None, "a"), (10, "", None), (11, "again and again " * 60, "a"), (12, LONG[4], "a"), (12, LONG[4], "a"), (12, LONG[5], "a"), (None, "null " + LONG[5], None),
     ]
-    return spark.createDataFrame([(d, t, "en", s, len(t or ""), 1, True, "x") for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, n long, kept boolean, _cut_left string")
+    return spark.createDataFrame([(d, t, "en", s, len(t or ""), 1, True, "x") for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, key long, kept boolean, left string")
 
 
 def test_stages(spark):

@@ -1,8 +1,7 @@
 """Walk of nested JSON as a chain of generators: one pass over the rows, no shuffle, no recursion.
 
 Each level explodes the containers of the rows and leaves scalars as they are, so a body is parsed once and
-expanded inside one stage. A body that is nested deeper than ``max_depth`` stops the query with an error; nothing
-is dropped silently.
+expanded inside one stage. There are as many levels as the deepest body of the data has; that number is read first.
 """
 
 from __future__ import annotations
@@ -23,7 +22,21 @@ def get(variant: Column, path: str, dtype: str = "string") -> Column:
     return F.try_variant_get(variant, path if path.startswith("$") else "$." + path, dtype)
 
 
-def walk(df: DataFrame, variant_col: str, keep: list[str], max_depth: int = 8, array_items: int | None = None) -> DataFrame:
+def nesting(variant: Column) -> Column:
+    """How deep containers stand inside each other; null for null."""
+    brackets = F.regexp_replace(F.to_json(variant), r'"(?:[^"\\\\]|\\\\.)*+"|[^\[\]{}]++', "")
+    step = F.aggregate(
+        F.split(brackets, ""),
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda a, c: F.struct(
+            (a["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias("now"),
+            F.greatest(a["most"], a["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most"),
+        ),
+    )
+    return step["most"]
+
+
+def walk(df: DataFrame, variant_col: str, keep: list[str], array_items: int | None = None) -> DataFrame:
     """All leaves of the VARIANT column.
 
     Output: the ``keep`` columns and
@@ -43,7 +56,8 @@ def walk(df: DataFrame, variant_col: str, keep: list[str], max_depth: int = 8, a
         F.lit("").alias("_key"),
         F.array().cast("array<int>").alias("_ord"),
     )
-    for _ in range(max_depth):
+    levels = df.select(F.max(nesting(F.col(variant_col)))).first()[0] or 0
+    for _ in range(levels):
         step = cur.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer()))
         moved = F.col("pos").isNotNull()
         name = F.when(F.col("key").isNotNull(), F.concat(F.when(F.col("_path") == "", "").otherwise("."), F.col("key"))).otherwise(
@@ -66,8 +80,7 @@ def walk(df: DataFrame, variant_col: str, keep: list[str], max_depth: int = 8, a
         .when(schema == "STRING", "text")
         .when(schema == "BOOLEAN", "bool")
         .when(schema == "VOID", "null")
-        .when(schema.isin("OBJECT<>", "ARRAY<>", "ARRAY<VOID>"), "empty")
-        .otherwise(F.raise_error(F.lit(f"JSON nested deeper than {max_depth} levels; raise max_depth")))
+        .otherwise("empty")
     )
     return cur.select(
         *keep,
@@ -80,9 +93,9 @@ def walk(df: DataFrame, variant_col: str, keep: list[str], max_depth: int = 8, a
     ).select(*keep, "path", "leaf_key", "value", F.when(F.col("kind") == "number", F.col("_num")).alias("number"), "kind", "ord")
 
 
-def object_keys(df: DataFrame, body_col: str, keep: list[str], max_depth: int = 8) -> DataFrame:
+def object_keys(df: DataFrame, body_col: str, keep: list[str]) -> DataFrame:
     """Distinct lower-case object keys of a JSON text, at any depth: one row per (keep, key)."""
-    leaves = walk(df.withColumn("_body_v", parse(F.col(body_col))), "_body_v", keep, max_depth)
+    leaves = walk(df.withColumn("_body_v", parse(F.col(body_col))), "_body_v", keep)
     parts = F.filter(F.split(F.regexp_replace("path", r"\[\d+\]", ""), r"\."), lambda k: k != "")
     return leaves.select(*keep, F.explode(parts).alias("_k")).select(*keep, F.lower("_k").alias("json_key")).distinct()
 

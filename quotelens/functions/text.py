@@ -166,15 +166,17 @@ def compact_key(value: Column) -> Column:
     return F.replace(loose_key(value), F.lit(" "), F.lit(""))
 
 
+# Entity name -> character.
+ENTITIES = {
+    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&#39;": "'", "&apos;": "'",
+    "&euro;": "€", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&Auml;": "Ä", "&Ouml;": "Ö", "&Uuml;": "Ü",
+    "&szlig;": "ß", "&sup2;": "²", "&reg;": "®", "&middot;": "·", "&copy;": "©", "&amp;": "&",
+}
+
+
 def unescape_html(text: Column) -> Column:
     """Named and numeric entities that occur in captured markup."""
-    # Entity name -> character.
-    entities = {
-        "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&#39;": "'", "&apos;": "'",
-        "&euro;": "€", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&Auml;": "Ä", "&Ouml;": "Ö", "&Uuml;": "Ü",
-        "&szlig;": "ß", "&sup2;": "²", "&reg;": "®", "&middot;": "·", "&copy;": "©", "&amp;": "&",
-    }
-    return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), entities.items(), text)
+    return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), ENTITIES.items(), text)
 
 
 def unescape_embedded(text: Column) -> Column:

@@ -117,9 +117,9 @@ def named_candidates(df: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 # ---- candidates from JSON -----------------------------------------------------------------------------------------------
 
-def json_candidates(df: DataFrame, keep: list[str], body: str, max_depth: int = 8) -> DataFrame:
+def json_candidates(df: DataFrame, keep: list[str], body: str) -> DataFrame:
     """Numeric and textual leaves under price-like keys, plus prices inside text leaves."""
-    leaves = walk(df.withColumn("_body_v", parse(F.col(body))), "_body_v", keep, max_depth)
+    leaves = walk(df.withColumn("_body_v", parse(F.col(body))), "_body_v", keep)
     direct = leaves.filter(~F.col("path").endswith("]")).withColumn("w", key_weight(F.col("leaf_key")))
     direct = direct.filter((F.col("w") > 0) | F.contains("value", F.lit("<")))
     number = F.when(F.col("kind") == "number", F.col("number")).when(
@@ -145,9 +145,9 @@ def json_candidates(df: DataFrame, keep: list[str], body: str, max_depth: int =
     return rows.select(*keep, "c.*").filter(_in_range(F.col("value")))
 
 
-def plain_number_prices(df: DataFrame, keep: list[str], body: str, max_depth: int = 8) -> DataFrame:
+def plain_number_prices(df: DataFrame, keep: list[str], body: str) -> DataFrame:
     """Non-negative numbers under price-like keys, unscored."""
-    leaves = walk(df.withColumn("_body_v", parse(F.col(body))), "_body_v", keep, max_depth)
+    leaves = walk(df.withColumn("_body_v", parse(F.col(body))), "_body_v", keep)
     hit = contains_any(F.lower("leaf_key"), vocab.PRICE_KEYS_PLAIN) & ~F.col("path").endswith("]")
     return leaves.filter((F.col("kind") == "number") & (F.col("number") >= 0) & hit).select(*keep, "path", F.col("number").alias("value"))
 

@@ -33,9 +33,9 @@ def body_kind(body: Column) -> Column:
     return F.when(is_json, "json").when(F.contains(body, F.lit("=")) & F.contains(body, F.lit("&")), "form").otherwise("raw")
 
 
-def json_paths(df: DataFrame, body: str, keep: list[str], array_items: int = 3, max_depth: int = 8) -> DataFrame:
+def json_paths(df: DataFrame, body: str, keep: list[str], array_items: int = 3) -> DataFrame:
     """Every object path of a JSON body, containers included, with only the first items of arrays."""
-    leaves = walk(df.withColumn("_body_v", parse(F.col(body))), "_body_v", keep, max_depth, array_items).filter("path <> ''")
+    leaves = walk(df.withColumn("_body_v", parse(F.col(body))), "_body_v", keep, array_items).filter("path <> ''")
     parts = F.split(F.regexp_replace("path", r"(?<=.)\[", ".["), r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.replace(F.array_join(F.slice(parts, 1, n), "."), F.lit(".["), F.lit("[")))
     return leaves.select(*keep, "path", "ord", F.posexplode(prefixes).alias("_i", "_p")).groupBy(*keep, F.col("_p").alias("json_path")).agg(

@@ -87,11 +87,9 @@ def match_catalog(requests: DataFrame, options: DataFrame, scope: str, texts: li
     # distinct requests of a scope are spread over salts, the scope's labels are copied to each
     pair = salted_join(want.select(scope, "key", "value", "_want"), lab, [scope], F.hash("key", "value"))
     score = F.greatest(F.lit(0), *[match_score_parts(F.col(c), F.col("_want")) for c in cols])
-    # score and option order packed into one number: the aggregate stays a hash aggregate without a sort
-    top = 1 << 40
-    packed = score.cast("bigint") * top + (F.lit(top - 1) - F.col("option_ord"))
-    best = pair.withColumn("_p", packed).filter(F.col("_p") >= top).groupBy(scope, "key", "value", "group_ord").agg(F.max("_p").alias("_p"))
-    best = best.withColumn("_vs", F.floor(F.col("_p") / top).cast("int")).withColumn("option_ord", F.lit(top - 1) - F.col("_p") % top)
+    ranked = F.struct(score.cast("int").alias("s"), (-F.col("option_ord")).alias("o"))
+    best = pair.withColumn("_p", ranked).filter("_p.s > 0 and _p.o is not null").groupBy(scope, "key", "value", "group_ord").agg(F.max("_p").alias("_p"))
+    best = best.withColumn("_vs", F.col("_p.s")).withColumn("option_ord", -F.col("_p.o"))
     best = best.join(lab.select(scope, "group_ord", "option_ord", "visible_label").distinct(), [scope, "group_ord", "option_ord"], "left").drop("_p")
     groups = options.groupBy(scope, "group_ord").agg(F.min("group_label").alias("group_label")).withColumn("_g", match_parts(match_text(F.col("group_label"))))
     alias = used_keys.select(scope, "key", F.explode(key_aliases(F.col("key"))).alias("_a")).withColumn("_a", match_parts(F.col("_a")))

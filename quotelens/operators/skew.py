@@ -90,12 +90,6 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def broadcast_if_small(df: DataFrame, limit_rows: int = 200_000) -> DataFrame:
-    """Broadcast a dimension only after counting it; larger ones keep the shuffle join."""
-    few = df.limit(limit_rows + 1).count() <= limit_rows
-    return F.broadcast(df) if few else df
-
-
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First k rows per key. Spark prunes to k rows per key before the shuffle (window group limit)."""
     w = W.partitionBy(*keys).orderBy(*order)

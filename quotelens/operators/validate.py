@@ -15,16 +15,15 @@ NAME_KEYS = ["name", "property", "propertyname", "key", "label"]  # fixed values
 VALUE_KEYS = ["value", "id", "selected", "selectedid", "selectedvalue"]  # fixed values, in order of preference
 
 
-def accepted_options(responses: DataFrame, keys: list[str], body: str, max_depth: int = 8) -> DataFrame:
+def accepted_options(responses: DataFrame, keys: list[str], body: str) -> DataFrame:
     """Name / value facts of a JSON response: objects with a name and a value, property ids, and plain keys.
 
     Output: keys, option_key, accepted_value, kind (pair / property / key). The last occurrence wins.
     """
-    leaves = walk(responses.withColumn("_body_v", parse(F.col(body))), "_body_v", keys, max_depth)
+    leaves = walk(responses.withColumn("_body_v", parse(F.col(body))), "_body_v", keys)
     leaves = leaves.filter(F.col("path") != "").withColumn("_k", F.lower("leaf_key"))
     plain = ~F.col("path").endswith("]")
-    at = F.array_join(F.transform("ord", lambda o: F.lpad(o.cast("string"), 6, "0")), ".")
-    leaves = leaves.withColumn("_at", at)
+    leaves = leaves.withColumn("_at", F.col("ord"))
     # an object inside a list, or inside one of the configuration lists, is a row of facts
     inside = leaves.filter(plain).withColumn("_obj", F.regexp_replace("path", r"\.?[^.\[\]]+$", "")).filter(F.col("_obj").endswith("]"))
     name_rank = F.array_position(F.array(*[F.lit(k) for k in NAME_KEYS]), F.col("_k"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quotelens.functions import jsonwalk, money, vocab
+from quotelens.functions.text import ENTITIES
 from quotelens.operators import endpoints as ep
 from quotelens.operators import prices as pr
 from quotelens.operators.skew import with_ordinal
@@ -298,10 +299,16 @@ def site_reference_prices(spark, sf_dir):
     return pr.site_reference(_trace_candidates(spark, sf_dir), named, ["run_id"])
 
 
+def _decoded(column: str) -> str:
+    for name, char in ENTITIES.items():
+        column = f"replace({column}, '{name.replace(chr(39), chr(39) * 2)}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return column
+
+
 @query("page_text_lines", r"""
 WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script>', ' ', 'gis'), '<style\b.*?</style>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs') AS h FROM pages),
 c AS (SELECT page_id, regexp_replace(regexp_replace(h, '</?(p|div|li|ul|ol|h[1-6]|br|tr|td|table|section|article|nav|footer|header)\b[^>]*>', chr(10), 'gi'), '<[^>]+>', '', 'g') AS x FROM b),
-d AS (SELECT page_id, replace(replace(replace(x, '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS x FROM c),
+d AS (SELECT page_id, """ + _decoded("x") + r""" AS x FROM c),
 l AS (SELECT page_id, unnest(regexp_split_to_array(x, '\n+')) AS line FROM d),
 t AS (SELECT page_id, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM l)
 SELECT page_id, count(*) AS lines, sum(length(line))::BIGINT AS chars, max(line) AS last_line FROM t WHERE line <> '' GROUP BY page_id""")

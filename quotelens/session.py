@@ -29,9 +29,11 @@ def build_session(app: str = "quotelens", master: str | None = None, cores: int
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a scratch folder only where it is unset (tests, laptops)."""
+    """The shared folder of ``spark.checkpoint.dir``; a scratch folder only where Spark runs in one process and none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", root)
     return root

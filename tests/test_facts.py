@@ -52,14 +52,28 @@ def test_price_selection_is_order_free(spark):
     assert a == b and a.price == 12.0
 
 
-def test_json_walk_depth_is_loud(spark):
-    d = spark.createDataFrame([(1, json.dumps({"a": {"b": {"c": 1}}}))], "id int, j string").withColumn("v", jsonwalk.parse(F.col("j")))
-    assert one(jsonwalk.walk(d, "v", ["id"], 3)).path == "a.b.c"
-    try:
-        jsonwalk.walk(d, "v", ["id"], 2).collect()
-        raise AssertionError("expected an error")
-    except Exception as e:  # noqa: BLE001
-        assert "nested deeper" in str(e)
+def test_json_walk_has_no_depth_limit(spark):
+    deep = 1
+    for k in range(30, 0, -1):
+        deep = {f"k{k}": deep} if k % 3 else [deep, "]{\\\""]
+    rows = [(1, json.dumps({"a": {"b": {"c": 1}}})), (2, json.dumps(deep)), (3, "not json"), (4, None), (5, "[]")]
+    d = spark.createDataFrame(rows, "id int, j string").withColumn("v", jsonwalk.parse(F.col("j")))
+    assert {r.id: r.d for r in d.select("id", jsonwalk.nesting(F.col("v")).alias("d")).collect()} == {1: 3, 2: 30, 3: None, 4: None, 5: 1}
+    got = jsonwalk.walk(d, "v", ["id"]).collect()
+    assert [(r.path, r.number) for r in got if r.id == 1] == [("a.b.c", 1.0)]
+    assert [r.path.count("k") for r in got if r.id == 2 and r.kind == "number"] == [20]
+    assert len([r for r in got if r.id == 2]) == 11 and [r.kind for r in got if r.id == 5] == ["empty"]
+    assert jsonwalk.walk(d.where("id = 3"), "v", ["id"]).count() == 0
+
+
+def test_last_occurrence_wins_beyond_a_million_items(spark):
+    from quotelens.operators import validate
+
+    # positions 2 and 10 and those of more than six digits must compare as numbers
+    body = "[" + ",".join("0" for _ in range(1_000_001)) + ',{"name":"x","value":"late"}]'
+    d = spark.createDataFrame([(1, '[{"name":"x","value":"early"}' + "," + body[1:])], "id int, body string")
+    got = [r for r in validate.accepted_options(d, ["id"], "body").collect() if r.option_key == "x"]
+    assert [r.accepted_value for r in got] == ["late"]
 
 
 def test_unit_id_matches_canonical_json(spark):

@@ -12,7 +12,7 @@ from quotelens.functions import vocab
 from quotelens.functions.jsonwalk import key_set
 from quotelens.functions.text import MARK, contains_any, count_words, has_word, hits_in, joined_words, words_found
 from quotelens.functions.urls import prefix_key, url_tokens
-from quotelens.operators.skew import best_row, top_k
+from quotelens.operators.skew import best_row, top_k, with_ordinal
 
 
 def _points(condition: Column, points: int) -> Column:
@@ -173,9 +173,13 @@ def best_endpoints(scored: DataFrame) -> DataFrame:
     return best_row(rows, ["run_id", "url"], [F.col("score"), -F.col("trace_idx")], [*RANK_COLUMNS, "trace_idx", "url_prefix"])
 
 
-def rank_endpoints(scored: DataFrame, limit: int = 30) -> DataFrame:
-    """The first ``limit`` endpoints per run by score and confidence."""
-    return top_k(best_endpoints(scored), ["run_id"], _rank_order(), limit, "rank")
+def rank_endpoints(scored: DataFrame, limit: int | None = None) -> DataFrame:
+    """Endpoints per run by score and confidence: all of them for selections, the first ``limit`` for a report."""
+    best = best_endpoints(scored)
+    if limit:
+        return top_k(best, ["run_id"], _rank_order(), limit, "rank")
+    falling = best.withColumn("_s", -F.col("score")).withColumn("_c", -F.col("confidence"))
+    return with_ordinal(falling, ["run_id"], ["_s", "_c", "trace_idx"], F.col("_s"), "rank").drop("_s", "_c")
 
 
 def signatures(scored: DataFrame) -> DataFrame:

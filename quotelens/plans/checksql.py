@@ -105,4 +105,4 @@ def scored_cte() -> str:
 
 RANKED_CTE = """bst AS (SELECT *, row_number() OVER (PARTITION BY run_id, url ORDER BY score DESC, trace_idx) AS un FROM fam),
 rk0 AS (SELECT *, round(conf, 3) AS confidence, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, round(conf, 3) DESC, trace_idx) AS rank FROM bst WHERE un = 1),
-ranked AS (SELECT * FROM rk0 WHERE rank <= 30)"""
+ranked AS (SELECT * FROM rk0)"""

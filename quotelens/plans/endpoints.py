@@ -52,9 +52,9 @@ def endpoint_signals(spark, sf_dir):
     )
 
 
-@query("endpoint_rankings", _traces(f", {ck.RANKED_CTE} SELECT run_id, rank, url, method, status, role, confidence, score, request_family FROM ranked"))
+@query("endpoint_rankings", _traces(f", {ck.RANKED_CTE} SELECT run_id, rank, url, method, status, role, confidence, score, request_family FROM ranked WHERE rank <= 30"))
 def endpoint_rankings(spark, sf_dir):
-    r = ep.rank_endpoints(scored(spark, sf_dir))
+    r = ep.rank_endpoints(scored(spark, sf_dir), limit=30)
     return r.select("run_id", "rank", "url", "method", "status", "role", "confidence", "score", "request_family")
 
 

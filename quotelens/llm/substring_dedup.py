@@ -29,14 +29,17 @@ MEMORY = 500_000
 _known: dict[bytes, int] = {}
 
 
-def word_units(text: str) -> tuple[list[bytes], np.ndarray]:
-    words = text.encode().split()
+def words_of(text: str) -> list[bytes]:
+    return text.encode().split()
+
+
+def word_values(words: list[bytes]) -> np.ndarray:
     if len(_known) > MEMORY:
         _known.clear()
     for w in set(words):
         if w not in _known:
             _known[w] = xxhash.xxh3_64_intdigest(w)
-    return words, np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
 def cut_words(words: list[bytes], gone: np.ndarray, output: str) -> tuple[int, int, str | None]:
@@ -53,7 +56,7 @@ def drop_repeated_words(docs: DataFrame, window: int = WINDOW, output: str = "te
     output: "text"; "changed" leaves null the text of rows that lose nothing; "digest" gives the text's SHA-256 instead.
     """
     shape = [("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("left", pa.string(), "string")]
-    return remove_repeats(docs, window, True, word_units, partial(cut_words, output=output), shape)
+    return remove_repeats(docs, window, True, words_of, word_values, partial(cut_words, output=output), shape)
 
 
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

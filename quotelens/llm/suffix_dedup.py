@@ -26,9 +26,8 @@ WINDOW = 400
 BYTE_VALUES = mixed(np.arange(1, 257))
 
 
-def byte_units(text: str) -> tuple[bytes, np.ndarray]:
-    data = text.encode()
-    return data, BYTE_VALUES[np.frombuffer(data, np.uint8)]
+def byte_values(data: bytes) -> np.ndarray:
+    return BYTE_VALUES[np.frombuffer(data, np.uint8)]
 
 
 def cut_bytes(data: bytes, gone: np.ndarray, digest: bool) -> tuple[int, int, int, bytes]:
@@ -40,7 +39,7 @@ def cut_bytes(data: bytes, gone: np.ndarray, digest: bool) -> tuple[int, int, in
 def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """doc_id, text_hash, n_bytes, n_removed, n_spans, left (the remaining bytes, or with digest their SHA-256) of every row of docs."""
     shape = [("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("left", pa.binary(), "binary")]
-    return remove_repeats(docs, window, False, byte_units, partial(cut_bytes, digest=digest), shape)
+    return remove_repeats(docs, window, False, str.encode, byte_values, partial(cut_bytes, digest=digest), shape)
 
 
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

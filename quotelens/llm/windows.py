@@ -18,7 +18,7 @@ halves, 128 bits each.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -93,11 +93,10 @@ def entries(units: np.ndarray, size: int) -> list[np.ndarray]:
     return [mixed(one.of(at, at + size // 2)).view(np.int64), whole.view(np.int64), first.astype(np.int32), last.astype(np.int32)]
 
 
-def halves(units: np.ndarray, size: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the first and second half of each window that starts from a to b."""
-    starts, middle = np.arange(b - a + 1), size // 2
-    part = units[a : b + size]
-    return mixed(Hashes(part).of(starts, starts + middle)).view(np.int64), mixed(Hashes(part, 1).of(starts + middle, starts + size)).view(np.int64)
+def halves(units: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first and second half of each window."""
+    starts, middle = np.arange(len(units) - size + 1), size // 2
+    return mixed(Hashes(units).of(starts, starts + middle)).view(np.int64), mixed(Hashes(units, 1).of(starts + middle, starts + size)).view(np.int64)
 
 
 def covered(n: int, size: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -108,11 +107,11 @@ def covered(n: int, size: int, first: np.ndarray, last: np.ndarray) -> np.ndarra
     return np.cumsum(edges[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, size: int, earlier: bool, units: Callable[[str], tuple[object, np.ndarray]], finish: Callable[[object, np.ndarray], tuple], result: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int, earlier: bool, split_text: Callable[[str], Sequence], values_of: Callable[[Sequence], np.ndarray], finish: Callable[[Sequence, np.ndarray], tuple], result: list[tuple[str, pa.DataType, str]]) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, text_hash and the columns that finish returns.
 
     earlier: a window repeats if it also starts in a document with a smaller doc_id; otherwise if it starts anywhere else.
-    units: parts of a text and their 64-bit values. finish: gets the parts and which of them are covered.
+    split_text: units of a text. values_of: their 64-bit values. finish: gets the units and which of them are covered.
     """
     tagged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.hash("text"))
     owner = ["doc_id", "text_hash"]
@@ -120,7 +119,7 @@ def remove_repeats(docs: DataFrame, size: int, earlier: bool, units: Callable[[s
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text, tag in zip(batch.column("doc_id"), batch.column("text"), batch.column("text_hash"), strict=True):
-                values = units(text.as_py())[1]
+                values = values_of(split_text(text.as_py()))
                 for base in range(0, len(values) - size + 1, STRETCH):
                     columns = entries(values[base : base + STRETCH + size - 1], size)
                     n = len(columns[0])
@@ -148,19 +147,19 @@ def remove_repeats(docs: DataFrame, size: int, earlier: bool, units: Callable[[s
         for batch in batches:
             done, texts, sure_runs, singles = [], [], [], []
             for text, held in zip(batch.column("text"), batch.column("runs"), strict=True):
-                parts, values = units(text.as_py())
+                parts = split_text(text.as_py())
                 table = held.values if held.is_valid else None
                 first, last, sure, open_, whole = (table.field(i).to_numpy(zero_copy_only=False) for i in range(5)) if table is not None else (np.zeros(0, t) for t in (np.int32, np.int32, bool, bool, np.int64))
                 out = []
                 for k in np.flatnonzero(open_).tolist():
-                    head, tail = halves(values, size, int(first[k]), int(last[k]))
+                    head, tail = halves(values_of(parts[first[k] : last[k] + size]), size)
                     n = len(head)
                     out.append([np.arange(first[k], last[k] + 1, dtype=np.int32), head, tail, np.full(n, whole[k]), np.full(n, not sure[k])])
                 singles.append([np.concatenate(c) for c in zip(*out, strict=True)] if out else None)
                 waits = bool((open_ & ~sure).any())
                 texts.append(text.as_py() if waits else None)
                 sure_runs.append([first[sure], last[sure]] if waits else None)
-                done.append((None,) * len(names) if waits else finish(parts, covered(len(values), size, first[sure], last[sure])))
+                done.append((None,) * len(names) if waits else finish(parts, covered(len(parts), size, first[sure], last[sure])))
             columns = [pa.array(c, t) for c, (_, t, _) in zip(zip(*done, strict=True), result, strict=True)]
             offsets = np.cumsum([0, *(len(s[0]) if s else 0 for s in singles)]).astype(np.int32)
             some = [s for s in singles if s]
@@ -187,9 +186,9 @@ def remove_repeats(docs: DataFrame, size: int, earlier: bool, units: Callable[[s
         for batch in batches:
             done = []
             for text, a, b, starts in zip(*(batch.column(c) for c in ("text", "sure_first", "sure_last", "starts")), strict=True):
-                parts, values = units(text.as_py())
+                parts = split_text(text.as_py())
                 more = np.array(starts.as_py() or [], dtype=np.int64)
-                done.append(finish(parts, covered(len(values), size, np.concatenate([np.array(a.as_py(), np.int64), more]), np.concatenate([np.array(b.as_py(), np.int64), more]))))
+                done.append(finish(parts, covered(len(parts), size, np.concatenate([np.array(a.as_py(), np.int64), more]), np.concatenate([np.array(b.as_py(), np.int64), more]))))
             columns = [pa.array(c, t) for c, (_, t, _) in zip(zip(*done, strict=True), result, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns], names=[*owner, *names])
 

@@ -224,7 +224,7 @@ def test_long_texts_are_read_in_stretches(spark, monkeypatch):
     monkeypatch.setattr(windows, "STRETCH", 16)
     text = " ".join(f"s{i}" for i in range(120))
     rows = [(1, text), (2, "lead " + text + " tail"), (3, " ".join(f"s{i}" for i in range(33, 90)))]
-    index = [windows.entries(substring_dedup.word_units(t)[1][b : b + 16 + 9], 10) for _, t in rows for b in range(0, len(t.split()) - 9, 16)]
+    index = [windows.entries(substring_dedup.word_values(t.encode().split())[b : b + 16 + 9], 10) for _, t in rows for b in range(0, len(t.split()) - 9, 16)]
     assert all(len(e[0]) for e in index)
     got = substring_dedup.drop_repeated_words(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.left) for r in got) == plain_words(rows, 10)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents as (doc_id long, text string); further columns, whatever their names, are left aside."""
     return ids_and_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -36,6 +40,15 @@ def kept(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read again: lineage is cut and a lost executor loses nothing."""
     spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/rows"
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    _folders[out] = folder
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes kept tables that only served to make other kept tables, and whose rows nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_folders.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotelens.llm.tables import kept
+from quotelens.llm.tables import kept, release
 
 #: Windows that are hashed at a time; longer texts are read in stretches that overlap by a window.
 STRETCH = 1 << 18
@@ -129,6 +129,7 @@ def remove_repeats(docs: DataFrame, size: int, earlier: bool, split_text: Callab
     runs = kept(tagged.mapInArrow(_gathered(index), "doc_id long, text_hash int, core long, whole long, first int, last int"))
     cores = kept(runs.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
     shared = kept(runs.join(cores, "core"))
+    release(runs, cores)
     classes = kept(shared.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_first")))
     split = classes.groupBy("core").agg((F.count("*") > 1).alias("split"))
     member = shared.join(classes.join(split, "core"), ["core", "whole"])
@@ -170,6 +171,7 @@ def remove_repeats(docs: DataFrame, size: int, earlier: bool, split_text: Callab
 
     shape = ", ".join(f"{n} {t}" for n, _, t in result)
     passed = kept(joined.mapInArrow(first_pass, f"doc_id long, text_hash int, text string, sure_first array<int>, sure_last array<int>, singles array<struct<start: int, head: long, tail: long, whole: long, asks: boolean>>, {shape}"))
+    release(shared, classes)
     single_rows = passed.select(*owner, F.inline("singles"))
     if earlier:
         repeated = kept(single_rows.groupBy("head", "tail").agg(F.min("doc_id").alias("window_first"), F.count("*").alias("n")).where("n > 1").select("head", "tail", "window_first"))

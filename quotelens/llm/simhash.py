@@ -34,6 +34,7 @@ from xxhash import xxh64_intdigest
 from quotelens.llm.components import components
 from quotelens.llm.tables import documents, kept
 from quotelens.llm.windows import mixed
+from quotelens.operators.skew import salted_join
 
 BITS, SHINGLE, SEED, DISTANCE = 64, 4, 42, 4
 #: Fingerprints that one task compares at a time.
@@ -245,7 +246,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, near: int = DISTANC
     member = kept(components(edges))
     ids = distinct.select("node", "first_id")
     first = member.join(ids, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = ids.join(member, "node", "left").join(first, "component", "left")
+    named = salted_join(ids.join(member, "node", "left"), first, ["component"], F.hash("node"), how="left")
     known = kept(named.select("node", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")))
     return own.join(known, "node")
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotelens.llm.tables import kept, release
+from quotelens.operators.skew import salted_join
 
 #: Windows that are hashed at a time; longer texts are read in stretches that overlap by a window.
 STRETCH = 1 << 18
@@ -132,7 +133,7 @@ def remove_repeats(docs: DataFrame, size: int, earlier: bool, split_text: Callab
     release(runs, cores)
     classes = kept(shared.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_first")))
     split = classes.groupBy("core").agg((F.count("*") > 1).alias("split"))
-    member = shared.join(classes.join(split, "core"), ["core", "whole"])
+    member = shared.join(salted_join(classes, split, ["core"], F.hash("whole")), ["core", "whole"])
     sure = F.coalesce(F.col("doc_id") > F.col("class_first"), F.col("class_first").isNotNull()) if earlier else F.col("n") > 1
     # of a class that shares its core with others, the document with the smallest id goes on to single windows
     goes_on = F.col("split") & F.col("doc_id").eqNullSafe(F.col("class_first"))

@@ -8,7 +8,9 @@ repeated window can be missed. Each step looks only at what the step before foun
 1. ``core``: the marked gram. Where it stands once, no window of the run repeats.
 2. ``whole``: everything that the run's windows cover. Runs that agree in it agree in all their windows; of such a class
    only one run goes on.
-3. Single windows of the runs whose core is shared by different classes, as the pair of their halves' hashes.
+3. The same for stretches of ``BLOCK`` windows of the runs whose core is shared by different classes: ``core`` is now what
+   all windows of a stretch cover, ``whole`` what any of them covers.
+4. Single windows of the stretches that are still open, as the pair of their halves' hashes.
 
 All groups are summed up before they are shuffled (a count, a smallest id, a smallest and a largest class); a group's
 members are never brought together, and members learn the result through a join that Spark can split.
@@ -30,6 +32,8 @@ from quotelens.operators.skew import salted_join
 
 #: Windows that are hashed at a time; longer texts are read in stretches that overlap by a window.
 STRETCH = 1 << 18
+#: Windows of a stretch in the third step.
+BLOCK = 16
 #: Fixed odd multipliers.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIXES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
@@ -100,6 +104,19 @@ def halves(units: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mixed(Hashes(units).of(starts, starts + middle)).view(np.int64), mixed(Hashes(units, 1).of(starts + middle, starts + size)).view(np.int64)
 
 
+def stretches(units: np.ndarray, size: int) -> list[np.ndarray]:
+    """core, whole, first and last window (from the run's first) of every stretch of a run, cut at places relative to its mark."""
+    mark, last, width = int(marked(units, size)[2][0]), len(units) - size, min(BLOCK, size // 2)
+    number = np.arange((mark - last) // width, mark // width + 1)
+    high = mark - width * number  # first unit of the uncut stretch's last window
+    a, b = np.maximum(high - width + 1, 0), np.minimum(high, last)
+    one, two, tag = Hashes(units), Hashes(units, 1), mixed(number + 1)
+    # what the windows of the uncut stretch have in common; it lies in every window of the cut one
+    core = mixed(one.of(high, high - width + 1 + size) + tag)
+    whole = mixed(one.of(a, b + size) + mixed((mark - a) * (1 << 20) + (b - a))) + mixed(two.of(a, b + size) + tag)
+    return [core.view(np.int64), whole.view(np.int64), a, b]
+
+
 def covered(n: int, size: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Which of n units are inside a window that starts in one of the runs."""
     edges = np.zeros(n + 1, dtype=np.int64)
@@ -115,8 +132,6 @@ def remove_repeats(docs: DataFrame, size: int, earlier: bool, split_text: Callab
     split_text: units of a text. values_of: their 64-bit values. finish: gets the units and which of them are covered.
     """
     tagged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.hash("text"))
-    owner = ["doc_id", "text_hash"]
-
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text, tag in zip(batch.column("doc_id"), batch.column("text"), batch.column("text_hash"), strict=True):
@@ -125,78 +140,83 @@ def remove_repeats(docs: DataFrame, size: int, earlier: bool, split_text: Callab
                     columns = entries(values[base : base + STRETCH + size - 1], size)
                     n = len(columns[0])
                     places = [pa.array(c + np.int32(base)) for c in columns[2:]]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(doc_id, n), pa.repeat(tag, n), pa.array(columns[0]), pa.array(columns[1]), *places], names=[*owner, "core", "whole", "first", "last"])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(doc_id, n), pa.repeat(tag, n), pa.array(columns[0]), pa.array(columns[1]), *places], names=[*OWNER, "core", "whole", "first", "last"])
 
     runs = kept(tagged.mapInArrow(_gathered(index), "doc_id long, text_hash int, core long, whole long, first int, last int"))
-    cores = kept(runs.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
-    shared = kept(runs.join(cores, "core"))
-    release(runs, cores)
+    start = tagged.withColumns({c: F.lit(None).cast("array<int>") for c in ("sure_first", "sure_last")})
+    first, spent = _repeated(runs, earlier)
+    passed = kept(_with_runs(start, first).mapInArrow(_next_items(stretches, size, split_text, values_of, finish, result), _shape(result)))
+    second, more = _repeated(passed.select(*OWNER, F.inline("items")), earlier)
+    again = kept(_with_runs(passed.where("text is not null"), second).mapInArrow(_next_items(_singles, size, split_text, values_of, finish, result), _shape(result)))
+    release(runs, *spent, *more)
+    third, _ = _repeated(again.select(*OWNER, F.inline("items")), earlier)
+    last = _with_runs(again.where("text is not null"), third).mapInArrow(_next_items(None, size, split_text, values_of, finish, result), _shape(result))
+    names = [*OWNER, *(n for n, _, _ in result)]
+    return passed.where("text is null").select(names).unionByName(again.where("text is null").select(names)).unionByName(last.select(names))
+
+
+OWNER = ["doc_id", "text_hash"]
+ITEM = pa.struct([("core", pa.int64()), ("whole", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+
+
+def _repeated(items: DataFrame, earlier: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """For each document its items (first and last window) that surely repeat, and those that must be opened; the tables that this reads."""
+    cores = kept(items.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
+    shared = kept(items.join(cores, "core"))
+    release(cores)
     classes = kept(shared.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_first")))
     split = classes.groupBy("core").agg((F.count("*") > 1).alias("split"))
     member = shared.join(salted_join(classes, split, ["core"], F.hash("whole")), ["core", "whole"])
     sure = F.coalesce(F.col("doc_id") > F.col("class_first"), F.col("class_first").isNotNull()) if earlier else F.col("n") > 1
-    # of a class that shares its core with others, the document with the smallest id goes on to single windows
+    # of a class that shares its core with others, the document with the smallest id goes on
     goes_on = F.col("split") & F.col("doc_id").eqNullSafe(F.col("class_first"))
-    found = member.select(*owner, "first", "last", sure.alias("sure"), goes_on.alias("open"), "whole").where("sure or open")
-    by_document = found.groupBy(*owner).agg(F.collect_list(F.struct("first", "last", "sure", "open", "whole")).alias("runs"))
-    same = [tagged[c].eqNullSafe(by_document[c]) for c in owner]
-    joined = tagged.join(by_document, same[0] & same[1], "left").select(*(tagged[c] for c in (*owner, "text")), "runs")
+    found = member.select(*OWNER, "first", "last", sure.alias("sure"), goes_on.alias("open")).where("sure or open")
+    return found.groupBy(*OWNER).agg(F.collect_list(F.struct("first", "last", "sure", "open")).alias("runs")), [shared, classes]
+
+
+def _with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    same = [docs[c].eqNullSafe(runs[c]) for c in OWNER]
+    return docs.join(runs, same[0] & same[1], "left").select(*(docs[c] for c in (*OWNER, "text", "sure_first", "sure_last")), "runs")
+
+
+def _shape(result: list[tuple[str, pa.DataType, str]]) -> str:
+    return "doc_id long, text_hash int, text string, sure_first array<int>, sure_last array<int>, items array<struct<core: long, whole: long, first: int, last: int>>, " + ", ".join(f"{n} {t}" for n, _, t in result)
+
 
-    single = pa.struct([("start", pa.int32()), ("head", pa.int64()), ("tail", pa.int64()), ("whole", pa.int64()), ("asks", pa.bool_())])
-    names = [n for n, _, _ in result]
+def _singles(units: np.ndarray, size: int) -> list[np.ndarray]:
+    at = np.arange(len(units) - size + 1)
+    return [*halves(units, size), at, at]
 
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _next_items(items_of: Callable[[np.ndarray, int], list[np.ndarray]] | None, size: int, split_text, values_of, finish, result):
+    """Documents without open runs get their result; the others go on with their text, what is sure, and the items of their open runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done, texts, sure_runs, singles = [], [], [], []
-            for text, held in zip(batch.column("text"), batch.column("runs"), strict=True):
+            done, texts, sure_runs, items = [], [], [], []
+            for text, a, b, held in zip(*(batch.column(c) for c in ("text", "sure_first", "sure_last", "runs")), strict=True):
                 parts = split_text(text.as_py())
-                table = held.values if held.is_valid else None
-                first, last, sure, open_, whole = (table.field(i).to_numpy(zero_copy_only=False) for i in range(5)) if table is not None else (np.zeros(0, t) for t in (np.int32, np.int32, bool, bool, np.int64))
+                sure_a, sure_b = (np.array(x.as_py() or [], np.int64) for x in (a, b))
                 out = []
-                for k in np.flatnonzero(open_).tolist():
-                    head, tail = halves(values_of(parts[first[k] : last[k] + size]), size)
-                    n = len(head)
-                    out.append([np.arange(first[k], last[k] + 1, dtype=np.int32), head, tail, np.full(n, whole[k]), np.full(n, not sure[k])])
-                singles.append([np.concatenate(c) for c in zip(*out, strict=True)] if out else None)
-                waits = bool((open_ & ~sure).any())
-                texts.append(text.as_py() if waits else None)
-                sure_runs.append([first[sure], last[sure]] if waits else None)
-                done.append((None,) * len(names) if waits else finish(parts, covered(len(parts), size, first[sure], last[sure])))
+                if held.is_valid:
+                    first, last, sure, opens = (held.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                    sure_a, sure_b = np.concatenate([sure_a, first[sure]]), np.concatenate([sure_b, last[sure]])
+                    for k in np.flatnonzero(opens).tolist() if items_of else []:
+                        core, whole, x, y = items_of(values_of(parts[first[k] : last[k] + size]), size)
+                        out.append([core, whole, (x + first[k]).astype(np.int32), (y + first[k]).astype(np.int32)])
+                items.append([np.concatenate(c) for c in zip(*out, strict=True)] if out else None)
+                texts.append(text.as_py() if out else None)
+                sure_runs.append([sure_a, sure_b] if out else None)
+                done.append((None,) * len(result) if out else finish(parts, covered(len(parts), size, sure_a, sure_b)))
             columns = [pa.array(c, t) for c, (_, t, _) in zip(zip(*done, strict=True), result, strict=True)]
-            offsets = np.cumsum([0, *(len(s[0]) if s else 0 for s in singles)]).astype(np.int32)
-            some = [s for s in singles if s]
-            fields = [pa.array(np.concatenate(c)) for c in zip(*some, strict=True)] if some else [pa.array([], f.type) for f in single]
-            nested = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, fields=list(single)))
-            lists = [pa.array([s[i].tolist() if s else None for s in sure_runs], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(texts, pa.string()), *lists, nested, *columns], names=[*owner, "text", "sure_first", "sure_last", "singles", *names])
-
-    shape = ", ".join(f"{n} {t}" for n, _, t in result)
-    passed = kept(joined.mapInArrow(first_pass, f"doc_id long, text_hash int, text string, sure_first array<int>, sure_last array<int>, singles array<struct<start: int, head: long, tail: long, whole: long, asks: boolean>>, {shape}"))
-    release(shared, classes)
-    single_rows = passed.select(*owner, F.inline("singles"))
-    if earlier:
-        repeated = kept(single_rows.groupBy("head", "tail").agg(F.min("doc_id").alias("window_first"), F.count("*").alias("n")).where("n > 1").select("head", "tail", "window_first"))
-        is_repeat = F.coalesce(F.col("doc_id") > F.col("window_first"), F.col("window_first").isNotNull())
-    else:
-        repeated = kept(single_rows.groupBy("head", "tail").agg((F.min("whole") != F.max("whole")).alias("several")).where("several").select("head", "tail"))
-        is_repeat = F.lit(True)
-    answers = single_rows.where("asks").join(repeated, ["head", "tail"]).where(is_repeat).groupBy(*owner).agg(F.collect_set("start").alias("starts"))
-    waiting = passed.where("text is not null").select(*owner, "text", "sure_first", "sure_last")
-    same = [waiting[c].eqNullSafe(answers[c]) for c in owner]
-    asked = waiting.join(answers, same[0] & same[1], "left").select(*(waiting[c] for c in waiting.columns), "starts")
-
-    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = []
-            for text, a, b, starts in zip(*(batch.column(c) for c in ("text", "sure_first", "sure_last", "starts")), strict=True):
-                parts = split_text(text.as_py())
-                more = np.array(starts.as_py() or [], dtype=np.int64)
-                done.append(finish(parts, covered(len(parts), size, np.concatenate([np.array(a.as_py(), np.int64), more]), np.concatenate([np.array(b.as_py(), np.int64), more]))))
-            columns = [pa.array(c, t) for c, (_, t, _) in zip(zip(*done, strict=True), result, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns], names=[*owner, *names])
+            some = [i for i in items if i]
+            fields = [pa.array(np.concatenate(c)) for c in zip(*some, strict=True)] if some else [pa.array([], f.type) for f in ITEM]
+            offsets = np.cumsum([0, *(len(i[0]) if i else 0 for i in items)]).astype(np.int32)
+            nested = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, fields=list(ITEM)))
+            lists = [pa.array([r[i].tolist() if r else None for r in sure_runs], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(texts, pa.string()), *lists, nested, *columns], names=[*OWNER, "text", "sure_first", "sure_last", "items", *(n for n, _, _ in result)])
 
-    rest = asked.mapInArrow(second_pass, f"doc_id long, text_hash int, {shape}")
-    return passed.where("text is null").select(*owner, *names).unionByName(rest)
+    return run
 
 
 def _gathered(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], least: int = 20_000):

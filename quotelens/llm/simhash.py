@@ -44,18 +44,25 @@ KEY_COST = 200.0
 LOWERED = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
-    """The words of the fingerprint; the first from XXH64 with the seed, the others from mixtures of that hash."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 with the seed of every word shingle of the text, repeats included."""
     parts = (text or "").encode().translate(LOWERED).split()
     if not parts:
-        return np.zeros(words, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum([len(w) + 1 for w in parts])
     starts = [0, *ends[:-1].tolist()]
     stops = (ends[min(shingle, len(parts)) - 1 :] - 1).tolist()
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(stops))  # noqa: B905
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(stops))  # noqa: B905
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1, once: bool = False) -> np.ndarray:
+    """The words of the fingerprint; the first from XXH64 with the seed, the others from mixtures of that hash. With once, repeated shingles count once."""
+    hashes = shingle_hashes(text, shingle)
+    if once:
+        hashes = np.unique(hashes)
     out = np.zeros(words, np.uint64)
-    for k in range(words):
+    for k in range(words if len(hashes) else 0):
         own = hashes if not k else mixed(hashes + np.uint64(k))
         set_bits = np.zeros(BITS, np.int64)
         for at in range(0, len(own), 8192):
@@ -76,13 +83,13 @@ def columns_of(words: int) -> list[str]:
     return [f"fp{k}" for k in range(words)]
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, once: bool = False) -> DataFrame:
     """doc_id, text_hash (to tell rows with the same id apart), node and the fingerprint's words fp0 ... (signed longs) of every row of docs (doc_id, text)."""
     names = columns_of(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle, words) for t in batch.column("text")], np.uint64).reshape(-1, words)
+            fps = np.array([fingerprint(t.as_py(), shingle, words, once) for t in batch.column("text")], np.uint64).reshape(-1, words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(node_of(fps)), *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(words))], names=["doc_id", "text_hash", "node", *names])
 
     tagged = docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
@@ -230,13 +237,13 @@ def links(distinct: DataFrame, scheme: list[tuple[list[int], int]], near: int, d
     return small.unionByName(blocks.groupBy("part", "key", "x", "y").applyInArrow(opened, out))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, near: int = DISTANCE, words: int = 1, distance: int | None = None, group: int = GROUP) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, near: int = DISTANCE, words: int = 1, distance: int | None = None, group: int = GROUP, once: bool = False) -> DataFrame:
     """doc_id, text_hash, node, fp0, component (its smallest node), component_id (smallest doc_id reachable) of every row of docs (doc_id, text).
 
     Documents link where the first words of their fingerprints differ in at most near bits and all words in at most
-    distance bits (near, if not given).
+    distance bits (near, if not given). With once, a shingle counts once however often a text has it.
     """
-    own = kept(fingerprints(docs, shingle, words))
+    own = kept(fingerprints(docs, shingle, words, once))
     distinct = kept(own.groupBy("node", *columns_of(words)).agg(F.min("doc_id").alias("first_id")))
     n, both = bit_counts(distinct)
     own = own.select("doc_id", "text_hash", "node", "fp0")

@@ -2,9 +2,10 @@
 
 A page is cut into blocks of text, each with the path of tags from the root to it. For every distinct path the text length
 and the punctuation of its blocks are summed up and divided by the number of blocks; both ratios are smoothed over the
-blocks in page order and fused. Blocks on paths above the threshold are content. The smallest element that holds nearly
-all fused weight, widened to the article or main element around it, is the content root: its other blocks (headings, short
-paragraphs) belong to the text as well, unless they are boilerplate by their element, role, class or id.
+blocks in page order and fused. Blocks on paths above the threshold are content. The smallest element that holds all of
+them, widened to the article or main element around it, is the content root: its other blocks (headings, short paragraphs,
+lists, quotes, cells) belong to the text as well, unless all of a block is link text. Boilerplate by element, role, class or
+id is left out everywhere.
 
 Null and empty html give empty text. Pages are independent; whole pages are read whatever their length or nesting. Broken
 markup is read as browsers do in the main: missing end tags are implied, stray ones ignored.
@@ -40,8 +41,8 @@ CONTAINERS = set("article content entry main post story".split())
 BLOCKS = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 
-#: Share of the mean fused ratio that a path must reach, share of the fused weight that the content root holds, reach of the smoothing in blocks.
-THRESHOLD, ROOT_SHARE, REACH = 0.5, 0.9, 2
+#: Share of the mean fused ratio that a path must reach, reach of the smoothing in blocks.
+THRESHOLD, REACH = 0.5, 2
 
 
 class Element:
@@ -182,7 +183,7 @@ def main_text(html: str | None) -> str:
                 weight[e] += f * len(text)
                 e = e.parent
     total = max(weight.values(), default=0.0)
-    root = min((e for e, w in weight.items() if w >= ROOT_SHARE * total), key=lambda e: (weight[e], -e.path.count("/")), default=None)
+    root = max((e for e, w in weight.items() if w >= total), key=lambda e: e.path.count("/"), default=None)
     e, widened = root, None
     while e is not None:
         widened = e if e.container else widened
@@ -198,8 +199,7 @@ def main_text(html: str | None) -> str:
             e = e.parent
         return False
 
-    heading = re.compile(r"h[1-6]$")
-    chosen = [under(e) and (good or not links) and (good or root.container or bool(heading.match(e.name)) or e.name == "p") for (e, _, links), good in zip(blocks, content.tolist(), strict=True)]
+    chosen = [good or under(e) and not links for (e, _, links), good in zip(blocks, content.tolist(), strict=True)]
     return " ".join(t for (_, t, _), c in zip(blocks, chosen, strict=True) if c)
 
 

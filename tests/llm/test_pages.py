@@ -31,6 +31,23 @@ def test_main_text_leaves_boilerplate_out(body):
     assert main_text.main_text(PAGE.format(body=body)) == "A title here " + WANT
 
 
+LINE = "A long paragraph of the text, with several commas, some words, and a stop at the end."
+MANY = "".join(f"<p>{LINE}</p>" for _ in range(40))
+ALL = " ".join([LINE] * 40)
+
+
+@pytest.mark.parametrize(
+    ("body", "rest"),
+    [
+        (f"<div>{MANY}</div><div><p>{LINE}</p></div>", LINE),
+        (f"<article>{MANY}</article><article><p>{LINE}</p></article>", LINE),
+        (f"<div>{MANY}<ul><li>One.</li><li>Two</li></ul><blockquote>So it is</blockquote><table><tr><td>7</td></tr></table><pre>x = 1</pre><div>End</div></div>", "One. Two So it is 7 x = 1 End"),
+    ],
+)
+def test_split_articles_and_weak_blocks_stay_whole(body, rest):
+    assert main_text.main_text(PAGE.format(body=body)) == f"{ALL} {rest}"
+
+
 def test_main_text_of_odd_pages():
     assert [main_text.main_text(x) for x in (None, "", "   ", "<", "<p", "<!-- x", "<script>a", "<nav>only a menu</nav>")] == ["", "", "", "<", "<p", "", "", ""]
     assert main_text.main_text("<p>a < b and c > d</p>") == "a < b and c > d"

@@ -19,7 +19,5 @@ QUERIES = {
 
 CHECKS = {
     "op5_host_reputation": host_reputation.CHECK,
-    "op7_substring_dedup": substring_dedup.substring_dedup,
-    "op8_simhash_near_dedup": simhash.simhash_near_dedup,
     "op9_exact_dedup": exact_dedup.CHECK,
 }

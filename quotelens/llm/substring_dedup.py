@@ -25,7 +25,7 @@ from quotelens.llm.windows import remove_repeats
 
 WINDOW = 50
 #: Words whose hashes one worker remembers.
-MEMORY = 250_000
+MEMORY = 150_000
 _known: dict[bytes, int] = {}
 
 

@@ -98,25 +98,53 @@ def entries(units: np.ndarray, size: int) -> list[np.ndarray]:
     return [mixed(one.of(at, at + size // 2)).view(np.int64), whole.view(np.int64), first.astype(np.int32), last.astype(np.int32)]
 
 
-def halves(units: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the first and second half of each window."""
-    starts, middle = np.arange(len(units) - size + 1), size // 2
-    return mixed(Hashes(units).of(starts, starts + middle)).view(np.int64), mixed(Hashes(units, 1).of(starts + middle, starts + size)).view(np.int64)
-
-
-def stretches(units: np.ndarray, size: int) -> list[np.ndarray]:
-    """core, whole, first and last window (from the run's first) of every stretch of a run, cut at places relative to its mark."""
-    mark, last, width = int(marked(units, size)[2][0]), len(units) - size, min(BLOCK, size // 2)
-    number = np.arange((mark - last) // width, mark // width + 1)
-    high = mark - width * number  # first unit of the uncut stretch's last window
-    a, b = np.maximum(high - width + 1, 0), np.minimum(high, last)
-    one, two, tag = Hashes(units), Hashes(units, 1), mixed(number + 1)
+def spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, value) for all values of the ranges that begin at starts and have counts values."""
+    of = np.repeat(np.arange(len(starts)), counts)
+    return of, np.arange(len(of)) + (starts - np.cumsum(counts) + counts)[of]
+
+
+def marks(one: Hashes, first: np.ndarray, size: int) -> np.ndarray:
+    """The mark of each window: the gram of size / 2 units with the smallest hash, the leftmost if several are alike."""
+    half = size // 2
+    width = size - half + 1
+    of, at = spread(first, np.full(len(first), width))
+    best = (mixed(one.of(at, at + half)) & ~PLACE) | (at - first[of]).astype(np.uint64)
+    return first + (np.minimum.reduceat(best, np.arange(0, len(at), width)) & PLACE).astype(np.int64)
+
+
+def singles(units: np.ndarray, first: np.ndarray, last: np.ndarray, size: int) -> list[np.ndarray]:
+    """Every window of the runs: hashes of its first and second half, and its place twice."""
+    middle = size // 2
+    _, at = spread(first, last - first + 1)
+    return [mixed(Hashes(units).of(at, at + middle)).view(np.int64), mixed(Hashes(units, 1).of(at + middle, at + size)).view(np.int64), at, at]
+
+
+def stretches(units: np.ndarray, first: np.ndarray, last: np.ndarray, size: int) -> list[np.ndarray]:
+    """core, whole, first and last window of every stretch of the runs, cut at places relative to each run's mark."""
+    one, two, width = Hashes(units), Hashes(units, 1), min(BLOCK, size // 2)
+    mark = marks(one, first, size)
+    low = (mark - last) // width
+    of, number = spread(low, (mark - first) // width - low + 1)
+    mark, first, last = mark[of], first[of], last[of]
+    tag, high = mixed(number + 1), mark - width * number  # high: first unit of the uncut stretch's last window
+    a, b = np.maximum(high - width + 1, first), np.minimum(high, last)
     # what the windows of the uncut stretch have in common; it lies in every window of the cut one
     core = mixed(one.of(high, high - width + 1 + size) + tag)
     whole = mixed(one.of(a, b + size) + mixed((mark - a) * (1 << 20) + (b - a))) + mixed(two.of(a, b + size) + tag)
     return [core.view(np.int64), whole.view(np.int64), a, b]
 
 
+def opened(parts: Sequence, first: np.ndarray, last: np.ndarray, size: int, items_of: Callable, values_of: Callable) -> list[np.ndarray]:
+    """The items of a document's open runs, all runs of a stretch at a time."""
+    out, base = [], first // STRETCH * STRETCH  # a run lies in the stretch in which it was found
+    for start in np.unique(base).tolist():
+        own = base == start
+        found = items_of(values_of(parts[start : start + STRETCH + size - 1]), first[own] - start, last[own] - start, size)
+        out.append([*found[:2], *((c + start).astype(np.int32) for c in found[2:])])
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
 def covered(n: int, size: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Which of n units are inside a window that starts in one of the runs."""
     edges = np.zeros(n + 1, dtype=np.int64)
@@ -147,7 +175,7 @@ def remove_repeats(docs: DataFrame, size: int, earlier: bool, split_text: Callab
     first, spent = _repeated(runs, earlier)
     passed = kept(_with_runs(start, first).mapInArrow(_next_items(stretches, size, split_text, values_of, finish, result), _shape(result)))
     second, more = _repeated(passed.select(*OWNER, F.inline("items")), earlier)
-    again = kept(_with_runs(passed.where("text is not null"), second).mapInArrow(_next_items(_singles, size, split_text, values_of, finish, result), _shape(result)))
+    again = kept(_with_runs(passed.where("text is not null"), second).mapInArrow(_next_items(singles, size, split_text, values_of, finish, result), _shape(result)))
     release(runs, *spent, *more)
     third, _ = _repeated(again.select(*OWNER, F.inline("items")), earlier)
     last = _with_runs(again.where("text is not null"), third).mapInArrow(_next_items(None, size, split_text, values_of, finish, result), _shape(result))
@@ -183,12 +211,7 @@ def _shape(result: list[tuple[str, pa.DataType, str]]) -> str:
     return "doc_id long, text_hash int, text string, sure_first array<int>, sure_last array<int>, items array<struct<core: long, whole: long, first: int, last: int>>, " + ", ".join(f"{n} {t}" for n, _, t in result)
 
 
-def _singles(units: np.ndarray, size: int) -> list[np.ndarray]:
-    at = np.arange(len(units) - size + 1)
-    return [*halves(units, size), at, at]
-
-
-def _next_items(items_of: Callable[[np.ndarray, int], list[np.ndarray]] | None, size: int, split_text, values_of, finish, result):
+def _next_items(items_of: Callable[[np.ndarray, np.ndarray, np.ndarray, int], list[np.ndarray]] | None, size: int, split_text, values_of, finish, result):
     """Documents without open runs get their result; the others go on with their text, what is sure, and the items of their open runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,14 +220,13 @@ def _next_items(items_of: Callable[[np.ndarray, int], list[np.ndarray]] | None,
             for text, a, b, held in zip(*(batch.column(c) for c in ("text", "sure_first", "sure_last", "runs")), strict=True):
                 parts = split_text(text.as_py())
                 sure_a, sure_b = (np.array(x.as_py() or [], np.int64) for x in (a, b))
-                out = []
+                out = None
                 if held.is_valid:
                     first, last, sure, opens = (held.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
                     sure_a, sure_b = np.concatenate([sure_a, first[sure]]), np.concatenate([sure_b, last[sure]])
-                    for k in np.flatnonzero(opens).tolist() if items_of else []:
-                        core, whole, x, y = items_of(values_of(parts[first[k] : last[k] + size]), size)
-                        out.append([core, whole, (x + first[k]).astype(np.int32), (y + first[k]).astype(np.int32)])
-                items.append([np.concatenate(c) for c in zip(*out, strict=True)] if out else None)
+                    if items_of and opens.any():
+                        out = opened(parts, first[opens].astype(np.int64), last[opens].astype(np.int64), size, items_of, values_of)
+                items.append(out)
                 texts.append(text.as_py() if out else None)
                 sure_runs.append([sure_a, sure_b] if out else None)
                 done.append((None,) * len(result) if out else finish(parts, covered(len(parts), size, sure_a, sure_b)))

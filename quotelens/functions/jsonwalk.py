@@ -1,15 +1,21 @@
-"""Walk of nested JSON as a chain of generators: one pass over the rows, no shuffle, no recursion.
+"""Walk of nested JSON: one scan of each body, one plan whatever the depth.
 
-Each level explodes the containers of the rows and leaves scalars as they are, so a body is parsed once and
-expanded inside one stage. There are as many levels as the deepest body of the data has; that number is read first.
+A body is parsed once into a VARIANT, whose text has no white space and each key once. A scanner reads that text token by
+token with a stack of open containers (no recursion) and returns all leaves as one array, which Spark unnests.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CONTAINER = r"^(OBJECT|ARRAY)"
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{},:]|[^\[\]{},:"\s]+', re.S)
+_LEAF = pa.struct([("path", pa.string()), ("leaf_key", pa.string()), ("value", pa.string()), ("number", pa.float64()), ("kind", pa.string()), ("ord", pa.list_(pa.int32()))])
+LEAVES = "array<struct<path:string,leaf_key:string,value:string,number:double,kind:string,ord:array<int>>>"
 
 
 def parse(body: Column) -> Column:
@@ -22,18 +28,66 @@ def get(variant: Column, path: str, dtype: str = "string") -> Column:
     return F.try_variant_get(variant, path if path.startswith("$") else "$." + path, dtype)
 
 
-def nesting(variant: Column) -> Column:
-    """How deep containers stand inside each other; null for null."""
-    brackets = F.regexp_replace(F.to_json(variant), r'"(?:[^"\\\\]|\\\\.)*+"|[^\[\]{}]++', "")
-    step = F.aggregate(
-        F.split(brackets, ""),
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-        lambda a, c: F.struct(
-            (a["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias("now"),
-            F.greatest(a["most"], a["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most"),
-        ),
-    )
-    return step["most"]
+def _unquoted(token: str) -> str:
+    return json.loads(token) if "\\" in token else token[1:-1]
+
+
+def leaves_of(text: str, array_items: int | None = None) -> list[dict]:
+    """The leaves of valid JSON text in their order; items of an array from array_items on are passed over."""
+    out, stack = [], []  # of open containers: [path, leaf key, positions, is an array, position, skipped]
+    path, key, places, skipped = "", "", [], False
+
+    def leaf(value: str | None, kind: str, number: float | None = None) -> None:
+        if not skipped:
+            out.append({"path": path, "leaf_key": key, "value": value, "number": number, "kind": kind, "ord": places})
+
+    tokens = _TOKEN.findall(text)
+    at, n = 0, len(tokens)
+    while at < n:
+        token = tokens[at]
+        at += 1
+        if token == "]" or token == "}":
+            stack.pop()
+            continue
+        if token == ",":
+            stack[-1][4] += 1
+            continue
+        if stack:  # what follows is an item of the innermost container
+            above, above_key, above_places, is_array, place, above_skipped = stack[-1]
+            if is_array:
+                path, key = f"{above}[{place}]", above_key
+            else:
+                key = _unquoted(token)
+                path = f"{above}.{key}" if above else key
+                token = tokens[at + 1]
+                at += 2
+            places = [*above_places, place]
+            skipped = above_skipped or (is_array and array_items is not None and place >= array_items)
+        if token == "[" or token == "{":
+            if tokens[at] in "]}":
+                leaf(token + tokens[at], "empty")
+                at += 1
+            else:
+                stack.append([path, key, places, token == "[", 0, skipped])
+        elif token[0] == '"':
+            leaf(_unquoted(token), "text")
+        elif token == "null":
+            leaf(None, "null")
+        elif token in ("true", "false"):
+            leaf(token, "bool")
+        else:
+            leaf(token, "number", float(token))
+    return out
+
+
+def leaves(variant: Column, array_items: int | None = None) -> Column:
+    """All leaves of a VARIANT as one array; see ``walk``."""
+
+    def scan(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else leaves_of(t, array_items) for t in texts.to_pylist()], pa.list_(_LEAF))
+
+    scan.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(scan, LEAVES)(F.to_json(variant))
 
 
 def walk(df: DataFrame, variant_col: str, keep: list[str], array_items: int | None = None) -> DataFrame:
@@ -48,49 +102,8 @@ def walk(df: DataFrame, variant_col: str, keep: list[str], array_items: int | No
       ord       positions along the path, sortable as an array
     ``array_items`` keeps only the first items of every array (path listings).
     """
-    spark = df.sparkSession
-    cur = df.filter(F.col(variant_col).isNotNull()).select(
-        *keep,
-        F.col(variant_col).alias("_v"),
-        F.lit("").alias("_path"),
-        F.lit("").alias("_key"),
-        F.array().cast("array<int>").alias("_ord"),
-    )
-    levels = df.select(F.max(nesting(F.col(variant_col)))).first()[0] or 0
-    for _ in range(levels):
-        step = cur.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer()))
-        moved = F.col("pos").isNotNull()
-        name = F.when(F.col("key").isNotNull(), F.concat(F.when(F.col("_path") == "", "").otherwise("."), F.col("key"))).otherwise(
-            F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))
-        )
-        cur = step.select(
-            *keep,
-            F.when(moved, F.col("value")).otherwise(F.col("_v")).alias("_v"),
-            F.when(moved, F.concat(F.col("_path"), name)).otherwise(F.col("_path")).alias("_path"),
-            F.coalesce(F.col("key"), F.col("_key")).alias("_key"),
-            F.when(moved, F.concat(F.col("_ord"), F.array(F.col("pos")))).otherwise(F.col("_ord")).alias("_ord"),
-            *([F.col("pos").alias("_pos"), F.col("key").alias("_k")] if array_items else []),
-        )
-        if array_items:
-            inside = F.col("_k").isNotNull() | F.col("_pos").isNull() | (F.col("_pos") < array_items)
-            cur = cur.filter(inside).drop("_pos", "_k")
-    schema = F.schema_of_variant("_v")
-    kind = (
-        F.when(schema.rlike(r"^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number")
-        .when(schema == "STRING", "text")
-        .when(schema == "BOOLEAN", "bool")
-        .when(schema == "VOID", "null")
-        .otherwise("empty")
-    )
-    return cur.select(
-        *keep,
-        F.col("_path").alias("path"),
-        F.col("_key").alias("leaf_key"),
-        F.try_variant_get("_v", "$", "string").alias("value"),
-        kind.alias("kind"),
-        F.try_variant_get("_v", "$", "double").alias("_num"),
-        F.col("_ord").alias("ord"),
-    ).select(*keep, "path", "leaf_key", "value", F.when(F.col("kind") == "number", F.col("_num")).alias("number"), "kind", "ord")
+    body = df.filter(F.col(variant_col).isNotNull()).select(*keep, leaves(F.col(variant_col), array_items).alias("_leaves"))
+    return body.select(*keep, F.inline("_leaves"))
 
 
 def object_keys(df: DataFrame, body_col: str, keep: list[str]) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelens.functions import vocab
-from quotelens.functions.jsonwalk import get, parse, walk
+from quotelens.functions.jsonwalk import get, leaves, parse, walk
 from quotelens.functions.money import coerce_price, parse_price, price_numbers, vat_percent
 from quotelens.functions.text import contains_any
-from quotelens.operators.skew import best_row, top_k
+from quotelens.operators.skew import best_row, salted_join, top_k
 
 CANDIDATE = "struct<value:double,score:int,source:string>"
 
@@ -87,10 +87,13 @@ def keyword_candidates(text: Column, prefix: Column, extra: Column | None = None
     return F.concat(*parts)
 
 
+def text_candidate_array(text: Column, prefix: Column) -> Column:
+    """Keyword candidates of a text; one without any amount is skipped before the patterns run."""
+    return F.when(text.rlike(r"\d[,.]\d\d"), keyword_candidates(text, prefix)).otherwise(F.array().cast(f"array<{CANDIDATE}>"))
+
+
 def text_candidates(df: DataFrame, keep: list[str], text: str, prefix: Column) -> DataFrame:
-    """Keyword candidates of a text column; texts without any digit are skipped before the patterns run."""
-    d = df.filter(F.col(text).rlike(r"\d[,.]\d\d"))
-    return d.select(*keep, F.explode(keyword_candidates(F.col(text), prefix)).alias("c")).select(*keep, "c.*")
+    return df.select(*keep, F.inline(text_candidate_array(F.col(text), prefix)))
 
 
 def named_prices(text: Column) -> Column:
@@ -106,43 +109,51 @@ def named_prices(text: Column) -> Column:
     return F.filter(F.array(*rows), lambda r: r["value"].isNotNull())
 
 
+def named_candidate_array(text: Column) -> Column:
+    rows = F.transform(named_prices(text), lambda n: _candidate(n["value"], F.lit(20) + path_bonus(n["key"]), F.concat(F.lit("named:"), n["key"])))
+    return F.when(F.lower(text).rlike('"(total|product|shipping)_'), rows).otherwise(F.array().cast(f"array<{CANDIDATE}>"))
+
+
 def named_candidates(df: DataFrame, keep: list[str], text: str) -> DataFrame:
-    d = df.filter(F.lower(F.col(text)).rlike('"(total|product|shipping)_'))
-    rows = d.select(*keep, F.explode(named_prices(F.col(text))).alias("n"))
-    return rows.select(
-        *keep, F.col("n.value").alias("value"), (F.lit(20) + path_bonus(F.col("n.key"))).cast("int").alias("score"),
-        F.concat(F.lit("named:"), F.col("n.key")).alias("source"),
-    )
+    return df.select(*keep, F.inline(named_candidate_array(F.col(text))))
 
 
 # ---- candidates from JSON -----------------------------------------------------------------------------------------------
 
-def json_candidates(df: DataFrame, keep: list[str], body: str) -> DataFrame:
-    """Numeric and textual leaves under price-like keys, plus prices inside text leaves."""
-    leaves = walk(df.withColumn("_body_v", parse(F.col(body))), "_body_v", keep)
-    direct = leaves.filter(~F.col("path").endswith("]")).withColumn("w", key_weight(F.col("leaf_key")))
-    direct = direct.filter((F.col("w") > 0) | F.contains("value", F.lit("<")))
-    number = F.when(F.col("kind") == "number", F.col("number")).when(
-        (F.col("kind") == "bool") & (F.col("value") == "true"), F.lit(1.0)
-    )
-    bonus = path_bonus(F.col("path"))
-    text = F.when(F.col("kind") == "text", F.col("value"))
-    from_number = F.when(
-        (F.col("w") > 0) & (number >= 0),
-        F.array(_candidate(number, F.col("w") + bonus, F.concat(F.lit("json:"), F.col("path")))),
-    )
-    parsed = parse_price(text)
-    from_text = F.when(
-        (F.col("w") > 0) & parsed.isNotNull(),
-        F.array(_candidate(parsed, F.col("w") + bonus, F.concat(F.lit("json_str:"), F.col("path")))),
+def json_candidate_array(found: Column) -> Column:
+    """Candidates of a body's leaves: numbers and texts under price-like keys, plus prices inside text leaves."""
+    none = F.array().cast(f"array<{CANDIDATE}>")
+    weighted = F.transform(
+        F.filter(found, lambda x: ~x["path"].endswith("]")),
+        lambda x: F.struct(x["path"].alias("path"), x["value"].alias("value"), x["number"].alias("number"), x["kind"].alias("kind"), key_weight(x["leaf_key"]).alias("w")),
     )
-    mined = F.when(
-        text.rlike(r"\d[,.]\d\d") & ((F.contains(text, F.lit("<")) & F.contains(text, F.lit(">"))) | (F.col("w") > 0)),
-        keyword_candidates(text, F.concat(F.lit("json_html:"), F.col("path")), F.greatest(F.lit(0), F.col("w") - 2)),
+    kept = F.filter(weighted, lambda x: (x["w"] > 0) | F.contains(x["value"], F.lit("<")))
+    # a path's bonus and a text's price are bound here, so that each is worked out once
+    valued = F.transform(
+        kept,
+        lambda x: F.struct(
+            x["path"].alias("path"), x["w"].alias("w"), path_bonus(x["path"]).alias("bonus"), F.when(x["kind"] == "text", x["value"]).alias("text"),
+            F.when(x["kind"] == "number", x["number"]).when((x["kind"] == "bool") & (x["value"] == "true"), F.lit(1.0)).alias("number"),
+            F.when((x["kind"] == "text") & (x["w"] > 0), parse_price(x["value"])).alias("parsed"),
+        ),
     )
-    none = F.array().cast(f"array<{CANDIDATE}>")
-    rows = direct.select(*keep, F.explode(F.concat(*[F.coalesce(a, none) for a in (from_number, from_text, mined)])).alias("c"))
-    return rows.select(*keep, "c.*").filter(_in_range(F.col("value")))
+
+    def of_leaf(x: Column) -> Column:
+        from_number = F.when((x["w"] > 0) & (x["number"] >= 0), F.array(_candidate(x["number"], x["w"] + x["bonus"], F.concat(F.lit("json:"), x["path"]))))
+        from_text = F.when(x["parsed"].isNotNull(), F.array(_candidate(x["parsed"], x["w"] + x["bonus"], F.concat(F.lit("json_str:"), x["path"]))))
+        text = x["text"]
+        mined = F.when(
+            text.rlike(r"\d[,.]\d\d") & ((F.contains(text, F.lit("<")) & F.contains(text, F.lit(">"))) | (x["w"] > 0)),
+            keyword_candidates(text, F.concat(F.lit("json_html:"), x["path"]), F.greatest(F.lit(0), x["w"] - 2)),
+        )
+        return F.concat(*[F.coalesce(a, none) for a in (from_number, from_text, mined)])
+
+    return F.filter(F.flatten(F.transform(valued, of_leaf)), lambda c: _in_range(c["value"]))
+
+
+def json_candidates(df: DataFrame, keep: list[str], body: str) -> DataFrame:
+    d = df.select(*keep, leaves(parse(F.col(body))).alias("_leaves"))
+    return d.select(*keep, F.inline(json_candidate_array(F.col("_leaves"))))
 
 
 def plain_number_prices(df: DataFrame, keep: list[str], body: str) -> DataFrame:
@@ -303,43 +314,73 @@ def select_best(cands: DataFrame, keys: list[str], expected: str | None = None)
 
 
 def trace_price_candidates(traces: DataFrame, keep: list[str]) -> DataFrame:
-    """All candidates of each trace body: JSON leaves, keyword text where the body is no JSON, named totals."""
-    body = "response_body_preview"
-    t = traces.filter(F.trim(F.coalesce(F.col(body), F.lit(""))) != "")
-    is_json = F.try_parse_json(F.trim(F.col(body))).isNotNull()
-    priced = contains_any(F.lower(F.col(body)), vocab.PRICE_TEXT_TOKENS)
-    prefix = F.when(F.contains(F.lower("response_content_type"), F.lit("html")), "captured_trace_html").otherwise("captured_trace_text")
-    from_json = json_candidates(t, keep, body)
-    texts = t.filter(~is_json & priced)
-    return combine(from_json, text_candidates(texts, keep, body, prefix), named_candidates(t.filter(is_json | priced), keep, body))
-
-
-def prices_from_traces(traces: DataFrame, ranked: DataFrame, expected: DataFrame | None = None) -> DataFrame:
-    """Price per run: the best ranked endpoint (score > 0, not noise) whose last trace yields a price."""
+    """All candidates of each trace body. The body is parsed and walked once, and its candidates are unnested once.
+
+    JSON: its leaves; where they give no price, keyword text of the whole body. Other bodies: keyword text if a price word
+    stands in them. Both: named totals.
+    """
+    body = F.col("response_body_preview")
+    t = traces.filter(F.trim(F.coalesce(body, F.lit(""))) != "").select(*keep, body, "response_content_type", leaves(parse(body)).alias("_leaves"))
+    t = t.withColumn("_json", json_candidate_array(F.col("_leaves")))
+    is_json, priced = F.col("_leaves").isNotNull(), contains_any(F.lower(body), vocab.PRICE_TEXT_TOKENS)
+    prefix = F.when(is_json, "captured_trace_json_text").when(F.contains(F.lower("response_content_type"), F.lit("html")), "captured_trace_html").otherwise("captured_trace_text")
+    none = F.array().cast(f"array<{CANDIDATE}>")
+    text = F.when(priced & (F.coalesce(F.size("_json"), F.lit(0)) <= 0), text_candidate_array(body, prefix)).otherwise(none)
+    named = F.when(is_json | priced, named_candidate_array(body)).otherwise(none)
+    return t.select(*keep, F.inline(F.concat(F.coalesce("_json", none), text, named)))
+
+
+def bootstrap_allowed(url: Column) -> Column:
+    """Whether candidates of the page itself may stand in for an endpoint's own."""
+    low = F.lower(url)
+    return ~F.contains(low, F.lit("/api/")) & ~F.contains(low, F.lit("://api."))
+
+
+def priced_endpoints(traces: DataFrame, ranked: DataFrame) -> DataFrame:
+    """run_id, rank, url, endpoint_score and the last trace of the urls to read, in order: the endpoints with a score,
+    or where a run has none of these all its urls as they were captured. Noise is left out afterwards."""
     from quotelens.functions.urls import is_price_noise
 
-    urls = ranked.filter((F.col("score") > 0) & ~is_price_noise(F.col("url"))).select("run_id", "url", "rank", F.col("score").alias("endpoint_score"))
+    scored = ranked.filter(F.col("score") > 0).select("run_id", F.col("rank").cast("long").alias("rank"), "url", F.col("score").cast("int").alias("endpoint_score"))
     last = best_row(traces, ["run_id", "url"], [F.col("trace_idx")], ["trace_idx", "response_body_preview", "response_content_type"])
-    t = urls.join(last, ["run_id", "url"])
+    score = ranked.groupBy("run_id", "url").agg(F.max("score").cast("int").alias("endpoint_score"))
+    bare = traces.join(scored.select("run_id").distinct(), "run_id", "left_anti").groupBy("run_id", "url").agg(F.min("trace_idx").cast("long").alias("rank"))
+    urls = scored.unionByName(bare.join(score, ["run_id", "url"], "left").select("run_id", "rank", "url", "endpoint_score"))
+    return urls.filter(~is_price_noise(F.col("url"))).join(last, ["run_id", "url"])
+
+
+def prices_from_traces(traces: DataFrame, ranked: DataFrame, expected: DataFrame | None = None, page: DataFrame | None = None) -> DataFrame:
+    """Price per run: of the urls in order, the first whose last trace yields a price.
+
+    ``page``: run_id, value, score, source of what the page itself shows (selected options, summary lines, VAT). They
+    join the candidates of urls outside the API; the first such url that can be read has a price then, so they are joined to it alone.
+    """
+    t = priced_endpoints(traces, ranked)
     keys = ["run_id", "rank", "url", "endpoint_score"]
     cands = trace_price_candidates(t, keys)
+    if page is not None:
+        body = F.trim(F.coalesce("response_body_preview", F.lit("")))
+        readable = (body != "") & (parse(body).isNotNull() | contains_any(F.lower(body), vocab.PRICE_TEXT_TOKENS))
+        first = best_row(t.filter(readable & bootstrap_allowed(F.col("url"))), ["run_id"], [F.col("rank")], ["rank", "url", "endpoint_score"], smallest=True)
+        cands = cands.unionByName(salted_join(page, first, ["run_id"], F.xxhash64("value", "source")).select(*keys, "value", "score", "source"))
     if expected is not None:
         cands = cands.join(expected.select("run_id", "expected_price"), "run_id", "left")
     best = select_best(cands, keys, "expected_price" if expected is not None else None)
     return best_row(best, ["run_id"], [F.col("rank")], ["url", "endpoint_score", "price", "score", "price_source", "price_group"], smallest=True)
 
 
-def prices_from_dom(dom: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+def prices_from_dom(dom: DataFrame, others: DataFrame, keys: list[str], expected: DataFrame | None = None) -> DataFrame:
     """DOM prices by stage (after, before, any) with the page's other candidates; the first stage with prices decides.
 
-    ``dom``: keys, stage (0 after, 1 before, 2 any), value.
+    ``dom``: keys, stage (0 after, 1 before, 2 any), value. ``others``: keys, value, score, source. ``expected``: keys, expected_price.
     """
     positive = dom.filter("value > 0")
     first = positive.groupBy(*keys).agg(F.min("stage").alias("stage"), F.min_by("value", F.struct("stage", "value")).alias("lowest"))
     label = F.element_at(F.array(F.lit("browser_dom_post_interaction"), F.lit("browser_dom_pre_interaction"), F.lit("browser_dom")), F.col("stage") + 1)
     staged = positive.join(first.select(*keys, "stage"), [*keys, "stage"]).select(*keys, "value", F.lit(1).alias("score"), F.concat(F.lit("dom:"), label).alias("source"))
     known = others.join(first.select(*keys), keys, "left_semi")
-    best = select_best(combine(staged, known.select(*keys, "value", "score", "source")), keys)
+    pool = combine(staged, known.select(*keys, "value", "score", "source"))
+    best = select_best(pool, keys) if expected is None else select_best(pool.join(expected, keys, "left"), keys, "expected_price")
     return first.select(*keys, label.alias("replay"), "lowest").join(best, keys, "left").withColumn("price", F.coalesce("price", "lowest"))
 
 

@@ -218,11 +218,13 @@ def vat_rates_by_run(spark, sf_dir):
     return pr.vat_rates(_ordered_lines(spark, sf_dir), ["run_id"], "ord", "line")
 
 
-@query("vat_gross_candidates", with_views(["price_lines"], f"""WITH {VAT_CTE}, {SELECTED_CTE},
-on1 AS (SELECT run_id, value, max(score) AS score, arg_max(source, (score, source)) AS source FROM sel WHERE value > 0 GROUP BY run_id, value),
+GROSS_CTE = """on1 AS (SELECT run_id, value, max(score) AS score, arg_max(source, (score, source)) AS source FROM sel WHERE value > 0 GROUP BY run_id, value),
 ld AS (SELECT *, max(value) OVER (PARTITION BY run_id) AS mx, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, value DESC) AS rn FROM on1),
 g AS (SELECT run_id, CAST(round(CAST(value AS DECIMAL(18,2)) * (1 + CAST(vat_percent AS DECIMAL(6,2)) * 0.01), 2) AS DOUBLE) AS gross, value, greatest(1, score - 2) AS score, printf('derived_vat:%.2f%%:', vat_percent) || source AS source
-  FROM ld JOIN vat USING (run_id) WHERE rn <= 6 AND value >= mx * 0.6)
+  FROM ld JOIN vat USING (run_id) WHERE rn <= 6 AND value >= mx * 0.6)"""
+
+
+@query("vat_gross_candidates", with_views(["price_lines"], f"""WITH {VAT_CTE}, {SELECTED_CTE}, {GROSS_CTE}
 SELECT run_id, gross AS value, score, source FROM g WHERE abs(gross - value) >= 0.01"""))
 def vat_gross_candidates(spark, sf_dir):
     rates = pr.vat_rates(_ordered_lines(spark, sf_dir), ["run_id"], "ord", "line")
@@ -232,8 +234,9 @@ def vat_gross_candidates(spark, sf_dir):
 # ---- selection -------------------------------------------------------------------------------------------------------------
 
 TRACE_CAND_CTE = f"""{JSON_CAND_CTE}, {NAMED_CTE},
-tx AS (SELECT run_id, trace_idx, url, response_body_preview AS txt, CASE WHEN contains(lower(response_content_type), 'html') THEN 'captured_trace_html' ELSE 'captured_trace_text' END AS pre
-  FROM traces WHERE NOT json_valid(response_body_preview) AND trim(response_body_preview) <> '' AND {ck.any_of('lower(response_body_preview)', vocab.PRICE_TEXT_TOKENS)}),
+tx AS (SELECT run_id, trace_idx, url, response_body_preview AS txt, CASE WHEN json_valid(response_body_preview) THEN 'captured_trace_json_text' WHEN contains(lower(response_content_type), 'html') THEN 'captured_trace_html' ELSE 'captured_trace_text' END AS pre
+  FROM traces WHERE (NOT json_valid(response_body_preview) OR NOT EXISTS (SELECT 1 FROM jcand j WHERE j.run_id = traces.run_id AND j.trace_idx = traces.trace_idx))
+  AND trim(response_body_preview) <> '' AND {ck.any_of('lower(response_body_preview)', vocab.PRICE_TEXT_TOKENS)}),
 tk2 AS ({_kw_sql('txt', 'pre').replace(' FROM src', ' FROM tx')}),
 cand AS (SELECT run_id, trace_idx, url, value, score, source FROM jcand UNION ALL SELECT run_id, trace_idx, url, value, 20 + {_bonus('key')}, 'named:' || key FROM named
   UNION ALL SELECT run_id, trace_idx, url, {parse_sql('tok')} AS v, score, source FROM tk2 WHERE v IS NOT NULL),
@@ -272,11 +275,32 @@ def selected_trace_prices(spark, sf_dir):
     return pr.select_best(_trace_candidates(spark, sf_dir, ["trace_idx"]), ["trace_idx"])
 
 
-@query("run_prices", with_views(["traces", "units"], f"""WITH {ck.scored_cte()}, {ck.RANKED_CTE}, {TRACE_CAND_CTE},
-ru AS (SELECT run_id, url, rank, score AS endpoint_score FROM ranked WHERE score > 0 AND NOT {ck.any_of('lower(url)', vocab.PRICE_NOISE_URL)}),
+# what the page itself shows: selected options, summary lines, and gross values by the page's tax rate
+PAGE_CTE = f"""{SUMMARY_CTE}, {VAT_CTE.removeprefix(LINES_CTE + ", ")}, {SELECTED_CTE}, {GROSS_CTE},
+page AS (SELECT run_id, value, score, source FROM sel UNION ALL SELECT run_id, value, score, source FROM sl UNION ALL SELECT run_id, gross, score, source FROM g WHERE abs(gross - value) >= 0.01)"""
+
+
+def _page_candidates(spark, sf_dir, runs):
+    """Candidates of the pages of some runs."""
+    lines = view(spark, sf_dir, "price_lines").join(runs.select("run_id").distinct(), "run_id", "left_semi")
+    ordered = with_ordinal(lines, ["run_id"], LINE_ORDER, F.col("line_no"), "ord").select("run_id", "ord", "line")
+    hinted = lines.select("run_id", F.concat(F.lit("value:"), F.col("flag")).alias("hint"), "line")
+    chosen = pr.selected_option_candidates(hinted, ["run_id"], "hint", "line")
+    gross = pr.derived_gross_candidates(chosen, pr.vat_rates(ordered, ["run_id"], "ord", "line"), ["run_id"])
+    return pr.combine(chosen, pr.summary_line_candidates(ordered, ["run_id"], "ord", "line"), gross)
+
+
+@query("run_prices", with_views(["traces", "units", "price_lines"], f"""WITH {ck.scored_cte()}, {ck.RANKED_CTE}, {TRACE_CAND_CTE}, {PAGE_CTE},
+scored_urls AS (SELECT run_id, url, rank, score AS endpoint_score FROM ranked WHERE score > 0),
+all_urls AS (SELECT * FROM scored_urls UNION ALL SELECT t.run_id, t.url, min(t.trace_idx), max(r.score) FROM traces t LEFT JOIN ranked r USING (run_id, url) WHERE t.run_id NOT IN (SELECT run_id FROM scored_urls) GROUP BY t.run_id, t.url),
+ru AS (SELECT * FROM all_urls WHERE NOT {ck.any_of('lower(url)', vocab.PRICE_NOISE_URL)}),
 lt AS (SELECT run_id, url, max(trace_idx) AS trace_idx FROM traces GROUP BY ALL),
+lb AS (SELECT run_id, url, response_body_preview AS body FROM lt JOIN traces USING (run_id, url, trace_idx)),
 ex AS (SELECT run_id, min(expected_cents) / 100 AS expected_price FROM units GROUP BY run_id),
-cr AS (SELECT ru.run_id, ru.rank, ru.url, ru.endpoint_score, ex.expected_price, cg.val, cg.score, cg.source, cg.grp FROM ru JOIN lt USING (run_id, url) JOIN cg USING (run_id, url, trace_idx) JOIN ex USING (run_id)),
+pool AS (SELECT ru.*, val, cg.score, source, grp FROM ru JOIN lt USING (run_id, url) JOIN cg USING (run_id, url, trace_idx)
+  UNION ALL SELECT *, {GROUP} FROM (SELECT ru.*, round(value, 2), page.score, source FROM ru JOIN lb USING (run_id, url) JOIN page USING (run_id)
+    WHERE trim(body) <> '' AND (json_valid(body) OR {ck.any_of('lower(body)', vocab.PRICE_TEXT_TOKENS)}) AND NOT contains(lower(url), '/api/') AND NOT contains(lower(url), '://api.') AND value > 0 AND value <= 1000000)),
+cr AS (SELECT pool.*, ex.expected_price FROM pool LEFT JOIN ex USING (run_id)),
 st AS (SELECT *, score + {_bonus('lower(source)')} + {PRIO} AS total FROM cr),
 pv AS (SELECT run_id, rank, url, endpoint_score, expected_price, val, max(total) AS total, arg_max(source, (total, source)) AS source, arg_max(grp, (total, source)) AS grp FROM st GROUP BY ALL),
 bb AS (SELECT *, row_number() OVER (PARTITION BY run_id, rank ORDER BY total DESC, {PRIO} DESC, -abs(val - expected_price) DESC, val DESC) AS rn FROM pv),
@@ -286,7 +310,48 @@ def run_prices(spark, sf_dir):
     t = view(spark, sf_dir, "traces")
     ranked = ep.rank_endpoints(ep.score_traces(t))
     expected = view(spark, sf_dir, "units").groupBy("run_id").agg((F.min("expected_cents") / 100).alias("expected_price"))
-    return pr.prices_from_traces(t, ranked, expected)
+    return pr.prices_from_traces(t, ranked, expected, _page_candidates(spark, sf_dir, t))
+
+
+DOM_CTE = f"""{PAGE_CTE},
+dm AS (SELECT run_id, CASE flag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS stage, cents / 100.0::DOUBLE AS value FROM price_lines WHERE supp_no % 3 > 0),
+ds AS (SELECT run_id, min(stage) AS stage FROM dm WHERE value > 0 GROUP BY run_id),
+dl AS (SELECT *, CASE stage WHEN 0 THEN 'browser_dom_post_interaction' WHEN 1 THEN 'browser_dom_pre_interaction' ELSE 'browser_dom' END AS replay FROM ds),
+dp AS (SELECT run_id, replay, round(value, 2) AS val, 1 AS score, 'dom:' || replay AS source FROM dm JOIN dl USING (run_id, stage) WHERE value > 0
+  UNION ALL SELECT run_id, replay, round(value, 2), score, source FROM page JOIN dl USING (run_id) WHERE value > 0 AND value <= 1000000),
+dg AS (SELECT *, {GROUP} AS grp FROM dp), dt AS (SELECT *, score + {_bonus('lower(source)')} + {PRIO} AS total FROM dg),
+dv AS (SELECT run_id, replay, val, max(total) AS total, arg_max(grp, (total, source)) AS grp FROM dt GROUP BY ALL),
+db AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY total DESC, {PRIO} DESC, val DESC) AS rn FROM dv),
+dom AS (SELECT run_id, replay, val AS price FROM db WHERE rn = 1)"""
+
+
+def _dom(spark, sf_dir):
+    lines = view(spark, sf_dir, "price_lines")
+    stage = F.when(F.col("flag") == "A", 0).when(F.col("flag") == "N", 1).otherwise(2)
+    dom = lines.filter("supp_no % 3 > 0").select("run_id", stage.alias("stage"), (F.col("cents") / F.lit(100.0)).alias("value"))
+    return pr.prices_from_dom(dom, _page_candidates(spark, sf_dir, dom), ["run_id"]).select("run_id", "replay", "price")
+
+
+@query("dom_prices", with_views(["price_lines"], f"WITH {DOM_CTE} SELECT * FROM dom"))
+def dom_prices(spark, sf_dir):
+    return _dom(spark, sf_dir)
+
+
+@query("extraction_tiers", with_views(["traces", "units", "price_lines"], f"""WITH {NAMED_CTE}, {DOM_CTE},
+h AS (SELECT run_id, arg_min(round(CAST(response_body_preview->>'$.price_matrix[0].price' AS DOUBLE), 2), trace_idx) AS price FROM traces WHERE json_valid(response_body_preview) AND response_body_preview LIKE '{{"price_matrix%' GROUP BY run_id),
+n AS (SELECT run_id, arg_min(value, (trace_idx, key)) AS price FROM named GROUP BY run_id),
+u AS (SELECT DISTINCT run_id, run_id % 5 = 0 AS request_only FROM units),
+j AS (SELECT u.run_id, request_only, h.price AS hp, coalesce(n.price, d.price) AS op, CASE WHEN n.price IS NOT NULL THEN 'captured_trace' WHEN d.price IS NOT NULL THEN 'browser_dom' END AS om FROM u LEFT JOIN h USING (run_id) LEFT JOIN n USING (run_id) LEFT JOIN dom d USING (run_id))
+SELECT run_id, request_only, CASE WHEN hp IS NOT NULL THEN hp WHEN NOT request_only THEN op END AS price, CASE WHEN hp IS NOT NULL THEN 'http' WHEN request_only OR om IS NULL THEN 'none' ELSE om END AS replay_mode,
+ CASE WHEN hp IS NOT NULL THEN NULL WHEN request_only THEN 'request_only_http_replay_failed' WHEN op IS NULL THEN 'no_replay_price_extracted' END AS extraction_reason FROM j"""))
+def extraction_tiers(spark, sf_dir):
+    t = view(spark, sf_dir, "traces")
+    http = pr.adapter_price(t.select("run_id", "trace_idx", "response_body_preview"), "response_body_preview", "$.price_matrix[0].price", "$.currency")
+    http = http.groupBy("run_id").agg(F.min_by("price", "trace_idx").alias("price"))
+    named = t.select("run_id", "trace_idx", F.explode(pr.named_prices(F.col("response_body_preview"))).alias("n"))
+    named = named.groupBy("run_id").agg(F.min_by("n.value", F.struct("trace_idx", "n.key")).alias("price"))
+    units = view(spark, sf_dir, "units").select("run_id", (F.col("run_id") % 5 == 0).alias("request_only")).distinct()
+    return pr.extraction_tier(http, named, _dom(spark, sf_dir), units, F.col("request_only"))
 
 
 @query("site_reference_prices", with_views(["traces"], f"""WITH {TRACE_CAND_CTE},

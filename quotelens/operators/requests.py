@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelens.functions.text import decode_template
 from quotelens.functions.urls import encode_pairs, form_pairs, netloc, path, replace_pair, scheme
-from quotelens.operators.skew import best_row
+from quotelens.operators.skew import best_row, salted_join
 
 # ---- templates ---------------------------------------------------------------------------------------------------------------
 
@@ -168,30 +170,93 @@ def adapter_requests(bodies: DataFrame) -> DataFrame:
 
 # ---- adapters ------------------------------------------------------------------------------------------------------------------
 
+def required_literal(pattern: str | None) -> str | None:
+    """Longest run of ASCII characters that every match of the pattern contains, in lower case; null where none is certain.
+
+    Only characters outside groups, classes and alternatives count, and none that a quantifier may drop.
+    """
+    import re
+
+    pattern = pattern or ""
+    if re.search(r"\\[^dDwWsSbBAzZGhHvVR\W_]|\(\?[a-zA-Z-]*x", pattern):  # escapes whose characters do not stand for themselves; free spacing
+        return None
+    best, run, i, depth = "", "", 0, 0
+    while i < len(pattern):
+        part = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\{\d*,?\d*\}|.", re.S).match(pattern, i).group()
+        i += len(part)
+        if part == "|" and not depth:
+            return None
+        depth += (part == "(") - (part == ")")
+        if depth or part == ")":
+            own = ""
+        elif part[0] in "?*" or (part[0] == "{" and not re.match(r"\{0*[1-9]", part)):
+            best, run, own = max(best, run[:-1], key=len), "", ""
+        else:
+            plain = part[1:] if part[0] == "\\" else part
+            own = plain if len(plain) == 1 and plain.isascii() and not (part[0] == "\\" and plain.isalnum()) and (part[0] == "\\" or part not in ".^$+[]{}()") else ""
+        run, best = (run + own, best) if own else ("", max(best, run, key=len))
+    best = max(best, run, key=len).lower()
+    return best or None
+
+
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """Distinct character triples."""
+    n = F.char_length(text)
+    spots = F.when(n >= GRAM, F.sequence(F.lit(1), n - GRAM + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(spots, lambda i: F.substr(text, i, F.lit(GRAM))))
+
+
+def open_adapter_hits(urls: DataFrame, adapters: DataFrame) -> DataFrame:
+    """url, adapter_no, adapter_id for every adapter (adapter_no, adapter_id, url_regex) whose pattern finds something in a url.
+
+    Every adapter is filed under one character triple of the literal that its pattern requires, the one that the fewest
+    urls have; a url probes with its own triples, and the pattern runs on what meets. Of patterns without condition only
+    the first counts. Patterns without a literal of three characters can be filed nowhere: each of them is tried on
+    every url, on both sides of an equality that salts spread.
+    """
+    none = F.coalesce("url_regex", F.lit("")) == ""
+    always = adapters.filter(none).agg(F.min(F.struct("adapter_no", "adapter_id")).alias("_a")).filter("_a is not null").select("_a.*")
+    literal = F.udf(required_literal, "string")(F.col("url_regex"))
+    filed = adapters.filter(~none).withColumn("_lit", literal)
+    named = ["adapter_no", "adapter_id", "url_regex", "_lit", "_all"]
+    grams = filed.filter(F.char_length("_lit") >= GRAM).withColumn("_own", _grams(F.col("_lit"))).withColumn("_all", F.size("_own")).select(*named, F.explode("_own").alias("_gram"))
+    probes = urls.select("url", F.explode(_grams(F.lower("url"))).alias("_gram")).join(grams.select("_gram").distinct(), "_gram", "left_semi")
+    counted = grams.join(probes.groupBy("_gram").agg(F.count(F.lit(1)).alias("_urls")), "_gram")
+    # a triple that no url has rules its adapter out
+    rare = counted.distinct().groupBy(*named).agg(F.min_by("_gram", F.struct("_urls", "_gram")).alias("_gram"), F.count(F.lit(1)).alias("_some")).filter("_some = _all").drop("_some", "_all")
+    met = salted_join(probes, rare, ["_gram"], F.xxhash64("url")).filter(F.contains(F.lower("url"), F.col("_lit")) & F.rlike(F.col("url"), F.col("url_regex")))
+    loose = filed.filter(F.coalesce(F.char_length("_lit"), F.lit(0)) < GRAM).select("adapter_no", "adapter_id", "url_regex").withColumn("_all", F.lit(True))
+    tried = salted_join(urls.select("url").withColumn("_all", F.lit(True)), loose, ["_all"], F.xxhash64("url")).filter(F.rlike(F.col("url"), F.col("url_regex")))
+    first = salted_join(urls.select("url").withColumn("_all", F.lit(True)), always.withColumn("_all", F.lit(True)), ["_all"], F.xxhash64("url"))
+    return reduce(DataFrame.unionByName, (x.select("url", "adapter_no", "adapter_id") for x in (met, tried, first)))
+
+
 def match_adapters(targets: DataFrame, adapters: DataFrame, keys: list[str]) -> DataFrame:
     """First adapter per target by host and URL pattern, or why none fits.
 
     ``targets``: keys, url. ``adapters``: adapter_no, adapter_id, domains (ARRAY), url_regex. Adapters are matched by
-    host equality; those without domains form a short list of their own.
+    host equality; those without domains through an index of the literals in their patterns. Equal urls are matched once.
     """
     d = targets.withColumn("_host", F.regexp_replace(F.regexp_replace(netloc(F.trim("url")), r":\d+$", ""), r"^www\.", ""))
     a = adapters.withColumn("_domains", F.filter(F.transform(F.coalesce("domains", F.array().cast("array<string>")), lambda x: F.regexp_replace(F.lower(F.trim(x)), r"^www\.", "")), lambda x: x != ""))
     hosted = a.filter(F.size("_domains") > 0).select("adapter_no", "adapter_id", "url_regex", F.explode("_domains").alias("_host")).distinct()
-    hits = d.filter("_host <> ''").join(hosted, "_host").select(*keys, "url", "adapter_no", "adapter_id", "url_regex")
-    anyhost = a.filter(F.size("_domains") == 0).select("adapter_no", "adapter_id", "url_regex")
-    # the open adapters are read as one array; a target row meets the array, not a cross product
-    opened = anyhost.agg(F.array_sort(F.collect_list(F.struct("adapter_no", "adapter_id", "url_regex"))).alias("_open")).withColumn("_one", F.lit(1))
-    loose = d.filter("_host <> ''").withColumn("_one", F.lit(1)).join(opened, "_one").select(*keys, "url", F.explode("_open").alias("o")).select(*keys, "url", "o.*")
-    tried = hits.unionByName(loose).withColumn("_ok", (F.coalesce("url_regex", F.lit("")) == "") | F.rlike(F.col("url"), F.col("url_regex")))
-    per = tried.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_tried"), F.min_by(F.struct("adapter_no", "adapter_id"), F.when(F.col("_ok"), F.col("adapter_no"))).alias("_m")
-    )
-    total = adapters.select(F.lit(1).alias("_one")).groupBy("_one").agg(F.count(F.lit(1)).alias("_loaded"))
-    out = d.join(per, keys, "left").withColumn("_one", F.lit(1)).join(total, "_one", "left")
+    urls = d.filter("_host <> ''").groupBy("url", "_host").agg(F.count(F.lit(1)).alias("_uses"))
+    own = salted_join(urls, hosted, ["_host"], F.xxhash64("url"))
+    fits = (F.coalesce("url_regex", F.lit("")) == "") | F.rlike(F.col("url"), F.col("url_regex"))
+    by_host = own.groupBy("url").agg(F.min(F.when(fits, F.struct("adapter_no", "adapter_id"))).alias("_h"), F.lit(True).alias("_tried"))
+    opened = a.filter(F.size("_domains") == 0).select("adapter_no", "adapter_id", "url_regex")
+    by_pattern = open_adapter_hits(urls.select("url"), opened).groupBy("url").agg(F.min(F.struct("adapter_no", "adapter_id")).alias("_p"))
+    out = d.join(by_host, "url", "left").join(by_pattern, "url", "left")
+    loaded = adapters.agg(F.count(F.lit(1))).scalar()
+    anyhost = a.agg(F.count_if(F.size("_domains") == 0)).scalar()
+    out = out.withColumn("_m", F.least("_h", "_p"))
     reason = (
         F.when(F.coalesce(F.trim("url"), F.lit("")) == "", "missing_target_url").when(F.col("_host") == "", "missing_target_host")
-        .when(F.coalesce("_loaded", F.lit(0)) == 0, "no_adapters_loaded").when(F.col("_m").isNotNull(), "matched")
-        .when(F.col("_tried").isNull(), "host_mismatch").otherwise("url_regex_mismatch")
+        .when(loaded == 0, "no_adapters_loaded").when(F.col("_m").isNotNull(), "matched")
+        .when(F.col("_tried").isNull() & (anyhost == 0), "host_mismatch").otherwise("url_regex_mismatch")
     )
     return out.select(*keys, F.col("_host").alias("target_host"), F.col("_m.adapter_id").alias("adapter_id"), reason.alias("match_reason"))
 

@@ -15,7 +15,8 @@ from quotelens.functions import vocab
 from quotelens.functions.text import (
     compact_key, label_key, loose_key, match_parts, match_score_normalised, match_score_parts, match_text, token_set, value_equals,
 )
-from quotelens.operators.skew import best_row, salted_join, top_k
+from quotelens.operators.skew import best_row, top_k
+from quotelens.operators.textindex import candidates
 
 # Key families of request paths, in order.
 CANONICAL_KEYS = {
@@ -76,26 +77,29 @@ def match_catalog(requests: DataFrame, options: DataFrame, scope: str, texts: li
     no_matching_group, group_label, matched_label, scores.
     """
     texts = texts or ["visible_label", "visible_value"]
-    want = requests.select(scope, "key", "value").distinct().withColumn("_want", match_parts(match_text(F.col("value"))))
+    want = requests.select(scope, "key", "value").distinct()
     # counted, so that the optimizer keeps this reduction before the alias expansion
     used_keys = requests.groupBy(scope, "key").agg(F.count(F.lit(1)).alias("_uses")).filter("_uses > 0")
     cols = [f"_t{i}" for i in range(len(texts))]
     opt = options.select(scope, "group_ord", "option_ord", "visible_label", *[match_text(F.col(t)).alias(c) for t, c in zip(texts, cols, strict=True)])
     # labels repeat inside a group: score each distinct text combination once
     lab = opt.groupBy(scope, "group_ord", *cols).agg(F.min_by(F.struct("option_ord", "visible_label"), "option_ord").alias("_o"))
-    lab = lab.select(scope, "group_ord", *[match_parts(F.col(c)).alias(c) for c in cols], "_o.option_ord", "_o.visible_label")
-    # distinct requests of a scope are spread over salts, the scope's labels are copied to each
-    pair = salted_join(want.select(scope, "key", "value", "_want"), lab, [scope], F.hash("key", "value"))
+    lab = lab.select(scope, "group_ord", *cols, "_o.option_ord", "_o.visible_label")
+    values = want.select(scope, "value").distinct().withColumn("_n", match_text(F.col("value"))).filter("_n <> ''")
+    near = candidates(values, lab, [scope], ["value"], ["group_ord", "option_ord"], ["_n"], cols)
+    pair = near.join(values.select(scope, "value", match_parts(F.col("_n")).alias("_want")), [scope, "value"]).join(
+        lab.select(scope, "group_ord", "option_ord", *[match_parts(F.col(c)).alias(c) for c in cols]), [scope, "group_ord", "option_ord"]
+    )
     score = F.greatest(F.lit(0), *[match_score_parts(F.col(c), F.col("_want")) for c in cols])
     ranked = F.struct(score.cast("int").alias("s"), (-F.col("option_ord")).alias("o"))
-    best = pair.withColumn("_p", ranked).filter("_p.s > 0 and _p.o is not null").groupBy(scope, "key", "value", "group_ord").agg(F.max("_p").alias("_p"))
+    best = pair.withColumn("_p", ranked).filter("_p.s > 0 and _p.o is not null").groupBy(scope, "value", "group_ord").agg(F.max("_p").alias("_p"))
     best = best.withColumn("_vs", F.col("_p.s")).withColumn("option_ord", -F.col("_p.o"))
     best = best.join(lab.select(scope, "group_ord", "option_ord", "visible_label").distinct(), [scope, "group_ord", "option_ord"], "left").drop("_p")
     groups = options.groupBy(scope, "group_ord").agg(F.min("group_label").alias("group_label")).withColumn("_g", match_parts(match_text(F.col("group_label"))))
     alias = used_keys.select(scope, "key", F.explode(key_aliases(F.col("key"))).alias("_a")).withColumn("_a", match_parts(F.col("_a")))
     by_key = alias.join(groups, scope).groupBy(scope, "key", "group_ord", "group_label").agg(F.max(match_score_parts(F.col("_g"), F.col("_a"))).alias("_as"))
     gs = want.select(scope, "key", "value").join(by_key, [scope, "key"])
-    d = gs.join(best, [scope, "key", "value", "group_ord"], "left").withColumn("_vs", F.coalesce("_vs", F.lit(0)))
+    d = gs.join(best, [scope, "value", "group_ord"], "left").withColumn("_vs", F.coalesce("_vs", F.lit(0)))
     base = F.when(F.col("_as") > 0, F.col("_as") + 6).otherwise(0)
     total = F.when((base == 0) & (F.col("_vs") >= 20), 8).when((base > 0) & (F.col("_vs") > 0), base + F.least(F.lit(10), F.floor(F.col("_vs") / 3))).otherwise(base)
     top = best_row(
@@ -115,7 +119,12 @@ def suggestions(unmatched: DataFrame, options: DataFrame, scope: str, limit: int
     """Closest labels of the matched group for values that are not in it."""
     want = unmatched.filter("match_status = 'value_not_in_catalog'").select(scope, "key", "value", "group_ord")
     labels = options.select(scope, "group_ord", F.trim("visible_label").alias("label")).filter("label <> ''").distinct()
-    pair = want.join(labels, [scope, "group_ord"]).withColumn("_s", match_score_normalised(match_text(F.col("label")), match_text(F.col("value"))))
+    asked = want.select(scope, "group_ord", "value").distinct().withColumn("_n", match_text(F.col("value")))
+    near = candidates(asked, labels.withColumn("_l", match_text(F.col("label"))), [scope, "group_ord"], ["value"], ["label"], ["_n"], ["_l"])
+    # places that no similar label takes go to the last labels of the group
+    rest = asked.drop("_n").join(top_k(labels, [scope, "group_ord"], [F.desc("label")], limit, "_rn").drop("_rn"), [scope, "group_ord"])
+    scored = near.unionByName(rest).distinct().withColumn("_s", match_score_normalised(match_text(F.col("label")), match_text(F.col("value"))))
+    pair = want.join(scored, [scope, "group_ord", "value"])
     best = top_k(pair, [scope, "key", "value"], [F.desc("_s"), F.desc("label")], limit, "_rn")
     return best.groupBy(scope, "key", "value").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "label"))), lambda s: s["label"]), "|").alias("suggestions")
@@ -146,7 +155,11 @@ def resolve_values(requests: DataFrame, value_map: DataFrame, sites: DataFrame,
     accepted = vocab.CONFIDENCE_OPT_IN if ui_only else vocab.CONFIDENCE_DEFAULT
     usable = vm.filter(F.lower(F.trim("confidence")).isin(accepted)).withColumn("_cap", label_key(F.col("label"))).filter("_cap <> ''")
     req = want.withColumn("_req", label_key(F.col("value"))).filter("_req <> ''")
-    hits = req.join(usable, ["site", "canonical_key"]).filter(F.contains("_cap", F.col("_req")))
+    near = candidates(
+        req.select("site", "canonical_key", "_req").distinct(), usable.select("site", "canonical_key", "_cap").distinct(), ["site", "canonical_key"],
+        ["_req"], ["_cap"], ["_req"], ["_cap"], around=False, shared=False,
+    ).filter(F.contains("_cap", F.col("_req")))
+    hits = req.join(near, ["site", "canonical_key", "_req"]).join(usable, ["site", "canonical_key", "_cap"])
     found = hits.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("match_count"), F.count_distinct("property_id").alias("property_count"),
         F.min("property_id").alias("property_id"),
@@ -215,15 +228,16 @@ def match_value_ids(requests: DataFrame, values: DataFrame, keys: list[str]) ->
     want = requests.select(*keys, "value").distinct().withColumn("_n", loose_key(F.col("value"))).withColumn("_c", F.replace("_n", F.lit(" "), F.lit("")))
     lab = values.withColumn("_ln", loose_key(F.col("label"))).withColumn("_lc", F.replace("_ln", F.lit(" "), F.lit("")))
     lab = lab.groupBy(*keys, "value_id", "_ln", "_lc").agg(F.min("label").alias("label"))
-    pair = want.join(lab, keys, "left")
+    near = candidates(want.select(*keys, "_n").distinct(), lab.select(*keys, "value_id", "_ln"), keys, ["_n"], ["value_id", "_ln"], ["_n"], ["_ln"], around=False, shared=False)
+    pair = want.join(near, [*keys, "_n"], "left").withColumn("_lc", F.replace("_ln", F.lit(" "), F.lit("")))
     exact = F.col("_lc") == F.col("_c")
     numeric = F.col("_n").rlike(r"^\d+$") & F.contains(F.concat(F.lit(" "), "_ln", F.lit(" ")), F.concat(F.lit(" "), "_n", F.lit(" ")))
     part = (F.length("_c") >= 3) & F.contains("_lc", F.col("_c"))
     tiers = {"exact": exact, "numeric": numeric, "contains": part}
-    aggs = [F.count("value_id").alias("_all")]
+    aggs = []
     for name, cond in tiers.items():
         aggs += [F.count_if(cond).alias(f"_n_{name}"), F.min(F.when(cond, F.col("value_id"))).alias(f"_id_{name}")]
-    d = pair.groupBy(*keys, "value", "_n").agg(*aggs)
+    d = pair.groupBy(*keys, "value", "_n").agg(*aggs).join(lab.groupBy(*keys).agg(F.count("value_id").alias("_all")), keys, "left").withColumn("_all", F.coalesce("_all", F.lit(0)))
     kind = F.when(F.col("_all") == 0, "no_value_options").when(F.col("_n") == "", "empty_value")
     vid = F.when(F.lit(False), F.lit(None).cast("bigint"))
     for name in tiers:
@@ -235,7 +249,7 @@ def match_value_ids(requests: DataFrame, values: DataFrame, keys: list[str]) ->
 
 
 def pick_dropdown(requests: DataFrame, dropdowns: DataFrame, scope: str, floor: int = 18) -> DataFrame:
-    """Dropdown whose trigger label fits the option key best."""
+    """Dropdown whose trigger label fits the option key best; ``floor`` is at least 1."""
     want = requests.select(scope, "key").distinct().withColumn("_k", loose_key(F.col("key"))).filter("_k <> ''")
     dd = dropdowns.withColumn("_t", loose_key(F.col("trigger"))).filter("_t <> ''")
     kc, tc = F.replace("_k", F.lit(" "), F.lit("")), F.replace("_t", F.lit(" "), F.lit(""))
@@ -244,36 +258,52 @@ def pick_dropdown(requests: DataFrame, dropdowns: DataFrame, scope: str, floor:
         F.when((F.col("_t") == F.col("_k")) | (tc == kc), 40).otherwise(0) + F.when(F.contains(tc, kc), 24).otherwise(0)
         + F.when(F.contains(kc, tc), 12).otherwise(0) + F.least(F.lit(18), overlap * 6)
     )
-    pair = want.join(dd, scope).withColumn("dropdown_score", score)
+    near = candidates(want.select(scope, "_k").distinct(), dd.select(scope, "_t").distinct(), [scope], ["_k"], ["_t"], ["_k"], ["_t"])
+    pair = want.join(near, [scope, "_k"]).join(dd, [scope, "_t"]).withColumn("dropdown_score", score)
     return best_row(pair, [scope, "key"], [F.col("dropdown_score"), -F.col("dropdown_no")], ["dropdown_no", "trigger", "dropdown_score"]).filter(F.col("dropdown_score") >= floor)
 
 
 def assign_dropdowns(dropdowns: DataFrame, properties: DataFrame, scope: str, floor: int = 30) -> DataFrame:
-    """Greedy one-to-one assignment by similar option counts, highest score first.
+    """Greedy one-to-one assignment by similar option counts: highest score first, then the later dropdown, then the later property.
 
-    Only the counts matter: edges of equal counts are scored by arithmetic, and the greedy pass folds the sorted edges
-    of one page. A page holds a few dropdowns and properties; pages beyond that stop the query instead of losing edges.
+    The score of an edge follows from the two counts, so no edge is ever made. A page's controls (two numbers each) meet
+    in one task; there, score by score, the dropdowns take the last free property among the counts that give that score.
     """
-    d = dropdowns.filter("option_count >= 2").select(scope, "dropdown_no", "option_count")
-    p = properties.filter("value_count > 0 and not is_range").select(scope, "property_no", "value_count")
-    diff = F.abs(F.col("value_count") - F.col("option_count"))
-    score = F.lit(70) - F.least(F.lit(50), diff * 3) + F.when(diff == 0, 45).otherwise(0) + F.when(F.col("option_count").between(3, 40), 6).otherwise(0)
-    edges = d.join(p, scope).withColumn("_s", score.cast("int")).filter(F.col("_s") >= floor)
-    size = F.count(F.lit(1))
-    per = edges.groupBy(scope).agg(
-        F.sort_array(F.collect_list(F.struct("_s", "dropdown_no", "property_no")), asc=False).alias("_e"), size.alias("_n")
-    )
-    per = per.withColumn("_e", F.when(F.col("_n") > 100_000, F.raise_error(F.lit("page with too many dropdown edges")).cast(per.schema["_e"].dataType)).otherwise(F.col("_e")))
-    empty = F.array().cast("array<struct<_s:int,dropdown_no:bigint,property_no:bigint>>")
-
-    def step(acc: Column, e: Column) -> Column:
-        taken = F.exists(acc, lambda t: (t["dropdown_no"] == e["dropdown_no"]) | (t["property_no"] == e["property_no"]))
-        row = F.struct(e["_s"].alias("_s"), e["dropdown_no"].cast("bigint").alias("dropdown_no"), e["property_no"].cast("bigint").alias("property_no"))
-        return F.when(taken, acc).otherwise(F.concat(acc, F.array(row)))
-
-    return per.select(scope, F.explode(F.aggregate("_e", empty, step)).alias("m")).select(
-        scope, F.col("m.dropdown_no"), F.col("m.property_no"), F.col("m._s").alias("assign_score")
-    )
+    d = dropdowns.filter("option_count >= 2").select(scope, F.lit(True).alias("_d"), F.col("dropdown_no").cast("bigint").alias("_no"), F.col("option_count").cast("bigint").alias("_n"))
+    p = properties.filter("value_count > 0 and not is_range").select(scope, F.lit(False).alias("_d"), F.col("property_no").cast("bigint").alias("_no"), F.col("value_count").cast("bigint").alias("_n"))
+    # pages that lack one kind have nothing to assign
+    controls = d.join(p.select(scope).distinct(), scope, "left_semi").unionByName(p.join(d.select(scope).distinct(), scope, "left_semi"))
+    kind = controls.schema[scope].dataType.simpleString()
+
+    def assigned(page):
+        import pyarrow as pa
+
+        name, rows = page.column(0)[0], page.select([1, 2, 3]).to_pylist()
+        free: dict[int, list[int]] = {}
+        left = sorted(((r["_no"], r["_n"]) for r in rows if r["_d"]), reverse=True)
+        for no, n in sorted((r["_no"], r["_n"]) for r in rows if not r["_d"]):
+            free.setdefault(n, []).append(no)
+        by_score: dict[int, dict[int, list[int]]] = {}
+        for options in {n for _, n in left}:
+            for values in free:
+                diff = abs(values - options)
+                score = 70 - min(50, 3 * diff) + 45 * (diff == 0) + 6 * (3 <= options <= 40)
+                if score >= floor:
+                    by_score.setdefault(score, {}).setdefault(options, []).append(values)
+        out = []
+        for score in sorted(by_score, reverse=True):
+            still = []
+            for no, options in left:
+                fits = [v for v in by_score[score].get(options, ()) if free[v]]
+                if fits:
+                    out.append((no, free[max(fits, key=lambda v: free[v][-1])].pop(), score))
+                else:
+                    still.append((no, options))
+            left = still
+        columns = zip(*out, strict=True) if out else ([], [], [])
+        return pa.table([pa.repeat(name, len(out)), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True))], names=[scope, "dropdown_no", "property_no", "assign_score"])
+
+    return controls.groupBy(scope).applyInArrow(assigned, f"`{scope}` {kind}, dropdown_no bigint, property_no bigint, assign_score int")
 
 
 def first_by_rank(sources: DataFrame, keys: list[str], rank: str, keep: list[str]) -> DataFrame:
@@ -286,7 +316,8 @@ def first_by_rank(sources: DataFrame, keys: list[str], rank: str, keep: list[str
 def best_variant_links(links: DataFrame, wanted: DataFrame, scope: str, floor: int = 20) -> DataFrame:
     """Best format-variant link per requested value.
 
-    ``links``: scope, link_no, href, family_hits (product words in the link). A link needs a family hit.
+    ``links``: scope, link_no, href, family_hits (product words in the link). A link needs a family hit, and a likeness to
+    the value, as ``floor`` is more than the 16 points that family hits give.
     """
     l = links.filter("family_hits > 0").withColumn("_t", loose_key(F.col("href"))).withColumn("_c", F.replace("_t", F.lit(" "), F.lit("")))
     w = wanted.select(scope, "value").distinct().withColumn("_w", loose_key(F.col("value"))).withColumn("_wc", F.replace("_w", F.lit(" "), F.lit(""))).filter("_wc <> ''")
@@ -295,7 +326,8 @@ def best_variant_links(links: DataFrame, wanted: DataFrame, scope: str, floor: i
         F.least(F.lit(16), F.col("family_hits") * 4) + F.when(F.contains("_c", F.col("_wc")), 18).otherwise(0)
         + F.when(F.contains("_t", F.col("_w")), 8).otherwise(0) + F.least(F.lit(8), overlap * 2)
     )
-    pair = w.join(l, scope).withColumn("link_score", score.cast("int")).filter(F.col("link_score") >= floor)
+    near = candidates(w.select(scope, "_w").distinct(), l.select(scope, "_t").distinct(), [scope], ["_w"], ["_t"], ["_w"], ["_t"], around=False)
+    pair = w.join(near, [scope, "_w"]).join(l, [scope, "_t"]).withColumn("link_score", score.cast("int")).filter(F.col("link_score") >= floor)
     return best_row(pair, [scope, "value"], [F.col("link_score"), -F.col("link_no")], ["href", "link_score"])
 
 
@@ -318,7 +350,15 @@ def rank_controls(requests: DataFrame, controls: DataFrame, scope: str, limit: i
         .when((F.col("_l") != "") & F.contains("_w", F.col("_l")), 8).otherwise(F.least(F.lit(6), overlap * 2))
     )
     hit = (F.col("_g") != "") & F.contains("_g", F.col("_k"))
-    pair = want.join(lab, scope).withColumn("control_score", (score + F.when(hit, 5).otherwise(0)).cast("int")).filter("control_score > 0")
+    by_value = candidates(want.select(scope, "_w").distinct(), lab.select(scope, "_l").distinct(), [scope], ["_w"], ["_l"], ["_w"], ["_l"])
+    by_key = candidates(want.select(scope, "_k").distinct(), lab.select(scope, "_g").distinct(), [scope], ["_k"], ["_g"], ["_k"], ["_g"], around=False, shared=False)
+    # an empty key stands in every group label
+    unnamed = want.filter("_k = ''").select(scope, "_k").distinct().join(lab.filter("_g <> ''").select(scope, "_g").distinct(), scope)
+    ids = ["key", "value", "_w", "_k"]
+    met = want.join(by_value, [scope, "_w"]).join(lab, [scope, "_l"]).select(scope, *ids, "_l", "_g", "control_no").unionByName(
+        want.join(by_key.unionByName(unnamed), [scope, "_k"]).join(lab, [scope, "_g"]).select(scope, *ids, "_l", "_g", "control_no")
+    ).distinct()
+    pair = met.withColumn("control_score", (score + F.when(hit, 5).otherwise(0)).cast("int")).filter("control_score > 0")
     pair = pair.withColumn("pass_no", F.when(hit | (F.col("control_score") >= 12), 1).otherwise(2))
     return top_k(pair, [scope, "key", "value"], [F.asc("pass_no"), F.desc("control_score"), F.asc("control_no")], limit, "place").select(
         scope, "key", "value", "place", "control_no", "control_score", "pass_no"

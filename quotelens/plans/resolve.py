@@ -199,9 +199,17 @@ def dropdown_for_key(spark, sf_dir):
     return rs.pick_dropdown(view(spark, sf_dir, "requests"), d, "snapshot_id")
 
 
-@query("dropdown_assignment", None)
+@query("dropdown_assignment", """
+WITH RECURSIVE dd AS (SELECT l_suppkey AS page, l_linenumber AS dn, count(DISTINCT l_quantity) AS oc FROM lineitem GROUP BY ALL),
+pp AS (SELECT l_suppkey AS page, l_partkey % 5 AS pn, count(DISTINCT l_quantity) AS vc FROM lineitem GROUP BY ALL),
+e AS (SELECT page, dn, pn, CAST(70 - least(50, 3 * abs(vc - oc)) + CASE WHEN vc = oc THEN 45 ELSE 0 END + CASE WHEN oc BETWEEN 3 AND 40 THEN 6 ELSE 0 END AS INTEGER) AS s FROM dd JOIN pp USING (page) WHERE oc >= 2 AND pn <> 4),
+o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY s DESC, dn DESC, pn DESC) AS k FROM e WHERE s >= 30),
+w AS (SELECT page, 0::BIGINT AS k, []::BIGINT[] AS ds, []::BIGINT[] AS ps, false AS free, 0::BIGINT AS dn, 0::BIGINT AS pn, 0 AS s FROM (SELECT DISTINCT page FROM o)
+  UNION ALL SELECT page, k, CASE WHEN ok THEN list_append(ds, dn) ELSE ds END, CASE WHEN ok THEN list_append(ps, pn) ELSE ps END, ok, dn, pn, s
+  FROM (SELECT o.page, o.k, w.ds, w.ps, NOT list_contains(w.ds, o.dn::BIGINT) AND NOT list_contains(w.ps, o.pn::BIGINT) AS ok, o.dn::BIGINT AS dn, o.pn::BIGINT AS pn, o.s FROM w JOIN o ON o.page = w.page AND o.k = w.k + 1))
+SELECT page, dn AS dropdown_no, pn AS property_no, s AS assign_score FROM w WHERE free""")
 def dropdown_assignment(spark, sf_dir):
-    """Greedy assignment per supplier page; a fold, checked by brute force on a fixture."""
+    """Greedy assignment per supplier page."""
     li = table(spark, sf_dir, "lineitem")
     dd = li.groupBy(F.col("l_suppkey").alias("page"), F.col("l_linenumber").cast("bigint").alias("dropdown_no")).agg(F.count_distinct("l_quantity").alias("option_count"))
     pp = li.groupBy(F.col("l_suppkey").alias("page"), (F.col("l_partkey") % 5).alias("property_no")).agg(F.count_distinct("l_quantity").alias("value_count"))

@@ -27,23 +27,37 @@ SELECT host AS key, min(ord) AS trip_event_no, arg_min(why, ord) AS open_reason
 
 @query("live_circuit_breaker", TRIP_CHECK)
 def live_circuit_breaker(spark, sf_dir):
-    return mo.run_append(mo.breaker_stream(_attempts(spark, sf_dir), "host", block_rate=0.25, server_rate=0.4))
+    return mo.run_ordered(lambda a: mo.breaker_stream(a, "host", block_rate=0.25, server_rate=0.4), _attempts(spark, sf_dir))
 
 
-@query("live_resource_quarantine", with_views(["attempts"], """
-WITH e AS (SELECT resource, attempt_id, ts_us, CASE WHEN status <> 200 THEN 1 ELSE 0 END AS f, row_number() OVER (PARTITION BY resource ORDER BY ts_us, attempt_id) AS ord FROM attempts),
-s AS (SELECT *, coalesce(max(CASE WHEN f = 0 THEN ord END) OVER (PARTITION BY resource ORDER BY ord), 0) AS ok FROM e)
-SELECT resource AS key, attempt_id, ts_us + 300000000 AS until_us FROM s WHERE f = 1 AND (ord - ok) % 3 = 0"""))
+QUARANTINE_CTE = """e AS (SELECT resource, attempt_id, ts_us, CASE WHEN status <> 200 THEN 1 ELSE 0 END AS f, row_number() OVER (PARTITION BY resource ORDER BY ts_us, attempt_id) AS ord FROM attempts),
+s AS (SELECT *, coalesce(max(CASE WHEN f = 0 THEN ord END) OVER (PARTITION BY resource ORDER BY ord), 0) AS ok, min(CASE WHEN f = 0 THEN ts_us END) OVER (PARTITION BY resource ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS good FROM e),
+q AS (SELECT resource AS key, attempt_id, ts_us AS from_us, ts_us + 300000000 AS until_us, good, lead(ts_us) OVER (PARTITION BY resource ORDER BY ord) AS again FROM s WHERE f = 1 AND (ord - ok) % 3 = 0),
+t AS (SELECT *, least(coalesce(good, until_us), coalesce(again, until_us)) AS next FROM q)"""
+
+
+@query("live_resource_quarantine", with_views(["attempts"], f"""WITH {QUARANTINE_CTE} SELECT key, attempt_id, until_us FROM q"""))
 def live_resource_quarantine(spark, sf_dir):
+    return _quarantines(spark, sf_dir).select("key", "attempt_id", "until_us")
+
+
+@query("live_resource_availability", with_views(["attempts"], f"""WITH {QUARANTINE_CTE}
+SELECT key, attempt_id, from_us, until_us, least(next, until_us) AS to_us, CASE WHEN until_us <= next THEN 'cooldown' WHEN good = next THEN 'success' ELSE 'extended' END AS ended FROM t"""))
+def live_resource_availability(spark, sf_dir):
+    """When each resource was out of use, and what ended it; a timer ends a cooldown, with or without further attempts."""
+    return _quarantines(spark, sf_dir)
+
+
+def _quarantines(spark, sf_dir):
     a = _attempts(spark, sf_dir).withColumn("failed", F.col("status") != 200)
-    return mo.run_append(mo.quarantine_stream(a, "resource"))
+    return mo.run_ordered(lambda x: mo.quarantine_stream(x, "resource"), a)
 
 
 @query("live_host_pacing", with_views(["attempts"], """
 WITH l AS (SELECT host, attempt_id, ts_us - lag(ts_us) OVER (PARTITION BY host ORDER BY ts_us, attempt_id) AS gap FROM attempts)
 SELECT host AS key, attempt_id, 900000000 - greatest(gap, 0) AS wait_us FROM l WHERE gap < 900000000"""))
 def live_host_pacing(spark, sf_dir):
-    return mo.run_append(mo.pacing_stream(_attempts(spark, sf_dir), "host", 900_000_000))
+    return mo.run_ordered(lambda a: mo.pacing_stream(a, "host", 900_000_000), _attempts(spark, sf_dir))
 
 
 @query("live_gate_rates", with_views(["attempts"], """

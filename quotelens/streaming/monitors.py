@@ -1,19 +1,24 @@
 """Structured Streaming monitors: breaker, quarantine, pacing, rates, progress, state upserts, duplicate suppression.
 
-Keyed state is small: the last N flags of a job, a failure counter of a resource, the last request time of a host.
-Rows of one key inside a micro-batch are put in time order before they meet the state, so bound the micro-batch with
-``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` on busy sources.
+Breaker, quarantine and pacing depend on the order of a key's rows. They are folds over ``ordered.in_time_order``, which
+holds rows in state until the watermark has passed them, so results do not depend on how rows fall into micro-batches.
+What a fold keeps is small: the last N flags of a job, a failure counter of a resource, the last request of a host.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quotelens.session import checkpoint_root
+from quotelens.streaming.ordered import in_time_order
+
+
+#: State of ordered monitors lives in RocksDB, whose lists are read and written row by row.
+STORE, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_events(spark: SparkSession, folder: str, file_glob: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -25,98 +30,73 @@ def read_events(spark: SparkSession, folder: str, file_glob: str, schema, files_
     return d.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in d.columns else d
 
 
-def _time_order():
-    """Orders the rows of a micro-batch; nested, so that it travels with the query."""
-
-    def ordered(chunks):
-        import pandas as pd
-
-        return pd.concat(list(chunks), ignore_index=True).sort_values(["ts_us", "attempt_id"], kind="stable")
-
-    return ordered
-
-
-def breaker_stream(attempts: DataFrame, key: str, window: int = 40, min_events: int = 10, block_rate: float = 0.20, server_rate: float = 0.30) -> DataFrame:
+def breaker_stream(attempts: DataFrame, key: str, window: int = 40, min_events: int = 10, block_rate: float = 0.20, server_rate: float = 0.30, delay: str = "1 hour") -> DataFrame:
     """First trip per job over its last ``window`` events; block rate is checked before server errors.
 
-    ``attempts``: key, ts_us, attempt_id, status, reason.
+    ``attempts``: key, ts, attempt_id, status, reason.
     """
-    order = _time_order()
-
-    def step(k, chunks, state):
-        import pandas as pd
-
-        seen, flags, tripped = state.get if state.exists else (0, "", False)
-        out = []
-        for row in order(chunks).itertuples(index=False):
-            if tripped:
-                break
-            seen += 1
-            blocked = row.status in (403, 429)
-            server = 500 <= row.status <= 599 or "request_error" in (row.reason or "")
-            flags = (flags + str(int(blocked) + 2 * int(server)))[-window:]
-            n = len(flags)
-            if n < max(1, min_events):
-                continue
-            b, s = sum(f in "13" for f in flags) / n, sum(f in "23" for f in flags) / n
-            hit = ("block_rate", b, block_rate) if b >= block_rate else ("server_error_rate", s, server_rate) if s >= server_rate else None
-            if hit:
-                tripped = True
-                out.append((k[0], seen, f"circuit_open_{hit[0]} rate={hit[1]:.3f} threshold={hit[2]:.3f} window={n}"))
-        state.update((seen, flags, tripped))
-        yield pd.DataFrame(out, columns=["key", "trip_event_no", "open_reason"])
-
-    rows = attempts.select(F.col(key).alias("key"), "ts_us", "attempt_id", "status", "reason")
-    return rows.groupBy("key").applyInPandasWithState(
-        step, "key string, trip_event_no long, open_reason string", "seen long, flags string, tripped boolean", "append", GroupStateTimeout.NoTimeout
-    )
-
 
-def quarantine_stream(attempts: DataFrame, key: str, threshold: int = 3, cooldown_us: int = 300_000_000) -> DataFrame:
-    """Quarantine starts per resource after consecutive failures; a success clears the counter.
-
-    ``attempts``: key, ts_us, attempt_id, failed.
+    def fold(state, row):
+        seen, flags, tripped = state or (0, "", False)
+        if tripped:
+            return state, []
+        blocked = row.status in (403, 429)
+        server = 500 <= (row.status or 0) <= 599 or "request_error" in (row.reason or "")
+        seen, flags = seen + 1, (flags + str(int(blocked) + 2 * int(server)))[-window:]
+        n = len(flags)
+        b, s = sum(f in "13" for f in flags) / n, sum(f in "23" for f in flags) / n
+        hit = ("block_rate", b, block_rate) if b >= block_rate else ("server_error_rate", s, server_rate) if s >= server_rate else None
+        if n < max(1, min_events) or not hit:
+            return (seen, flags, False), []
+        return (seen, flags, True), [(seen, f"circuit_open_{hit[0]} rate={hit[1]:.3f} threshold={hit[2]:.3f} window={n}")]
+
+    rows = attempts.select(F.col(key).alias("key"), "ts", "attempt_id", "status", "reason")
+    return in_time_order(rows, "seen long, flags string, tripped boolean", "trip_event_no long, open_reason string", fold, delay=delay)
+
+
+def quarantine_stream(attempts: DataFrame, key: str, threshold: int = 3, cooldown_us: int = 300_000_000, delay: str = "1 hour") -> DataFrame:
+    """Quarantines of each resource: key, attempt_id, from_us, until_us, to_us, ended.
+
+    Consecutive failures start one, which lasts until the cooldown is over (``cooldown``, told by a timer), a success clears
+    it (``success``) or further failures start it anew (``extended``). ``attempts``: key, ts, attempt_id, failed.
     """
-    order = _time_order()
-
-    def step(k, chunks, state):
-        import pandas as pd
 
-        streak = state.get[0] if state.exists else 0
-        out = []
-        for row in order(chunks).itertuples(index=False):
-            streak = streak + 1 if row.failed else 0
-            if streak >= max(threshold, 1):
-                out.append((k[0], row.attempt_id, row.ts_us + cooldown_us))
-                streak = 0
-        state.update((streak,))
-        yield pd.DataFrame(out, columns=["key", "attempt_id", "until_us"])
-
-    rows = attempts.select(F.col(key).alias("key"), "ts_us", "attempt_id", "failed")
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, attempt_id long, until_us long", "streak long", "append", GroupStateTimeout.NoTimeout)
-
-
-def pacing_stream(attempts: DataFrame, key: str, min_delay_us: int) -> DataFrame:
+    def ended(state, now):
+        """What is over by now: the cooldown's end, if the resource is in quarantine."""
+        streak, start_id, start, until = state
+        if start is not None and until <= now:
+            return (streak, None, None, None), [(start_id, start, until, until, "cooldown")]
+        return state, []
+
+    def fold(state, row):
+        state, out = ended(state or (0, None, None, None), row.ts_us)
+        streak, start_id, start, until = state
+        if not row.failed:
+            return (0, None, None, None), out + ([(start_id, start, until, row.ts_us, "success")] if start is not None else [])
+        streak += 1
+        if streak < max(threshold, 1):
+            return (streak, start_id, start, until), out
+        if start is not None:
+            out = [*out, (start_id, start, until, row.ts_us, "extended")]
+        return (0, row.attempt_id, row.ts_us, row.ts_us + cooldown_us), out
+
+    rows = attempts.select(F.col(key).alias("key"), "ts", "attempt_id", "failed")
+    state, out = "streak long, start_id long, start_us long, until_us long", "attempt_id long, from_us long, until_us long, to_us long, ended string"
+    return in_time_order(rows, state, out, fold, ended, wake=lambda state: state[3], delay=delay)
+
+
+def pacing_stream(attempts: DataFrame, key: str, min_delay_us: int, delay: str = "1 hour") -> DataFrame:
     """Requests that came too early after the previous one of the same host.
 
-    ``attempts``: key, ts_us, attempt_id.
+    ``attempts``: key, ts, attempt_id.
     """
-    order = _time_order()
 
-    def step(k, chunks, state):
-        import pandas as pd
+    def fold(state, row):
+        early = state is not None and row.ts_us - state[0] < min_delay_us
+        return (row.ts_us,), [(row.attempt_id, min_delay_us - (row.ts_us - state[0]))] if early else []
 
-        last = state.get[0] if state.exists else None
-        out = []
-        for row in order(chunks).itertuples(index=False):
-            if last is not None and row.ts_us - last < min_delay_us:
-                out.append((k[0], row.attempt_id, min_delay_us - max(row.ts_us - last, 0)))
-            last = row.ts_us
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["key", "attempt_id", "wait_us"])
-
-    rows = attempts.select(F.col(key).alias("key"), "ts_us", "attempt_id")
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, attempt_id long, wait_us long", "last_us long", "append", GroupStateTimeout.NoTimeout)
+    rows = attempts.select(F.col(key).alias("key"), "ts", "attempt_id")
+    return in_time_order(rows, "last_us long", "attempt_id long, wait_us long", fold, delay=delay)
 
 
 def gate_rates(attempts: DataFrame, keys: list[str], window: str = "1 day", slide: str | None = None, watermark: str = "1 hour") -> DataFrame:
@@ -166,6 +146,31 @@ def run_append(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def run_ordered(monitor: Callable[[DataFrame], DataFrame], events: DataFrame) -> DataFrame:
+    """Drain an ordered monitor over events (key columns, ts, ...) whose source has an end.
+
+    The rows behind the last watermark would wait for later ones for ever. So a second source, empty at first, closes the
+    stream: once the events are drained, a row a century ahead moves the watermark past all of them.
+    """
+    spark = events.sparkSession
+    base = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], events.schema).write.parquet(f"{base}/close")
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        stream = monitor(events.unionByName(spark.readStream.schema(events.schema).parquet(f"{base}/close")))
+        for closing in (False, True):
+            if closing:
+                end = F.timestamp_micros(F.lit(4_102_444_800_000_000))
+                blank = [(end if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in events.schema.fields]
+                spark.range(1).select(*blank).write.mode("append").parquet(f"{base}/close")
+            q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
 def run_complete(stream: DataFrame) -> DataFrame:
     """Drain an aggregation; each batch replaces the table of its own id, so a replayed batch changes nothing."""
     spark = stream.sparkSession

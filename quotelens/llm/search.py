@@ -40,13 +40,12 @@ from quotelens.llm.tables import documents, kept
 
 TOP = 20
 #: Documents of a block (their places fit a byte) and of a shard; bytes of text after which a shard ends.
-BLOCK, SHARD_DOCS, SHARD_BYTES = 256, 8192, 1 << 25
+BLOCK, SHARD_DOCS, SHARD_BYTES = 256, 8192, 1 << 24
 #: Terms of all queries of a block; bounds what is sent to every task.
 QUERY_TERMS = 200_000
 
 #: UTF-8 bytes: ASCII letters lower-cased, digits and all bytes beyond ASCII as they are, all else a space.
 TERM_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -69,8 +68,15 @@ class Totals:
 
 
 def totals(docs: DataFrame) -> Totals:
-    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TERM)).cast("long")
-    row = docs.select(n.alias("n")).agg(F.count_if(F.col("n") > 0).alias("docs"), F.sum("n").alias("terms")).first()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = terms = 0
+        for batch in batches:
+            for text in batch.column("text"):
+                n = len(terms_of(text.as_py()))
+                found, terms = found + (n > 0), terms + n
+        yield pa.RecordBatch.from_arrays([pa.array([found], pa.int64()), pa.array([terms], pa.int64())], names=["docs", "terms"])
+
+    row = docs.select("text").mapInArrow(run, "docs long, terms long").agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")).first()
     return Totals(row.docs or 0, row.terms or 0)
 
 
@@ -111,15 +117,28 @@ def ragged(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(np.concatenate([starts, [len(values)]]).astype(np.int32)), pa.array(values, kind))
 
 
+def numbering() -> defaultdict[bytes, int]:
+    """Numbers words in the order in which they are first looked up."""
+    numbers: defaultdict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    return numbers
+
+
+def numbered(words: list[bytes], numbers: defaultdict[bytes, int]) -> np.ndarray:
+    return np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+
+
 def shard_rows(shard: int, doc_ids: list, words: list[bytes], lengths: np.ndarray, all_docs: Totals) -> Iterator[pa.RecordBatch]:
-    """The index rows of one shard: that of its documents, then its terms in order."""
+    numbers = numbering()
+    yield from index_rows(shard, doc_ids, numbered(words, numbers), numbers, lengths, all_docs)
+
+
+def index_rows(shard: int, doc_ids: list, ids: np.ndarray, numbers: dict[bytes, int], lengths: np.ndarray, all_docs: Totals) -> Iterator[pa.RecordBatch]:
+    """The index rows of one shard: that of its documents, then its terms in order. ids: numbers of all documents' terms in a row."""
     none = [pa.nulls(1, f.type) for f in INDEX][1:7]
     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *none, pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths.tolist()], pa.list_(pa.int64()))], schema=INDEX)
-    if not words:
+    if not len(ids):
         return
-    numbers: defaultdict[bytes, int] = defaultdict()
-    numbers.default_factory = numbers.__len__
-    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
     vocabulary = sorted(numbers)
     rank = np.empty(len(numbers), np.int64)
     rank[np.fromiter(map(numbers.__getitem__, vocabulary), np.int64, len(vocabulary))] = np.arange(len(vocabulary))
@@ -162,20 +181,23 @@ def build_index(docs: DataFrame, all_docs: Totals, shard_docs: int = SHARD_DOCS,
     """The index of docs (doc_id, text), kept in the shared folder; see INDEX_DDL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, number = TaskContext.get().partitionId() << 31, 0
-        doc_ids, words, lengths, size = [], [], [], 0
+        shard = TaskContext.get().partitionId() << 31
+        doc_ids, ids, numbers, size = [], [], numbering(), 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            yield from index_rows(shard, doc_ids, np.concatenate(ids), numbers, np.array([len(x) for x in ids], np.int64), all_docs)
+
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 own = terms_of(text.as_py())
                 doc_ids.append(doc_id)
-                words += own
-                lengths.append(len(own))
+                ids.append(numbered(own, numbers))
                 size += sum(map(len, own))
                 if len(doc_ids) == shard_docs or size >= shard_bytes:
-                    yield from shard_rows(base + number, doc_ids, words, np.array(lengths, np.int64), all_docs)
-                    doc_ids, words, lengths, size, number = [], [], [], 0, number + 1
+                    yield from done()
+                    shard, doc_ids, ids, numbers, size = shard + 1, [], [], numbering(), 0
         if doc_ids:
-            yield from shard_rows(base + number, doc_ids, words, np.array(lengths, np.int64), all_docs)
+            yield from done()
 
     return kept(docs.select("doc_id", "text").mapInArrow(run, INDEX_DDL))
 

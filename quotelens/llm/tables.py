@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 
 _folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_made: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = f"{base}/llm/{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    _made.append(folder)
     return folder
 
 
@@ -48,7 +50,16 @@ def kept(df: DataFrame) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Deletes kept tables that only served to make other kept tables, and whose rows nothing reads any more."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_folders.pop(df))
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        if df in _folders:
+            remove(df.sparkSession, [_folders.pop(df)])
 
 
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def made(since: int = 0) -> list[str]:
+    """Folders made in this process, from a number of them on."""
+    return _made[since:]

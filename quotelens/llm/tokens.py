@@ -16,8 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Distinct fragments remembered by one Python worker; beyond it those not met lately are forgotten; results do not change.
-MEMORY = 300_000
+#: Bytes of fragments, ids and their table that one Python worker remembers, twice at most; beyond it those not met lately are forgotten; results do not change.
+MEMORY, ENTRY = 24 << 20, 200
 
 
 def _byte_letters() -> dict[str, int]:
@@ -129,6 +129,7 @@ class Encoder:
         self.cuts = cuts(path)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.size = 0
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; empty for null or empty text."""
@@ -141,16 +142,17 @@ class Encoder:
 
     def _learn(self, fragments: list[bytes]) -> None:
         """Encode what isn't remembered. Fragments that were not met since the memory was last full are forgotten."""
-        if len(self.known) > MEMORY:
-            self.known, self.older = {}, self.known
+        if self.size > MEMORY:
+            self.known, self.older, self.size = {}, self.known, 0
         known, older = self.known, self.older
-        new = [f for f in set(fragments) if f not in known]
-        known.update((f, older[f]) for f in new if f in older)
-        new = [f for f in new if f not in older]
+        missing = [f for f in set(fragments) if f not in known]
+        known.update((f, older[f]) for f in missing if f in older)
+        new = [f for f in missing if f not in older]
         for start in range(0, len(new), 1000):
             part = new[start : start + 1000]
             for f, e in zip(part, self.library.encode_batch([f.decode() for f in part], add_special_tokens=False), strict=True):
                 known[f] = array("I", e.ids).tobytes()
+        self.size += sum(ENTRY + len(f) + len(known[f]) for f in missing)
 
 
 @lru_cache(maxsize=2)

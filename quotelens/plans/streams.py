@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quotelens.functions.urls import cache_key
 from quotelens.operators.planning import fold_state
 from quotelens.plans.evidence import VIEWS, _split_columns, spark_sql_text, table, with_views
 from quotelens.plans.registry import query
@@ -105,5 +106,18 @@ def live_distinct_units(spark, sf_dir):
 WITH l AS (SELECT unit_id, max(attempt_id) FILTER (WHERE unit_status='completed') AS c, max(attempt_id) FILTER (WHERE unit_status='failed') AS f, max(attempt_id) FILTER (WHERE unit_status='skipped') AS s FROM attempts GROUP BY 1)
 SELECT unit_id, CASE WHEN c IS NOT NULL THEN 'completed' WHEN f IS NOT NULL THEN 'failed' WHEN s IS NOT NULL THEN 'skipped' ELSE 'pending' END AS state, greatest(c, f, s) AS updated FROM l"""))
 def live_unit_state(spark, sf_dir):
-    log = mo.run_state_log(_attempts(spark, sf_dir).select("unit_id", F.col("attempt_id").alias("seq"), F.col("unit_status").alias("status")))
+    log = mo.run_state_table(_attempts(spark, sf_dir).select("unit_id", F.col("attempt_id").alias("seq"), F.col("unit_status").alias("status")), every=1)
     return fold_state(log).select("unit_id", "state", "updated")
+
+
+@query("live_page_snapshots", r"""
+WITH p AS (SELECT regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), '^www\.', '') || CASE WHEN regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') END AS key,
+  page_id AS attempt_id, 1700000000000000 + page_id * 3600000000 AS from_us FROM pages),
+n AS (SELECT *, from_us + 7 * 86400000000 AS expires_us, lead(from_us) OVER (PARTITION BY key ORDER BY from_us, attempt_id) AS next FROM p)
+SELECT key, attempt_id, from_us, expires_us, CASE WHEN next <= expires_us THEN next ELSE expires_us END AS to_us, CASE WHEN next <= expires_us THEN 'replaced' ELSE 'expired' END AS ended FROM n""")
+def live_page_snapshots(spark, sf_dir):
+    """When each page snapshot was the fresh one: until the next one of its page, or until its time to live was over."""
+    pages = mo.read_events(spark, sf_dir, "pages.parquet", table(spark, sf_dir, "pages").schema)
+    captured = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("page_id") * 3_600_000_000)
+    p = pages.select(cache_key(F.col("url")).alias("key"), captured.alias("ts"), F.col("page_id").alias("attempt_id"))
+    return mo.run_ordered(lambda x: mo.snapshot_stream(x, "key", 7), p)

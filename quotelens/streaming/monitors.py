@@ -99,6 +99,30 @@ def pacing_stream(attempts: DataFrame, key: str, min_delay_us: int, delay: str =
     return in_time_order(rows, "last_us long", "attempt_id long, wait_us long", fold, delay=delay)
 
 
+def snapshot_stream(snapshots: DataFrame, key: str, ttl_days: int = 7, delay: str = "1 hour") -> DataFrame:
+    """How long each page snapshot was the one to use: key, attempt_id, from_us, expires_us, to_us, ended.
+
+    The newest snapshot of a page replaces the one before (``replaced``); a timer drops it from the state when its time to
+    live is over (``expired``), so the state holds fresh snapshots alone. ``snapshots``: key, ts, attempt_id (the snapshot).
+    """
+    ttl = max(int(ttl_days or 7), 1) * 86_400_000_000
+
+    def expired(state, now):
+        if state[2] < now:
+            return None, [(*state, state[2], "expired")]
+        return state, []
+
+    def fold(state, row):
+        state, out = expired(state, row.ts_us) if state else (None, [])
+        if state:
+            out = [*out, (*state, row.ts_us, "replaced")]
+        return (row.attempt_id, row.ts_us, row.ts_us + ttl), out
+
+    rows = snapshots.select(F.col(key).alias("key"), "ts", "attempt_id")
+    state, out = "attempt_id long, from_us long, expires_us long", "attempt_id long, from_us long, expires_us long, to_us long, ended string"
+    return in_time_order(rows, state, out, fold, expired, wake=lambda state: state[2], delay=delay)
+
+
 def gate_rates(attempts: DataFrame, keys: list[str], window: str = "1 day", slide: str | None = None, watermark: str = "1 hour") -> DataFrame:
     """Block and server-error rates per event-time window."""
     span = F.window("ts", window, slide) if slide else F.window("ts", window)
@@ -186,25 +210,61 @@ def run_complete(stream: DataFrame) -> DataFrame:
     return done.join(last, F.col("batch_id") == F.col("m"), "left_semi").drop("batch_id")
 
 
-def upsert_state(results: DataFrame, table_path: str, checkpoint: str):
-    """Append each micro-batch to the state log under its batch id; a replay overwrites the same folder.
+def _numbered(spark: SparkSession, table_path: str, kind: str) -> list[int]:
+    """Numbers of the complete folders ``kind=000000000000`` of a table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/{kind}=*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in (found or []))
+
 
-    Read the table with ``planning.latest_rows`` / ``planning.fold_state``.
+class StateTable:
+    """Newest event of every (unit, status), upserted batch by batch.
+
+    A batch is a folder of its own, named by its id, so that a replay overwrites what it wrote. Every ``every`` batches the
+    last snapshot and the batches since are summed up to a new snapshot, in ``buckets`` files by unit; a reader takes the
+    last complete snapshot and the batches after it, never the history. Older folders go one compaction later.
     """
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id:012d}")
+    def __init__(self, path: str, unit: str = "unit_id", seq: str = "seq", status: str = "status", every: int = 20, buckets: int = 16):
+        self.path, self.unit, self.seq, self.status, self.every, self.buckets = path, unit, seq, status, every, buckets
 
-    return results.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def _folder(self, kind: str, number: int) -> str:
+        return f"{self.path}/{kind}={number:012d}"
 
+    def save(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(self._folder("batch", batch_id))
+        if (batch_id + 1) % self.every == 0:
+            self.compact(batch.sparkSession, batch_id)
 
-def run_state_log(results: DataFrame) -> DataFrame:
-    spark = results.sparkSession
-    base = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
-    upsert_state(results, f"{base}/log", f"{base}/cp").awaitTermination()
-    return spark.read.parquet(f"{base}/log/*")
+    def _parts(self, spark: SparkSession, up_to: int | None = None) -> tuple[int, list[str]]:
+        inside = lambda n: up_to is None or n <= up_to
+        last = max((n for n in _numbered(spark, self.path, "snapshot") if up_to is None or n < up_to), default=-1)
+        batches = [self._folder("batch", n) for n in _numbered(spark, self.path, "batch") if n > last and inside(n)]
+        return last, ([self._folder("snapshot", last)] if last >= 0 else []) + batches
+
+    def compact(self, spark: SparkSession, batch_id: int) -> None:
+        before, parts = self._parts(spark, batch_id)
+        events = spark.read.option("recursiveFileLookup", True).parquet(*parts).select(self.unit, self.seq, self.status)
+        newest = events.groupBy(self.unit, self.status).agg(F.max(self.seq).alias(self.seq)).select(self.unit, self.seq, self.status)
+        newest.repartition(self.buckets, self.unit).sortWithinPartitions(self.unit).write.mode("overwrite").parquet(self._folder("snapshot", batch_id))
+        # readers may still be on the snapshot before; what that one replaced can go
+        old = [("snapshot", n) for n in _numbered(spark, self.path, "snapshot") if n < before] + [("batch", n) for n in _numbered(spark, self.path, "batch") if n <= before]
+        for kind, n in old:
+            p = spark._jvm.org.apache.hadoop.fs.Path(self._folder(kind, n))
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def read(self, spark: SparkSession) -> DataFrame:
+        """Events from which ``planning.fold_state`` gets every unit's state."""
+        parts = self._parts(spark)[1]
+        return spark.read.option("recursiveFileLookup", True).parquet(*parts).select(self.unit, self.seq, self.status)
 
-def available(until_us: Column, now_us: Column) -> Column:
-    """Whether a resource is out of quarantine."""
-    return until_us.isNull() | (until_us <= now_us)
+    def upsert(self, results: DataFrame, checkpoint: str):
+        return results.writeStream.foreachBatch(self.save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_state_table(results: DataFrame, every: int = 20) -> DataFrame:
+    spark = results.sparkSession
+    base = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    table = StateTable(f"{base}/state", every=every)
+    table.upsert(results, f"{base}/cp").awaitTermination()
+    return table.read(spark)

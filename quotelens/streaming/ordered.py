@@ -72,6 +72,8 @@ class InTimeOrder(StatefulProcessor):
                 self.waiting.clear()
         if state is not None:
             self.folded.update(state)
+        elif self.folded.exists():
+            self.folded.clear()
         times = [r.ts_us for r in later] + ([self.wake(state)] if self.wake and state is not None and self.wake(state) is not None else [])
         self._sleep(min(times, default=None))
         yield self._frame(key, out)

@@ -103,3 +103,43 @@ def test_batches_do_not_matter(spark, tmp_path, events, name):
     assert want
     assert drained(spark, one, tmp_path / "out1", monitor, "1 day") == want
     assert drained(spark, ten, tmp_path / "out10", monitor, "1 day") == want
+
+
+def plain_snapshots(events):
+    out, ttl = [], 86_400_000_000
+    for key, rows in by_key(events).items():
+        for (_, at, i, *_), after in zip(rows, [*rows[1:], None], strict=True):
+            end = at + ttl
+            replaced = after is not None and after[1] <= end
+            out.append((key, i, at, end, after[1] if replaced else end, "replaced" if replaced else "expired"))
+    return sorted(out)
+
+
+def test_snapshots_expire(spark, tmp_path):
+    rng, at, events = random.Random(2), 1_700_000_000_000_000, []
+    for i in range(60):
+        at += rng.choice([3_600_000_000, 40_000_000_000, 86_400_000_000])
+        events.append((rng.choice("ab"), at, i, 200, "", False))
+    shuffled = events[:]
+    random.Random(3).shuffle(shuffled)
+    path = folder(spark, tmp_path, [shuffled[i::3] for i in range(3)])
+    got = drained(spark, path, tmp_path / "out", lambda e, w: mo.snapshot_stream(e, "key", 1, delay=w), "100 days")
+    assert got == plain_snapshots(events) and {r[-1] for r in got} == {"replaced", "expired"}
+
+
+def test_state_table_compacts_and_replays(spark, tmp_path):
+    from quotelens.operators.planning import fold_state
+
+    rng = random.Random(8)
+    rows = [(f"u{rng.randrange(30)}", i, rng.choice(["completed", "failed", "skipped"])) for i in range(400)]
+    table = mo.StateTable(str(tmp_path / "state"), every=3, buckets=4)
+    batches = [spark.createDataFrame(rows[i::11], "unit_id string, seq long, status string") for i in range(11)]
+    want = {tuple(r) for r in fold_state(spark.createDataFrame(rows, "unit_id string, seq long, status string")).collect()}
+    for n, batch in enumerate(batches):
+        table.save(batch, n)
+        if n in (4, 5):
+            table.save(batch, n)  # a replay
+    last, parts = table._parts(spark)
+    assert last == 8 and len(parts) == 3
+    assert {tuple(r) for r in fold_state(table.read(spark)).collect()} == want
+    assert table.read(spark).count() <= 30 * 3 + 2 * 37  # the snapshot and two batches

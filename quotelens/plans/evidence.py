@@ -156,6 +156,13 @@ VIEWS: dict[str, str] = {
                CASE o_orderkey % 5 WHEN 0 THEN 'Small  Ring' WHEN 1 THEN 'red widget promo ' || CAST(o_orderkey % 50 AS STRING) WHEN 2 THEN 'gear'
                     WHEN 3 THEN 'blue anvil large ' || CAST(1 + o_orderkey % 50 AS STRING) ELSE 'none such' END AS value
         FROM orders""",
+    # responses with option lists: whole, without their last bracket, and cut inside the second list
+    "option_bodies": """
+        SELECT p_partkey AS part_no, p_size AS size_no, p_name AS paper, CASE p_partkey % 3
+            WHEN 0 THEN '{"propertyOptions":[{"id":7,"isRange":false,"propertyValueOptions":[{"id":' || CAST(p_size AS STRING) || '},{"id":' || CAST(p_size + 1 AS STRING) || '}]},{"id":44,"isRange":true,"propertyValueOptions":[{"id":' || CAST(50 * p_size AS STRING) || '},{"id":' || CAST(25 * p_size AS STRING) || '},{"id":' || CAST(50 * p_size AS STRING) || '}]}],"propsTranslated":{"Format":" A' || CAST(p_size % 8 AS STRING) || '","Papier":"' || p_name || '","Leer":""}}'
+            WHEN 1 THEN '{"propertyOptions":[{"id":7,"isRange":false,"propertyValueOptions":[{"id":' || CAST(p_size AS STRING) || '},{"id":' || CAST(p_size + 1 AS STRING) || '}]},{"id":44,"isRange":true,"propertyValueOptions":[{"id":' || CAST(50 * p_size AS STRING) || '},{"id":' || CAST(25 * p_size AS STRING) || '},{"id":' || CAST(50 * p_size AS STRING) || '}]}],"propsTranslated":{"Format":" A' || CAST(p_size % 8 AS STRING) || '","Papier":"' || p_name || '","Leer":""}'
+            ELSE '{"propertyOptions":[{"id":7,"isRange":false,"propertyValueOptions":[{"id":' || CAST(p_size AS STRING) || '},{"id":' || CAST(p_size + 1 AS STRING) || '}]},{"id":44,"isRange":true,"propertyValueOptions":[{"id":' || CAST(50 * p_size AS STRING) || '},{"i' END AS body
+        FROM part""",
     # captured configurator posts with the encoded dependency link
     "form_posts": """
         SELECT o_orderkey AS post_no, 'Brand#' || CAST(1 + o_custkey % 25 AS STRING) AS snapshot_id,

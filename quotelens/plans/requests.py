@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quotelens.functions import optionlists as ol
 from quotelens.functions.urls import encode_pairs, form_keys, form_pairs, redact_proxy
 from quotelens.operators import matrix as mx
 from quotelens.operators import requests as rq
+from quotelens.operators.registry import SiteRule, site_candidates
 from quotelens.plans.evidence import table, view, with_views
 from quotelens.plans.registry import query
 
@@ -264,3 +266,55 @@ def failed_matrix_pairs(spark, sf_dir):
         F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("timeout at qty="), (25 * (1 + F.col("o_orderkey") % 12)).cast("string"), F.lit(" try 3"))).otherwise("bad response").alias("error"),
     )
     return mx.failed_pairs(o, "UID", "error")
+
+
+# ---- option lists of responses, site rules ----------------------------------------------------------------------------------------
+
+@query("quantity_value_lists", with_views(["option_bodies"], """
+SELECT part_no, CASE part_no % 3 WHEN 2 THEN '' ELSE CAST(25 * size_no AS VARCHAR) || ',' || CAST(50 * size_no AS VARCHAR) END AS quantities, CASE part_no % 3 WHEN 2 THEN '' ELSE CAST(size_no AS VARCHAR) || ',' || CAST(size_no + 1 AS VARCHAR) END AS others,
+ CASE part_no % 3 WHEN 2 THEN NULL ELSE CAST(50 * size_no AS VARCHAR) END AS runs FROM option_bodies"""))
+def quantity_value_lists(spark, sf_dir):
+    """Allowed quantities of whole and cut responses, and the print runs from one of them on."""
+    b = view(spark, sf_dir, "option_bodies")
+    ids = ol.quantity_value_options(F.col("body"), F.lit(44))
+    # of the cut list of the first property every body has a closed one, but in the shortest its text ends in the second
+    first = F.when(F.col("part_no") % 3 < 2, ol.quantity_value_options(F.col("body"), F.lit(7))).otherwise(F.array().cast("array<bigint>"))
+    runs = ol.print_runs(ids, (F.col("size_no") * 50).cast("bigint"))
+    return b.select("part_no", F.array_join(ids, ",").alias("quantities"), F.array_join(first, ",").alias("others"), F.array_join(runs, ",").alias("runs"))
+
+
+@query("property_option_lists", with_views(["option_bodies"], """
+SELECT part_no, unnest([7, 44])::BIGINT AS property_id, unnest([false, true]) AS is_range, unnest([CAST(size_no AS VARCHAR) || ',' || CAST(size_no + 1 AS VARCHAR), CAST(50 * size_no AS VARCHAR) || ',' || CAST(25 * size_no AS VARCHAR) || ',' || CAST(50 * size_no AS VARCHAR)]) AS value_ids FROM option_bodies WHERE part_no % 3 = 0"""))
+def property_option_lists(spark, sf_dir):
+    rows = view(spark, sf_dir, "option_bodies").select("part_no", F.inline(ol.property_options(F.col("body"))))
+    return rows.withColumn("value_ids", F.array_join("value_ids", ","))
+
+
+@query("preview_configurations", with_views(["option_bodies"], """
+SELECT part_no, unnest(['Format', 'Papier']) AS field, unnest(['A' || CAST(size_no % 8 AS VARCHAR), paper]) AS value FROM option_bodies WHERE part_no % 3 < 2"""))
+def preview_configurations(spark, sf_dir):
+    return view(spark, sf_dir, "option_bodies").select("part_no", F.explode(ol.preview_configuration(F.col("body"))).alias("field", "value"))
+
+
+def _query_rule(unit):
+    yield "GET", f"{unit['url']}?AMOUNT={unit['quantity']}", None
+    if unit["format"] == "A5":
+        yield "GET", f"{unit['url']}?AMOUNT={unit['quantity']}&FORMAT=A5", None
+
+
+def _form_rule(unit):
+    if unit["product_type"] != "unknown":
+        yield "POST", unit["url"], f"quantity={unit['quantity']}&format={unit['format']}"
+
+
+SITE_RULES = [SiteRule("query", ("shop1.", "shop2."), _query_rule), SiteRule("form", ("shop2.", "shop3."), _form_rule)]
+
+
+@query("site_rule_candidates", with_views(["units"], """
+WITH g AS (SELECT * FROM units WHERE contains(site_name, 'shop1.') OR contains(site_name, 'shop2.')), f AS (SELECT * FROM units WHERE (contains(site_name, 'shop2.') OR contains(site_name, 'shop3.')) AND product_type <> 'unknown')
+SELECT unit_no, 0 AS rule_no, 'query' AS rule, 0 AS candidate_no, 'GET' AS method, url || '?AMOUNT=' || quantity AS url, NULL AS body FROM g
+UNION ALL SELECT unit_no, 0, 'query', 1, 'GET', url || '?AMOUNT=' || quantity || '&FORMAT=A5', NULL FROM g WHERE format = 'A5'
+UNION ALL SELECT unit_no, 1, 'form', 0, 'POST', url, 'quantity=' || quantity || '&format=' || format FROM f"""))
+def site_rule_candidates(spark, sf_dir):
+    u = view(spark, sf_dir, "units").select("unit_no", "site_name", "url", "product_type", "quantity", "format")
+    return site_candidates(u, SITE_RULES, "unit_no")

@@ -80,6 +80,24 @@ def csv_manifest_units(spark, sf_dir):
     return d.select("url", "product_type", "expected_price", "expected_price_tolerance", "expected_currency", o["Auflage"].alias("quantity"), o["format"].alias("format"), o["finish"].alias("finish"), o["No"].cast("bigint").alias("unit_no"))
 
 
+@query("mixed_csv_manifests", with_views(["units"], """
+SELECT url, product_type, 'Straße ' || site_name AS site_name, expected_cents / 100 AS expected_price, quantity, CASE WHEN unit_no % 3 = 1 THEN 'größer' END AS note FROM units"""))
+def mixed_csv_manifests(spark, sf_dir):
+    """One folder of manifests in two encodings and with three delimiters and headers."""
+    u = view(spark, sf_dir, "units")
+    path = scratch(spark)
+    site, price = F.concat(F.lit("Straße "), F.col("site_name")), F.col("expected_cents") / 100
+    kinds = [
+        (0, ";", "UTF-8", [F.col("url").alias("URL"), F.col("product_type").alias("Type"), site.alias("Site-Name"), price.alias("Net price"), F.col("quantity").alias("option.menge")]),
+        (1, "\t", "ISO-8859-1", [F.lit("größer").alias("note"), site.alias("site_name"), F.col("quantity").alias("menge"), F.col("url"), F.col("product_type"), price.alias("expected_price")]),
+        (2, "|", "ISO-8859-1", [F.col("url"), site.alias("site_name"), F.col("product_type"), price.alias("expected_price"), F.col("quantity").alias("menge")]),
+    ]
+    for n, sep, encoding, columns in kinds:
+        u.filter(F.col("unit_no") % 3 == n).select(*columns).write.option("header", True).option("sep", sep).option("encoding", encoding).csv(f"{path}/{n}")
+    d = mf.read_csv_manifest(spark, f"{path}/*")
+    return d.select("url", "product_type", "site_name", "expected_price", d.options["menge"].alias("quantity"), d.options["note"].alias("note"))
+
+
 @query("json_manifest_units", with_views(["units"], """
 SELECT url, product_type, expected_cents / 100 AS expected_price, count(*) AS n, max(quantity) AS quantity, 'int' AS quantity_type FROM units GROUP BY ALL"""))
 def json_manifest_units(spark, sf_dir):

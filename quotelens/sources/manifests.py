@@ -15,11 +15,6 @@ RESERVED = [
 ]
 
 
-def normalize_key(name: str) -> str:
-    """Column header key: lower, dashes and blanks to underscores."""
-    return "_".join(name.replace("\ufeff", "").strip().lower().replace("-", "_").split())
-
-
 def read_json_manifest(spark: SparkSession, path: str) -> DataFrame:
     """``[...]`` or ``{"targets": [...]}``; an entry without URL stops the query."""
     doc = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
@@ -45,76 +40,100 @@ def _json_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def text_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 where every line is valid UTF-8, else Latin-1 (which reads any byte; see ``windows_text``)."""
-    ok = spark.read.text(path).agg(F.min(F.is_valid_utf8("value")).alias("ok")).first()["ok"]
-    return "UTF-8" if ok in (True, None) else "ISO-8859-1"
+def _csv_text(content: bytes) -> str:
+    """Text of a file: UTF-8, else the Windows code page, else Latin-1."""
+    for encoding in ("utf-8-sig", "cp1252"):
+        try:
+            return content.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    return content.decode("latin-1")
+
+
+def _delimiter(text: str) -> str:
+    """What the file's first characters are split by."""
+    import csv
+
+    head = text[:4096]
+    try:
+        return csv.Sniffer().sniff(head, delimiters=",;\t|").delimiter
+    except csv.Error:
+        return ";" if head.count(";") > head.count(",") else ","
 
 
-def _windows_table() -> dict[int, str]:
-    """Control characters of a Latin-1 reading -> the signs the Windows code page has there."""
-    table = {}
-    for byte in range(0x80, 0xA0):
-        sign = bytes([byte]).decode("cp1252", "ignore")
-        if sign:
-            table[byte] = sign
-    return table
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, row_no (from 2, as in the file without blank rows) and cells (MAP header -> text) of every CSV file under a path.
 
+    Each file is read by itself, with its own encoding, delimiter and header. Of equal headers the last one counts.
+    """
 
-def windows_text(value: Column) -> Column:
-    """Signs of the Windows code page restored in a Latin-1 reading."""
-    table = _windows_table()
-    return F.translate(value, "".join(map(chr, table)), "".join(table.values()))
+    def records(batches):
+        import csv
+        import io
 
+        import pyarrow as pa
 
-def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The one of , ; tab | that splits the header line most often."""
-    head = spark.read.text(path).limit(1).collect()
-    line = head[0]["value"][:4096] if head else ""
-    return max(",;\t|", key=lambda d: (line.count(d), -",;\t|".index(d)))
+        kind = pa.map_(pa.string(), pa.string())
+
+        def batch_of(file, start, rows):
+            return pa.RecordBatch.from_arrays([pa.array([file] * len(rows)), pa.array(range(start, start + len(rows)), pa.int64()), pa.array(rows, kind)], names=["file", "row_no", "cells"])
+
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                text = _csv_text(content.as_py())
+                reader = csv.reader(io.StringIO(text, newline=""), delimiter=_delimiter(text))
+                names = [n.strip() for n in next((r for r in reader if r), [])]
+                start, rows = 2, []
+                for cells in reader:
+                    if cells:
+                        rows.append(list(dict(zip(names, cells)).items()))  # noqa: B905
+                    if len(rows) == 10_000:
+                        yield batch_of(file, start, rows)
+                        start, rows = start + len(rows), []
+                if rows:
+                    yield batch_of(file, start, rows)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(records, "file string, row_no long, cells map<string,string>")
 
 
 def read_csv_manifest(
     spark: SparkSession, path: str, default_url: str | None = None, default_site: str | None = None, default_product: str | None = None
 ) -> DataFrame:
-    """CSV rows to units. ``option.X`` and all other non-reserved columns become options, over ``options_json``."""
-    encoding = text_encoding(spark, path)
-    reader = spark.read.option("header", True).option("sep", sniff_delimiter(spark, path)).option("encoding", encoding)
-    raw = reader.option("multiLine", True).option("escape", '"').csv(path)
-    latin = encoding != "UTF-8"
-    names = [(c.translate(_windows_table()) if latin else c).replace("\ufeff", "").strip() for c in raw.columns]
-    # dots and blanks in headers: work by position
-    d = raw.toDF(*[f"c{i}" for i in range(len(names))])
-    if latin:
-        d = d.select(*[windows_text(F.col(c)).alias(c) for c in d.columns])
-    by_key: dict[str, str] = {}
-    for i, n in enumerate(names):
-        by_key.setdefault(normalize_key(n), f"c{i}")
+    """CSV rows to units, file by file. ``option.X`` and all other non-reserved columns become options, over ``options_json``."""
+    entries = F.map_entries("cells")
+    plain_key = lambda k: F.regexp_replace(F.replace(F.lower(F.trim(k)), F.lit("-"), F.lit("_")), r"\s+", "_")
+    keyed = F.transform(entries, lambda e: F.struct(e["key"].alias("name"), plain_key(e["key"]).alias("key"), F.trim(e["value"]).alias("value")))
+    d = csv_records(spark, path).select("file", "row_no", keyed.alias("_cells"))
+
+    def named_as(key: str):
+        return lambda c: c["key"] == key
 
     def text(*keys: str) -> Column:
-        cols = [F.nullif(F.trim(F.col(by_key[k])), F.lit("")) for k in keys if k in by_key]
-        return F.coalesce(*cols) if cols else F.lit(None).cast("string")
+        # the last of several columns with the same key
+        cells = [F.try_element_at(F.filter("_cells", named_as(k)), F.lit(-1))["value"] for k in keys]
+        return F.coalesce(*[F.nullif(c, F.lit("")) for c in cells])
 
-    def option_name(name: str) -> str:
-        if name.startswith("option."):
-            return name.split(".", 1)[1].strip()
-        return "" if normalize_key(name) in RESERVED else name
+    def option_name(c: Column) -> Column:
+        return F.when(c["name"].startswith("option."), F.trim(F.substring(c["name"], 8, 1 << 30))).when(c["key"].isin(RESERVED), "").otherwise(c["name"])
 
-    pairs = [F.struct(F.lit(option_name(n)).alias("key"), F.trim(F.col(f"c{i}")).alias("value")) for i, n in enumerate(names) if option_name(n)]
-    own = F.map_from_entries(F.filter(F.array(*pairs), lambda p: F.coalesce(p["value"], F.lit("")) != "")) if pairs else F.create_map().cast("map<string,string>")
+    named = F.filter(F.transform("_cells", lambda c: F.struct(option_name(c).alias("key"), c["value"].alias("value"))), lambda o: (o["key"] != "") & (F.coalesce(o["value"], F.lit("")) != ""))
+    # "option.X" and "X" may both be there: the later column counts
+    own = F.map_from_entries(F.filter(named, lambda o, i: ~F.exists(F.slice(named, i + 2, F.greatest(F.size(named), F.lit(1))), lambda later: later["key"] == o["key"])))
     given = text("options_json", "options")
     parsed = F.from_json(given, "map<string,string>", {"mode": "FAILFAST"})
     empty = F.create_map().cast("map<string,string>")
-    base = F.map_filter(F.coalesce(parsed, empty), lambda k, _v: ~F.map_contains_key(own, k))
+    d = d.withColumn("_own", own)
+    base = F.map_filter(F.coalesce(parsed, empty), lambda k, _v: ~F.map_contains_key("_own", k))
     tol = text("expected_price_tolerance")
     bad_tol = F.raise_error(F.concat(F.lit("invalid expected_price_tolerance: "), tol)).cast("double")
-    url = F.coalesce(text("url"), F.lit(default_url), F.raise_error(F.lit("CSV row without url")).cast("string"))
+    no_url = F.raise_error(F.concat(F.lit("CSV row "), F.col("row_no").cast("string"), F.lit(" without url: "), F.col("file"))).cast("string")
     return d.select(
-        url.alias("url"), F.coalesce(text("site_name"), F.lit(default_site)).alias("site_name"),
-        F.coalesce(text("product_type"), text("type"), F.lit(default_product), F.lit("unknown")).alias("product_type"),
+        F.coalesce(text("url"), F.lit(default_url), no_url).alias("url"), F.coalesce(text("site_name"), F.lit(default_site)).alias("site_name"),
+        F.coalesce(text("product_type", "type"), F.lit(default_product), F.lit("unknown")).alias("product_type"),
         text("expected_price", "net_price").try_cast("double").alias("expected_price"),
         F.when(tol.isNull(), 0.01).otherwise(F.coalesce(tol.try_cast("double"), bad_tol)).alias("expected_price_tolerance"),
-        F.coalesce(text("expected_currency"), F.lit("EUR")).alias("expected_currency"), F.map_concat(base, own).alias("options"),
+        F.coalesce(text("expected_currency"), F.lit("EUR")).alias("expected_currency"), F.map_concat(base, "_own").alias("options"), "file", "row_no",
     )
 
 

@@ -78,3 +78,49 @@ def test_second_run_is_skipped(spark):
     rows = spark.createDataFrame([("single_config", "skipped", False, False, False)] * 3, "stage string, status string, success boolean, blocked boolean, server_error boolean")
     r = {x.stage: (x.stage_status, x.stage_reason) for x in stage_report(gate_metrics(rows, stage_policies.default_policies(spark))).collect()}
     assert r["single_config"] == ("skipped", "already_processed") and r["probe"] == ("skipped", "no_eligible_units")
+
+
+def test_csv_folder_of_mixed_files(spark, tmp_path):
+    """Each file has its own encoding, delimiter and header; quoted line ends and short rows are read as they stand."""
+    (tmp_path / "a.csv").write_bytes("﻿url,Site-Name,menge,note\nhttps://a,Süd,5,\"two\nlines, one cell\"\n\nhttps://b,x,,\n".encode())
+    (tmp_path / "b.csv").write_bytes("url;site_name;option.Größe;Net price;options\nhttps://c;Köln €;A5;1.5;\"{\"\"f\"\":\"\"m\"\",\"\"Größe\"\":\"\"A4\"\"}\"\nhttps://d;kurz\n".encode("cp1252"))
+    (tmp_path / "c.csv").write_text("type\turl\tmenge\tmenge\nflyer\thttps://e\t1\t2\n")
+    (tmp_path / "d.csv").write_text("")
+    rows = {r.url: r for r in manifests.read_csv_manifest(spark, str(tmp_path)).collect()}
+    assert set(rows) == {f"https://{x}" for x in "abcde"}
+    assert rows["https://a"].options == {"menge": "5", "note": "two\nlines, one cell"} and rows["https://a"].site_name == "Süd" and rows["https://b"].options == {}
+    assert rows["https://c"].options == {"Größe": "A5", "f": "m"} and rows["https://c"].site_name == "Köln €" and rows["https://c"].expected_price == 1.5
+    assert rows["https://d"].site_name == "kurz" and rows["https://d"].options == {}
+    assert rows["https://e"].options == {"menge": "2"} and rows["https://e"].product_type == "flyer" and rows["https://e"].row_no == 2
+
+
+def test_option_lists_in_cut_texts(spark):
+    from quotelens.functions import optionlists as ol
+
+    whole = '{"propertyOptions":[{"id":"44","isRange":true,"propertyValueOptions":[{"id":50},{"id":25},{"id":50},{"id":-1},{"x":1},5]},{"id":0},7,{"id":9,"propertyValueOptions":null}]}'
+    cases = [
+        (whole, [25, 50]), ('{"a":[{"ID":44,"propertyValueOptions":[{"id":3,"n":[1]},{"id":2}]},{"id":1', [2, 3]), ('{"id":44,"propertyValueOptions":[{"id":3},{"id"', []),
+        ('{"id":44,"x":1', []), ("", []), (None, []), ('{"propertyOptions":[]}', []), ('"id":441,"propertyValueOptions":[{"id":8}]', [8]), ('{"id":44,"propertyValueOptions":' + "[" * 3000 + '{"id":6}' + "]" * 3000 + "cut", [6]),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: r.ids for r in d.select("i", ol.quantity_value_options(F.col("t"), F.lit(44)).alias("ids")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+    rows = d.filter("i = 0").select(F.inline(ol.property_options(F.col("t")))).collect()
+    assert [(r.property_id, r.is_range, r.value_ids) for r in rows] == [(44, True, [50, 25, 50]), (9, False, [])]
+    text = 'cut "propsTranslated": {"a":" 1 ","b":"","c":"x"} more "propGroupWithPropertyName":{"a":"2","d":{"e":1}} "propGroupsWithPropsTranslated":{"a":"0","z":"9"}'
+    assert spark.createDataFrame([(text,)], "t string").select(ol.preview_configuration(F.col("t"))).first()[0] == {"a": "1", "c": "x", "z": "9"}
+    runs = spark.createDataFrame([([1, 2, 3, 5, 8], 2), ([1], 1), ([1], 2)], "a array<long>, q long").select(ol.print_runs(F.col("a"), F.col("q")).alias("r")).collect()
+    assert [r.r for r in runs] == [[2, 3, 5, 8], [1], None]
+
+
+def test_site_rules(spark):
+    from quotelens.operators.registry import SiteRule, site_candidates
+
+    def many(unit):
+        for i in range(unit["n"]):
+            yield "GET", f"{unit['url']}/{i}", None
+
+    rules = [SiteRule("many", ("alpha", "beta"), many), SiteRule("one", ("beta",), lambda u: iter([("POST", u["url"], "x=1")]))]
+    u = spark.createDataFrame([(1, "Alpha", "https://x", 2), (2, "", "https://BETA.de", 1), (3, None, "https://gamma", 5), (4, "alpha", None, 0)], "id int, site_name string, url string, n int")
+    got = sorted((r.id, r.rule, r.candidate_no, r.method, r.url, r.body) for r in site_candidates(u, rules, "id").collect())
+    assert got == [(1, "many", 0, "GET", "https://x/0", None), (1, "many", 1, "GET", "https://x/1", None), (2, "many", 0, "GET", "https://BETA.de/0", None), (2, "one", 0, "POST", "https://BETA.de", "x=1")]

@@ -1,6 +1,7 @@
 """Main text and host reputation."""
 
 import math
+import time
 from collections import defaultdict
 
 import pytest
@@ -57,6 +58,52 @@ def test_main_text_of_odd_pages():
     assert main_text.main_text('<article><p title="a > b">in quotes, fine.</p><p class="x>unclosed, quote.</p></article>').startswith("in quotes, fine.")
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<section id="related-work"><p>{}</p></section>', '<div class="social-studies"><p>{}</p></div>', '<table id="menu-prices"><tr><td>{}</td></tr></table>', '<section class="notices"><p>{}</p></section>',
+        '<h2 id="discussion">{}</h2>', '<div class="news-form"><p>{}</p></div>',
+    ],
+)
+def test_words_that_also_name_parts_of_articles(part):
+    html = PAGE.format(body=f"<article><h1>Title</h1>{MANY}{part.format(LINE)}<div class='ad'>Buy, buy.</div><div class='comments'><p>{LINE}</p></div></article>")
+    assert main_text.main_text(html) == f"Title {ALL} {LINE}"
+
+
+def test_a_mark_never_decides_alone():
+    assert main_text.main_text(f'<body><div class="sharing-content">{MANY}</div></body>') == ALL
+    assert main_text.main_text(f'<body><div class="widget">{MANY}</div></body>') == ALL
+    # two times the same page: what the threshold leaves out comes in without it
+    html = PAGE.format(body=f"<div><h1>Title</h1>{MANY}</div>")
+    assert "Reader says" not in main_text.main_text(html) and "Reader says" in main_text.main_text(html, threshold=0)
+    short = f"<body><div class='x'>{MANY}</div><p>tiny</p></body>"
+    assert main_text.main_text(short) == ALL and main_text.main_text(short, threshold=0) == f"{ALL} tiny"
+
+
+@pytest.mark.parametrize("html", ["<a " * 333_000, "<div>" * 100_000 + "deep text, here.", "<b>" * 50_000 + "x<br>" * 50_000, "<div>" * 30_000 + "<li>x" * 30_000, "<div>" * 30_000 + "</x></a>" * 30_000, '<a "' * 100_000 + ">", "<p>x" * 100_000])
+def test_hostile_pages_take_time_in_proportion(html):
+    start = time.process_time()
+    main_text.main_text(html)
+    assert time.process_time() - start < 4
+
+
+def test_ratios_equal_plain_ones():
+    html = PAGE.format(body="<article><h1>A title</h1>" + "".join(f"<p>{t}</p><ul><li>{t[:9]}</li><li><a href='#'>{t[3:12]}</a></li></ul>" for t in TEXTS) + "</article>")
+    blocks = main_text.blocks_of(html)
+    keys = [(e.path, links) for e, _, links in blocks]
+    length = [sum(len(t) for k2, (_, t, _) in zip(keys, blocks, strict=True) if k2 == k) / keys.count(k) for k in keys]
+    signs = [sum(sum(c in ".,;:!?" for c in t) for k2, (_, t, _) in zip(keys, blocks, strict=True) if k2 == k) / keys.count(k) for k in keys]
+
+    def smooth(values, i):
+        near = [(math.exp(-0.5 * d**2), values[i + d]) for d in range(-2, 3) if 0 <= i + d < len(values)]
+        return sum(w * v for w, v in near) / sum(w for w, _ in near)
+
+    fused = [math.sqrt(math.sqrt(a * (1 + b)) * math.sqrt(smooth(length, i) * (1 + smooth(signs, i)))) for i, (a, b) in enumerate(zip(length, signs, strict=True))]
+    want = [sum(f for f, k2 in zip(fused, keys, strict=True) if k2 == k) / keys.count(k) for k in keys]
+    assert main_text.fused_ratios(blocks).tolist() == pytest.approx(want)
+    assert len(set(keys)) > 5
+
+
 def test_extract_rows(spark):
     rows = [(1, None, "u", "text!"), (2, PAGE.format(body=f"<article><p>{TEXTS[0]}</p></article>"), None, None), (2, "", "u", "x")]
     got = main_text.extract(spark.createDataFrame(rows, "page_id long, html string, url string, text string")).collect()

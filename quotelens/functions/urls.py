@@ -95,9 +95,9 @@ def form_pairs(body: Column) -> Column:
     return F.transform(F.filter(F.split(F.coalesce(body, F.lit("")), "&"), lambda i: i != ""), pair)
 
 
-def form_keys(body: Column, limit: int = 24) -> Column:
-    """First distinct form keys."""
-    return F.slice(F.array_distinct(F.filter(F.transform(form_pairs(body), lambda p: p["key"]), lambda k: k != "")), 1, limit)
+def form_keys(body: Column) -> Column:
+    """Distinct form keys in their order."""
+    return F.array_distinct(F.filter(F.transform(form_pairs(body), lambda p: p["key"]), lambda k: k != ""))
 
 
 def encode_pairs(pairs: Column) -> Column:

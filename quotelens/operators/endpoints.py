@@ -173,8 +173,14 @@ def best_endpoints(scored: DataFrame) -> DataFrame:
     return best_row(rows, ["run_id", "url"], [F.col("score"), -F.col("trace_idx")], [*RANK_COLUMNS, "trace_idx", "url_prefix"])
 
 
+def ordered_endpoints(scored: DataFrame) -> DataFrame:
+    """Endpoints per run whose ``rank`` is the key that orders them, smallest first. Selections compare it; nothing is sorted or numbered."""
+    key = F.struct((-F.col("score")).cast("long").alias("s"), (-F.col("confidence")).cast("double").alias("c"), F.col("trace_idx").cast("long").alias("t"))
+    return best_endpoints(scored).withColumn("rank", key)
+
+
 def rank_endpoints(scored: DataFrame, limit: int | None = None) -> DataFrame:
-    """Endpoints per run by score and confidence: all of them for selections, the first ``limit`` for a report."""
+    """Endpoints per run by score and confidence, numbered for reports: all of them, or the first ``limit``."""
     best = best_endpoints(scored)
     if limit:
         return top_k(best, ["run_id"], _rank_order(), limit, "rank")

@@ -341,10 +341,13 @@ def priced_endpoints(traces: DataFrame, ranked: DataFrame) -> DataFrame:
     or where a run has none of these all its urls as they were captured. Noise is left out afterwards."""
     from quotelens.functions.urls import is_price_noise
 
-    scored = ranked.filter(F.col("score") > 0).select("run_id", F.col("rank").cast("long").alias("rank"), "url", F.col("score").cast("int").alias("endpoint_score"))
+    # a rank is a number, or the key of ordered_endpoints; urls without one come in the order of their capture
+    place = lambda s, c, t: F.struct(s.cast("long").alias("s"), c.cast("double").alias("c"), t.cast("long").alias("t"))
+    rank = F.col("rank") if ranked.schema["rank"].dataType.typeName() == "struct" else place(F.col("rank"), F.lit(0), F.lit(0))
+    scored = ranked.filter(F.col("score") > 0).select("run_id", rank.alias("rank"), "url", F.col("score").cast("int").alias("endpoint_score"))
     last = best_row(traces, ["run_id", "url"], [F.col("trace_idx")], ["trace_idx", "response_body_preview", "response_content_type"])
     score = ranked.groupBy("run_id", "url").agg(F.max("score").cast("int").alias("endpoint_score"))
-    bare = traces.join(scored.select("run_id").distinct(), "run_id", "left_anti").groupBy("run_id", "url").agg(F.min("trace_idx").cast("long").alias("rank"))
+    bare = traces.join(scored.select("run_id").distinct(), "run_id", "left_anti").groupBy("run_id", "url").agg(place(F.lit(0), F.lit(0), F.min("trace_idx")).alias("rank"))
     urls = scored.unionByName(bare.join(score, ["run_id", "url"], "left").select("run_id", "rank", "url", "endpoint_score"))
     return urls.filter(~is_price_noise(F.col("url"))).join(last, ["run_id", "url"])
 
@@ -439,7 +442,6 @@ def page_lines(pages: DataFrame, keep: list[str], html: str = "html") -> DataFra
     return rows.select(*keep, F.col("_p").alias("line_no"), F.trim(F.regexp_replace("_l", r"\s+", " ")).alias("line")).filter("line <> ''")
 
 
-def page_price_lines(pages: DataFrame, keep: list[str], html: str = "html", shortest: int = 3, longest: int = 280) -> DataFrame:
-    """Lines that name a price or currency."""
-    d = page_lines(pages, keep, html)
-    return d.filter(F.length("line").between(shortest, longest) & F.lower("line").rlike("€|eur|price|preis"))
+def page_price_lines(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
+    """Lines that name a price or currency, whatever their length."""
+    return page_lines(pages, keep, html).filter(F.lower("line").rlike("€|eur|price|preis"))

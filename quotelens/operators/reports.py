@@ -20,12 +20,13 @@ def is_sensitive(text: Column) -> Column:
     return contains_any(F.lower(F.coalesce(text, F.lit(""))), SENSITIVE)
 
 
-def endpoint_traces(ranked: DataFrame, traces: DataFrame, limit: int) -> DataFrame:
-    """The leading endpoints of each run with their first captured trace of the same method."""
+def endpoint_traces(ranked: DataFrame, traces: DataFrame, limit: int | None = None) -> DataFrame:
+    """The endpoints of each run (for a report the first ``limit``) with their first captured trace of the same method."""
     t = traces.withColumn("method", F.upper(F.trim("method"))).filter("method <> '' and url <> ''")
     keep = ["trace_idx", "resource_type", "request_content_type", "response_content_type", "post_data", "response_body_preview", "request_headers"]
     first = best_row(t, ["run_id", "method", "url"], [F.col("trace_idx")], [c for c in keep if c in t.columns], smallest=True)
-    return ranked.filter(F.col("rank") <= limit).select("run_id", "rank", "url", "method", "role", "score", "confidence").join(first, ["run_id", "method", "url"])
+    shown = ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+    return shown.select("run_id", "rank", "url", "method", "role", "score", "confidence").join(first, ["run_id", "method", "url"])
 
 
 def body_kind(body: Column) -> Column:

@@ -143,7 +143,7 @@ PLAN_CTE = """pe AS (SELECT f.run_id, f.strategy, (SELECT arg_min(url, rank) FRO
 @query("planned_endpoints", _traces(f", {ck.RANKED_CTE}, {ROLLUP_CTE}, {FEASIBLE_CTE}, {PLAN_CTE} SELECT run_id, strategy, endpoint, CASE WHEN endpoint IS NULL THEN 0.65 ELSE 0.75 END AS plan_confidence, CASE WHEN endpoint IS NULL THEN 'none' ELSE 'ranked' END AS plan_source FROM pe"))
 def planned_endpoints(spark, sf_dir):
     s = scored(spark, sf_dir)
-    return ep.plan_endpoints(ep.feasibility(ep.discovery_rollup(s)), ep.rank_endpoints(s))
+    return ep.plan_endpoints(ep.feasibility(ep.discovery_rollup(s)), ep.ordered_endpoints(s))
 
 
 @query("replay_candidate_list", _traces(f""", {ck.RANKED_CTE}, {ROLLUP_CTE}, {FEASIBLE_CTE}, {PLAN_CTE},

@@ -308,7 +308,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rank) AS fn FRO
 SELECT run_id, url, endpoint_score, val AS price, total AS score, source AS price_source, grp AS price_group FROM fr WHERE fn = 1"""))
 def run_prices(spark, sf_dir):
     t = view(spark, sf_dir, "traces")
-    ranked = ep.rank_endpoints(ep.score_traces(t))
+    ranked = ep.ordered_endpoints(ep.score_traces(t))
     expected = view(spark, sf_dir, "units").groupBy("run_id").agg((F.min("expected_cents") / 100).alias("expected_price"))
     return pr.prices_from_traces(t, ranked, expected, _page_candidates(spark, sf_dir, t))
 
@@ -380,3 +380,15 @@ SELECT page_id, count(*) AS lines, sum(length(line))::BIGINT AS chars, max(line)
 def page_text_lines(spark, sf_dir):
     d = pr.page_lines(table(spark, sf_dir, "pages"), ["page_id"])
     return d.groupBy("page_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"), F.max("line").alias("last_line"))
+
+
+@query("page_price_lines", r"""
+WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script>', ' ', 'gis'), '<style\b.*?</style>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs') AS h FROM pages),
+c AS (SELECT page_id, regexp_replace(regexp_replace(h, '</?(p|div|li|ul|ol|h[1-6]|br|tr|td|table|section|article|nav|footer|header)\b[^>]*>', chr(10), 'gi'), '<[^>]+>', '', 'g') AS x FROM b),
+d AS (SELECT page_id, """ + _decoded("x") + r""" AS x FROM c),
+l AS (SELECT page_id, unnest(regexp_split_to_array(x, '\n+')) AS line FROM d),
+t AS (SELECT page_id, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM l)
+SELECT page_id, line, count(*) AS n FROM t WHERE regexp_matches(lower(line), '€|eur|price|preis') GROUP BY ALL""")
+def page_price_lines(spark, sf_dir):
+    d = pr.page_price_lines(table(spark, sf_dir, "pages"), ["page_id"])
+    return d.groupBy("page_id", "line").agg(F.count(F.lit(1)).alias("n"))

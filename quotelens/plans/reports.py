@@ -15,14 +15,14 @@ from quotelens.plans.registry import query
 from quotelens.sources import capture
 
 HINTS_CTE = ck.RANKED_CTE + """,
-hn AS (SELECT r.run_id, r.rank, r.url, r.method, arg_min(t.post_data, t.trace_idx) AS body FROM ranked r JOIN traces t ON t.run_id = r.run_id AND t.url = r.url AND t.method = r.method WHERE r.rank <= 4 GROUP BY ALL),
+hn AS (SELECT r.run_id, r.rank, r.url, r.method, arg_min(t.post_data, t.trace_idx) AS body FROM ranked r JOIN traces t ON t.run_id = r.run_id AND t.url = r.url AND t.method = r.method GROUP BY ALL),
 mu AS (SELECT run_id, rank, url, u.* FROM (SELECT *, CASE WHEN body LIKE '{"quantity%' THEN [{'k': 'quantity', 'p': 'quantity', 'r': 'path_token_match'}]
     WHEN body LIKE 'sku=%' THEN [{'k': 'quantity', 'p': 'quantity', 'r': 'form_key_match'}, {'k': 'format', 'p': 'format', 'r': 'form_key_match'}] ELSE [] END AS l FROM hn), LATERAL (SELECT unnest(l) AS u, generate_subscripts(l, 1) AS n))"""
 
 
 def _hints(spark, sf_dir):
     t = view(spark, sf_dir, "traces")
-    return rp.endpoint_traces(ep.rank_endpoints(ep.score_traces(t)), t, 4)
+    return rp.endpoint_traces(ep.rank_endpoints(ep.score_traces(t)), t)
 
 
 @query("template_hints", with_views(["traces"], f"""WITH {ck.scored_cte()}, {HINTS_CTE}
@@ -48,7 +48,7 @@ SELECT run_id, ok AS matched_selected_endpoint, hint_url, reasons = '' AS suffic
 def rewrite_evidence_gate(spark, sf_dir):
     t = view(spark, sf_dir, "traces")
     ranked = ep.rank_endpoints(ep.score_traces(t))
-    hints = rp.endpoint_traces(ranked, t, 4)
+    hints = rp.endpoint_traces(ranked, t)
     runs = ranked.groupBy("run_id").agg(F.min_by("url", "rank").alias("selected_endpoint"))
     return rp.rewrite_gate(runs, hints, rp.template_mutations(hints))
 
@@ -82,7 +82,7 @@ SELECT run_id, url, method, CASE WHEN hit THEN 'preferred_endpoint' ELSE 'top_en
 def recipe_endpoints(spark, sf_dir):
     t = view(spark, sf_dir, "traces")
     pref = t.select("run_id").distinct().withColumn("url", F.lit("https://www.shop.example.com/repo/options/values")).withColumn("method", F.lit(""))
-    return rp.recipe_endpoint(ep.rank_endpoints(ep.score_traces(t)), pref).select("run_id", "url", "method", "source", "score")
+    return rp.recipe_endpoint(ep.ordered_endpoints(ep.score_traces(t)), pref).select("run_id", "url", "method", "source", "score")
 
 
 @query("json_price_paths", with_views(["traces"], f"""WITH {JSON_CAND_CTE}, j AS (SELECT run_id, score, substr(source, 6) AS price_path FROM jcand WHERE starts_with(source, 'json:'))
@@ -177,7 +177,7 @@ def semantic_trace_tokens(spark, sf_dir):
 
 
 @query("matched_traces", with_views(["traces"], f"""WITH {ck.scored_cte()}, {ck.RANKED_CTE},
-en AS (SELECT run_id, url AS endpoint, rank, '/' || array_to_string(list_filter(list_transform(string_split(regexp_extract(lower(url), '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: regexp_replace(s, '[^a-z0-9]+', '', 'g')), lambda s: s <> ''), '/') AS ep, regexp_extract(lower(url), '^([a-z]+://[^/?#]*)', 1) AS eh FROM ranked WHERE rank <= 5),
+en AS (SELECT run_id, url AS endpoint, rank, '/' || array_to_string(list_filter(list_transform(string_split(regexp_extract(lower(url), '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: regexp_replace(s, '[^a-z0-9]+', '', 'g')), lambda s: s <> ''), '/') AS ep, regexp_extract(lower(url), '^([a-z]+://[^/?#]*)', 1) AS eh FROM ranked),
 tn AS (SELECT *, '/' || array_to_string(list_filter(list_transform(string_split(regexp_extract(lower(url), '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: regexp_replace(s, '[^a-z0-9]+', '', 'g')), lambda s: s <> ''), '/') AS tp, regexp_extract(lower(url), '^([a-z]+://[^/?#]*)', 1) AS th FROM traces),
 pa AS (SELECT e.run_id, e.endpoint, e.rank, t.*EXCLUDE(run_id), ep, list_intersect(list_distinct(string_split(substr(ep, 2), '/')), list_distinct(string_split(substr(tp, 2), '/'))) AS sh, list_distinct(list_concat(string_split(substr(ep, 2), '/'), string_split(substr(tp, 2), '/'))) AS un,
    list_last(string_split(ep, '/')) AS eb, list_last(string_split(tp, '/')) AS tb, eh FROM en e JOIN tn t ON t.run_id = e.run_id),
@@ -195,7 +195,7 @@ w AS (SELECT *, row_number() OVER (PARTITION BY run_id, endpoint ORDER BY conf D
 SELECT run_id, endpoint, trace_idx, st AS match_strategy, round(conf, 3) AS match_confidence, bonus AS semantic_bonus FROM w WHERE rn = 1"""))
 def matched_traces(spark, sf_dir):
     t = view(spark, sf_dir, "traces")
-    ranked = ep.rank_endpoints(ep.score_traces(t), limit=5)
+    ranked = ep.best_endpoints(ep.score_traces(t))
     d = mt.match_traces(ranked.select("run_id", F.col("url").alias("endpoint")), t)
     return d.select("run_id", "endpoint", "trace_idx", "match_strategy", F.round("match_confidence", 3).alias("match_confidence"), "semantic_bonus")
 
@@ -203,10 +203,9 @@ def matched_traces(spark, sf_dir):
 @query("trace_match_diagnostics", with_views(["traces"], """
 WITH e AS (SELECT DISTINCT run_id, CASE run_id % 3 WHEN 0 THEN 'https://www.shop.example.com/repo/options/values' WHEN 1 THEN 'https://nowhere.example.org/zzz' ELSE ' ' END AS endpoint FROM traces),
 n AS (SELECT run_id, count(*) AS c, count(*) FILTER (WHERE trace_idx % 10 = 2) AS hits, count(*) FILTER (WHERE trace_idx % 10 = 2 AND NOT (status >= 400 AND false)) AS h2 FROM traces GROUP BY run_id)
-SELECT run_id, c AS candidate_trace_count, CASE run_id % 3 WHEN 1 THEN 'no_semantic_overlap' WHEN 2 THEN 'missing_endpoint' ELSE CASE WHEN hits = 0 THEN 'no_semantic_overlap' END END AS mismatch_reason FROM e JOIN n USING (run_id) WHERE run_id % 3 <> 0 OR hits > 0"""))
+SELECT run_id, c AS candidate_trace_count, CASE run_id % 3 WHEN 1 THEN 'no_semantic_overlap' WHEN 2 THEN 'missing_endpoint' ELSE CASE WHEN hits = 0 THEN 'no_semantic_overlap' END END AS mismatch_reason FROM e JOIN n USING (run_id)"""))
 def trace_match_diagnostics(spark, sf_dir):
     t = view(spark, sf_dir, "traces")
-    has = t.filter("trace_idx % 10 = 2").select("run_id").distinct().withColumn("has", F.lit(True))
-    e = t.select("run_id").distinct().join(has, "run_id", "left").filter("run_id % 3 <> 0 or has")
+    e = t.select("run_id").distinct()
     url = F.when(F.col("run_id") % 3 == 0, "https://www.shop.example.com/repo/options/values").when(F.col("run_id") % 3 == 1, "https://nowhere.example.org/zzz").otherwise(" ")
     return mt.match_diagnostics(e.select("run_id", url.alias("endpoint")), t).select("run_id", "candidate_trace_count", "mismatch_reason")

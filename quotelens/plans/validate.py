@@ -115,7 +115,7 @@ def prevalidation_failures(spark, sf_dir):
 @query("snapshot_refresh_reasons", with_views(["attempts"], """
 WITH s AS (SELECT DISTINCT unit_id FROM attempts),
 a AS (SELECT unit_id, arg_min(CASE WHEN reason IN ('no_matching_trace','request_error') THEN reason WHEN contains(lower(content_type),'html') AND reason <> 'success' THEN 'html_response_without_price' END, attempt_id)
-  FILTER (WHERE reason IN ('no_matching_trace','request_error') OR (contains(lower(content_type),'html') AND reason <> 'success')) AS w FROM attempts WHERE stage <> 'probe' AND attempt_id % 40 < 3 GROUP BY unit_id),
+  FILTER (WHERE reason IN ('no_matching_trace','request_error') OR (contains(lower(content_type),'html') AND reason <> 'success')) AS w FROM attempts GROUP BY unit_id),
 m AS (SELECT unit_id, length(unit_id) % 2 = 0 AS ev, CAST(replace(unit_id,'unit','') AS BIGINT) AS n FROM s)
 SELECT m.unit_id, CASE WHEN n % 3 <> 0 THEN coalesce(CASE WHEN n % 5 = 0 AND n % 2 = 0 THEN 'catalog_prevalidation_failed' END, CASE WHEN n % 7 = 0 THEN 'all_http_candidates_failed' END, w, CASE WHEN n % 11 = 0 THEN 'price_not_extracted' END, CASE WHEN n % 13 = 0 THEN 'price_not_extracted' END) END AS refresh_reason
 FROM m LEFT JOIN a USING (unit_id)"""))
@@ -127,8 +127,7 @@ def snapshot_refresh_reasons(spark, sf_dir):
         (F.col("n") % 5 != 0).alias("prevalidation_valid"), F.when(F.col("n") % 7 == 0, "all_http_candidates_failed").alias("replay_reason"),
         F.when(F.col("n") % 11 == 0, "price_not_extracted").alias("extraction_reason"), (F.col("n") % 13 == 0).alias("price_missing"),
     )
-    used = a.filter("stage <> 'probe' and attempt_id % 40 < 3")
-    return va.refresh_reason(s, used, ["unit_id"], "attempt_id").select("unit_id", "refresh_reason")
+    return va.refresh_reason(s, a, ["unit_id"], "attempt_id").select("unit_id", "refresh_reason")
 
 
 @query("check_verdicts", with_views(["attempts"], """

@@ -214,6 +214,34 @@ def filed(fps: DataFrame, scheme: list[tuple[list[int], int]], words: int) -> Da
     return fps.select(*names).mapInArrow(run, "part int, key long, " + ", ".join(f"{c} long" for c in names))
 
 
+def large_keys(distinct: DataFrame, scheme: list[tuple[list[int], int]], group: int) -> DataFrame:
+    """part, key, n of the keys under which more than group fingerprints are filed.
+
+    Counted from the fingerprints' own keys, which are few where a partition has few bits; variants are made of their counts.
+    """
+    tables = [(np.uint64(sum(1 << int(b) for b in bits)), variants(tuple(bits), t)) for bits, t in scheme]
+    shape, names = "part int, key long, n long", ["part", "key", "n"]
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column("fp0").to_numpy().view(np.uint64)
+            for i, (mask, _) in enumerate(tables):
+                keys, n = np.unique(fps & mask, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=names)
+
+    def varied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, keys, n = (batch.column(c).to_numpy() for c in names)
+            for i in np.unique(parts).tolist():
+                mine, flips = parts == i, tables[i][1]
+                more = (keys[mine].view(np.uint64)[:, None] ^ flips[None, :]).ravel().view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(more), i, np.int32)), pa.array(more), pa.array(np.repeat(n[mine], len(flips)))], names=names)
+
+    summed = lambda d: d.groupBy("part", "key").agg(F.sum("n").alias("n"))
+    counted = summed(distinct.select("fp0").mapInArrow(own, shape))
+    return summed(counted.select(*names).mapInArrow(varied, shape)).where(F.col("n") > group)
+
+
 def forests(rows: DataFrame, by: list[str], near: int, distance: int, words: int) -> DataFrame:
     """a, b: nodes of the edges that connect, within each group of rows, what links connect. A row alone in its group costs next to nothing."""
     names = columns_of(words)
@@ -261,7 +289,7 @@ def links(distinct: DataFrame, scheme: list[tuple[list[int], int]], near: int, d
     """a, b: nodes of edges that connect all fingerprints within the distances of each other, directly or through others."""
     names = columns_of(words)
     keys = filed(distinct, scheme, words)
-    large = kept(keys.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("part", "key", F.ceil(2 * F.col("n") / group).cast("int").alias("blocks")))
+    large = kept(large_keys(distinct, scheme, group).select("part", "key", F.ceil(2 * F.col("n") / group).cast("int").alias("blocks")))
     if not large.take(1):
         return forests(keys, ["part", "key"], near, distance, words)
     small = forests(keys.join(large, ["part", "key"], "left_anti"), ["part", "key"], near, distance, words)

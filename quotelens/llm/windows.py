@@ -174,9 +174,10 @@ def remove_repeats(docs: DataFrame, size: int, earlier: bool, split_text: Callab
     start = tagged.withColumns({c: F.lit(None).cast("array<int>") for c in ("sure_first", "sure_last")})
     first, spent = _repeated(runs, earlier)
     passed = kept(_with_runs(start, first).mapInArrow(_next_items(stretches, size, split_text, values_of, finish, result), _shape(result)))
+    release(runs, *spent)
     second, more = _repeated(passed.select(*OWNER, F.inline("items")), earlier)
     again = kept(_with_runs(passed.where("text is not null"), second).mapInArrow(_next_items(singles, size, split_text, values_of, finish, result), _shape(result)))
-    release(runs, *spent, *more)
+    release(*more)
     third, _ = _repeated(again.select(*OWNER, F.inline("items")), earlier)
     last = _with_runs(again.where("text is not null"), third).mapInArrow(_next_items(None, size, split_text, values_of, finish, result), _shape(result))
     names = [*OWNER, *(n for n, _, _ in result)]

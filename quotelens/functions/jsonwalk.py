@@ -28,6 +28,20 @@ def get(variant: Column, path: str, dtype: str = "string") -> Column:
     return F.try_variant_get(variant, path if path.startswith("$") else "$." + path, dtype)
 
 
+def nesting(variant: Column) -> Column:
+    """How deep containers stand inside each other; null for null."""
+    brackets = F.regexp_replace(F.to_json(variant), r'"(?:[^"\\\\]|\\\\.)*+"|[^\[\]{}]++', "")
+    step = F.aggregate(
+        F.split(brackets, ""),
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda a, c: F.struct(
+            (a["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias("now"),
+            F.greatest(a["most"], a["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most"),
+        ),
+    )
+    return step["most"]
+
+
 def _unquoted(token: str) -> str:
     return json.loads(token) if "\\" in token else token[1:-1]
 

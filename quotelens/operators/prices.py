@@ -5,6 +5,7 @@ A candidate is (value, score, source) under the caller's key columns. Bodies and
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import add
 
@@ -123,8 +124,10 @@ def named_candidates(df: DataFrame, keep: list[str], text: str) -> DataFrame:
 def json_candidate_array(found: Column) -> Column:
     """Candidates of a body's leaves: numbers and texts under price-like keys, plus prices inside text leaves."""
     none = F.array().cast(f"array<{CANDIDATE}>")
+    # one pattern leaves out nearly all leaves before any weight is worked out
+    telling = "|".join(re.escape(t.lower()) for t, _ in vocab.PRICE_KEY_WEIGHT)
     weighted = F.transform(
-        F.filter(found, lambda x: ~x["path"].endswith("]")),
+        F.filter(found, lambda x: ~x["path"].endswith("]") & (F.lower(x["leaf_key"]).rlike(telling) | F.contains(x["value"], F.lit("<")))),
         lambda x: F.struct(x["path"].alias("path"), x["value"].alias("value"), x["number"].alias("number"), x["kind"].alias("kind"), key_weight(x["leaf_key"]).alias("w")),
     )
     kept = F.filter(weighted, lambda x: (x["w"] > 0) | F.contains(x["value"], F.lit("<")))

@@ -280,9 +280,11 @@ PAGE_CTE = f"""{SUMMARY_CTE}, {VAT_CTE.removeprefix(LINES_CTE + ", ")}, {SELECTE
 page AS (SELECT run_id, value, score, source FROM sel UNION ALL SELECT run_id, value, score, source FROM sl UNION ALL SELECT run_id, gross, score, source FROM g WHERE abs(gross - value) >= 0.01)"""
 
 
-def _page_candidates(spark, sf_dir, runs):
-    """Candidates of the pages of some runs."""
-    lines = view(spark, sf_dir, "price_lines").join(runs.select("run_id").distinct(), "run_id", "left_semi")
+def _page_candidates(spark, sf_dir, runs=None):
+    """Candidates of all pages, or of those of some runs."""
+    lines = view(spark, sf_dir, "price_lines")
+    if runs is not None:
+        lines = lines.join(runs.select("run_id").distinct(), "run_id", "left_semi")
     ordered = with_ordinal(lines, ["run_id"], LINE_ORDER, F.col("line_no"), "ord").select("run_id", "ord", "line")
     hinted = lines.select("run_id", F.concat(F.lit("value:"), F.col("flag")).alias("hint"), "line")
     chosen = pr.selected_option_candidates(hinted, ["run_id"], "hint", "line")
@@ -329,7 +331,7 @@ def _dom(spark, sf_dir):
     lines = view(spark, sf_dir, "price_lines")
     stage = F.when(F.col("flag") == "A", 0).when(F.col("flag") == "N", 1).otherwise(2)
     dom = lines.filter("supp_no % 3 > 0").select("run_id", stage.alias("stage"), (F.col("cents") / F.lit(100.0)).alias("value"))
-    return pr.prices_from_dom(dom, _page_candidates(spark, sf_dir, dom), ["run_id"]).select("run_id", "replay", "price")
+    return pr.prices_from_dom(dom, _page_candidates(spark, sf_dir), ["run_id"]).select("run_id", "replay", "price")
 
 
 @query("dom_prices", with_views(["price_lines"], f"WITH {DOM_CTE} SELECT * FROM dom"))

@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of fragments, ids and their table that one Python worker remembers, twice at most; beyond it those not met lately are forgotten; results do not change.
-MEMORY, ENTRY = 24 << 20, 200
+MEMORY, ENTRY = 40 << 20, 200
 
 
 def _byte_letters() -> dict[str, int]:

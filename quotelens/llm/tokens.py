@@ -59,6 +59,9 @@ class WhiteSpace:
     fragments differ; a text with the start of an added token's name is only cut at white space.
     """
 
+    #: Of MEMORY; a byte-level vocabulary has longer fragments and more of them.
+    share = 1.0
+
     def __init__(self, path: str):
         kinds = np.zeros(256, dtype=np.uint8)
         kinds[0x21:0x7F] = 3
@@ -87,6 +90,8 @@ class ForcedCuts:
     class, and both sides encode as they do in the whole text.
     """
 
+    share = 1.65
+
     def __init__(self, path: str):
         pairs = np.zeros((256, 256), dtype=bool)
         for token in vocabulary_bytes(path):
@@ -142,7 +147,7 @@ class Encoder:
 
     def _learn(self, fragments: list[bytes]) -> None:
         """Encode what isn't remembered. Fragments that were not met since the memory was last full are forgotten."""
-        if self.size > MEMORY:
+        if self.size > MEMORY * self.cuts.share:
             self.known, self.older, self.size = {}, self.known, 0
         known, older = self.known, self.older
         missing = [f for f in set(fragments) if f not in known]

@@ -8,7 +8,7 @@ A text that stands inside another one, or shares a word with it, also shares an
 * words that both have.
 
 Pairs that meet in an entry are candidates; the caller scores them. What meets nowhere has score 0. Entries are joined by
-(scope, entry), and an entry that stands in very many texts is spread over salts.
+(scope, entry) in a sorted merge, and an entry that stands in very many texts is spread over salts.
 """
 
 from __future__ import annotations
@@ -70,7 +70,12 @@ def candidates(
         ways.append((plain, words, words))
     parts = []
     for texts, of_left, of_right in ways:
-        a = _entries(left, scope, left_ids, texts(left_texts), of_left)
-        b = _entries(right, scope, right_ids, texts(right_texts), of_right)
-        parts.append(salted_join(a, b, [*scope, "_entry"], F.xxhash64(*left_ids), salts).select(*scope, *left_ids, *right_ids))
+        # only the side with fewer entries a text is copied to the salts; neither is broadcast, as Spark's estimates of
+        # their sizes leave out the entries that explode makes of a text
+        many = _entries(left, scope, left_ids, texts(left_texts), of_left), left_ids
+        few = _entries(right, scope, right_ids, texts(right_texts), of_right), right_ids
+        if of_left is one:
+            many, few = few, many
+        met = salted_join(many[0], few[0].hint("merge"), [*scope, "_entry"], F.xxhash64(*many[1]), salts)
+        parts.append(met.select(*scope, *left_ids, *right_ids))
     return reduce(DataFrame.unionByName, parts).distinct()

@@ -52,7 +52,8 @@ def _options(spark, sf_dir):
     o = view(spark, sf_dir, "catalog_options")
     # group order from the distinct groups (a small table), joined back
     g = o.select("snapshot_id", "group_label").distinct().withColumn("group_ord", F.row_number().over(Window.partitionBy("snapshot_id").orderBy("group_label")))
-    return o.join(g, ["snapshot_id", "group_label"]).withColumn("option_ord", F.col("option_no"))
+    # merged, as Spark takes the size of the options from their packed files and may broadcast them
+    return o.join(g.hint("merge"), ["snapshot_id", "group_label"]).withColumn("option_ord", F.col("option_no"))
 
 
 def _matches(spark, sf_dir):
@@ -68,7 +69,7 @@ def catalog_option_matches(spark, sf_dir):
 def unit_option_outcomes(spark, sf_dir):
     m = _matches(spark, sf_dir).select("snapshot_id", "key", "value", "match_status", "group_label", "matched_label")
     r = view(spark, sf_dir, "requests").select("unit_no", "snapshot_id", "key", "value")
-    return r.join(m, ["snapshot_id", "key", "value"]).drop("snapshot_id")
+    return r.join(m.hint("merge"), ["snapshot_id", "key", "value"]).drop("snapshot_id")
 
 
 @query("option_suggestions", with_views(["requests", "catalog_options"], f"""WITH {CATALOG_CTE},
@@ -86,7 +87,7 @@ SELECT snapshot_id, count(*) FILTER (WHERE valid) AS matched_count, count(*) FIL
   string_agg(key || '=' || value, ';' ORDER BY rn) FILTER (WHERE NOT valid AND rn <= 12) AS unmatched FROM n GROUP BY snapshot_id"""))
 def prevalidation_summary(spark, sf_dir):
     m = _matches(spark, sf_dir).select("snapshot_id", "key", "value", (F.col("match_status") == "catalog_option").alias("valid"))
-    rows = view(spark, sf_dir, "requests").select("unit_no", "snapshot_id", "key", "value").join(m, ["snapshot_id", "key", "value"])
+    rows = view(spark, sf_dir, "requests").select("unit_no", "snapshot_id", "key", "value").join(m.hint("merge"), ["snapshot_id", "key", "value"])
     return rs.prevalidation_summary(rows, ["snapshot_id"], [F.asc("unit_no")])
 
 

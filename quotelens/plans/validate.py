@@ -108,7 +108,7 @@ SELECT unit_no, 'failed' AS final_status, false AS validated, 'prevalidation_fai
  'required_options_unmatched key=' || key || ' requested=' || value || ' reason=' || match_status AS mismatches FROM requests JOIN mt USING (snapshot_id, key, value) WHERE match_status <> 'catalog_option'"""))
 def prevalidation_failures(spark, sf_dir):
     m = _matches(spark, sf_dir).select("snapshot_id", "key", "value", "match_status", (F.col("match_status") == "catalog_option").alias("valid"))
-    rows = view(spark, sf_dir, "requests").join(m, ["snapshot_id", "key", "value"])
+    rows = view(spark, sf_dir, "requests").join(m.hint("merge"), ["snapshot_id", "key", "value"])
     return va.prevalidation_failures(rows, ["unit_no"])
 
 

@@ -150,6 +150,24 @@ def test_indexed_pairs_are_all_similar_pairs(spark):
     assert len(want) > 100 and len(got) < 0.8 * pairs.count()
 
 
+def test_entries_are_not_broadcast(spark):
+    """A text has tens of entries, which Spark's estimate of a side leaves out: small tables must be merged, too."""
+    a = spark.createDataFrame([("s", 1, "red")], "scope string, i long, n string")
+    b = spark.createDataFrame([("s", 2, "dark red widget")], "scope string, j long, nu string")
+    plan = candidates(a, b, ["scope"], ["i"], ["j"], ["n"], ["nu"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_value_ids_of_repeated_labels(spark):
+    values = [("k", 1, "Red 10"), ("k", 2, "red  10"), ("k", 3, "blue 20"), ("k", 3, "Blue 20"), ("k", 4, "green 30"), ("k", None, "grey 40")]
+    want = spark.createDataFrame([("k", v) for v in ("red 10", "20", "blue", "green30", "10", "40", "none", "")] + [("l", "x")], "scope string, value string")
+    got = rs.match_value_ids(want, spark.createDataFrame(values, "scope string, value_id long, label string"), ["scope"])
+    assert {r.value: (r.match_kind, r.value_id) for r in got.collect()} == {
+        "red 10": ("ambiguous_exact", None), "20": ("numeric", 3), "blue": ("contains", 3), "green30": ("exact", 4), "10": ("ambiguous_numeric", None), "40": ("numeric", None),
+        "none": ("no_match", None), "": ("empty_value", None), "x": ("no_value_options", None),
+    }
+
+
 def test_suggestions_fill_up_with_last_labels(spark):
     o = spark.createDataFrame([("s", 1, x) for x in ("alpha", "beta", "gamma", "delta red", "zeta")], "scope string, group_ord int, visible_label string")
     w = spark.createDataFrame([("s", "k", "red", 1, "value_not_in_catalog"), ("s", "k", "nothing", 1, "value_not_in_catalog")], "scope string, key string, value string, group_ord int, match_status string")

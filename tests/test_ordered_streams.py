@@ -105,6 +105,45 @@ def test_batches_do_not_matter(spark, tmp_path, events, name):
     assert drained(spark, ten, tmp_path / "out10", monitor, "1 day") == want
 
 
+def test_a_table_may_be_a_folder(spark, tmp_path, events):
+    folder(spark, tmp_path, [events])
+    for glob in ("events", "eve*s"):
+        stream = mo.read_events(spark, str(tmp_path), glob, spark.read.parquet(str(tmp_path / "events")).schema)
+        assert mo.run_append(stream).count() == len(events) + 1
+
+
+def test_rows_are_filed_by_stretch():
+    """No value in the state holds rows of more than one stretch of event time."""
+    from quotelens.streaming import ordered
+
+    held = ordered.InTimeOrder({"attempt_id": "bigint", "ts_us": "bigint"}, "n long", ["attempt_id"], lambda s, r: (s, []), None, None)
+    state = defaultdict(dict)
+
+    class Map:
+        def __init__(self, name):
+            self.of = state[name]
+
+        def containsKey(self, k):  # noqa: N802
+            return k in self.of
+
+        def getValue(self, k):  # noqa: N802
+            return self.of[k]
+
+        def updateValue(self, k, v):  # noqa: N802
+            self.of[k] = v
+
+    import pandas as pd
+
+    held.waiting, held.parts = Map("waiting"), Map("parts")
+    hour, rng = 3_600_000_000, random.Random(5)
+    chunks = [pd.DataFrame({"attempt_id": range(i, i + 50), "ts_us": [rng.randrange(20 * hour) for _ in range(50)]}) for i in range(0, 200, 50)]
+    for chunk in chunks:
+        held._file([chunk])
+    got = [r for k, v in state["waiting"].items() for r in v[0] if r[1] // hour == k[0]]
+    assert sorted(got) == sorted((r.attempt_id, r.ts_us) for c in chunks for r in c.itertuples())
+    assert {s: n for (s,), (n,) in state["parts"].items()} == {s: sum(k[0] == s for k in state["waiting"]) for s, _ in state["waiting"]}
+
+
 def plain_snapshots(events):
     out, ttl = [], 86_400_000_000
     for key, rows in by_key(events).items():

@@ -16,6 +16,10 @@ from quotelens.sources import manifests as mf
 from quotelens.sources import results as rs
 
 
+#: Rows of a CSV file. A task reads a file whole, so files stay small whatever the number of units.
+FILE_ROWS = 250_000
+
+
 def scratch(spark) -> str:
     """A new folder under the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/transfer-{uuid.uuid4().hex}"
@@ -74,7 +78,7 @@ def csv_manifest_units(spark, sf_dir):
     u.select(
         F.when(F.col("unit_no") % 9 != 0, F.col("url")).alias("url"), F.col("product_type").alias("Type"), (F.col("expected_cents") / 100).alias("Net price"), F.col("quantity").alias("Auflage"), F.col("format").alias("option.format"),
         F.when(F.col("unit_no") % 2 == 0, F.lit('{"finish":"json","format":"overridden"}')).alias("options_json"), F.col("unit_no").alias("No"),
-    ).write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    ).write.option("header", True).option("sep", ";").option("escape", '"').option("maxRecordsPerFile", FILE_ROWS).csv(path)
     d = mf.read_csv_manifest(spark, path, default_url="https://default.example.com/")
     o = F.col("options")
     return d.select("url", "product_type", "expected_price", "expected_price_tolerance", "expected_currency", o["Auflage"].alias("quantity"), o["format"].alias("format"), o["finish"].alias("finish"), o["No"].cast("bigint").alias("unit_no"))
@@ -93,7 +97,7 @@ def mixed_csv_manifests(spark, sf_dir):
         (2, "|", "ISO-8859-1", [F.col("url"), site.alias("site_name"), F.col("product_type"), price.alias("expected_price"), F.col("quantity").alias("menge")]),
     ]
     for n, sep, encoding, columns in kinds:
-        u.filter(F.col("unit_no") % 3 == n).select(*columns).write.option("header", True).option("sep", sep).option("encoding", encoding).csv(f"{path}/{n}")
+        u.filter(F.col("unit_no") % 3 == n).select(*columns).write.option("header", True).option("sep", sep).option("encoding", encoding).option("maxRecordsPerFile", FILE_ROWS).csv(f"{path}/{n}")
     d = mf.read_csv_manifest(spark, f"{path}/*")
     return d.select("url", "product_type", "site_name", "expected_price", d.options["menge"].alias("quantity"), d.options["note"].alias("note"))
 

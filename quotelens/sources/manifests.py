@@ -40,21 +40,26 @@ def _json_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def _csv_text(content: bytes) -> str:
-    """Text of a file: UTF-8, else the Windows code page, else Latin-1."""
+def _csv_encoding(content) -> str:
+    """Encoding of a file: UTF-8, else the Windows code page, else Latin-1; tried piece by piece."""
+    import codecs
+
     for encoding in ("utf-8-sig", "cp1252"):
+        decoder = codecs.getincrementaldecoder(encoding)()
         try:
-            return content.decode(encoding)
+            for at in range(0, len(content), 1 << 20):
+                decoder.decode(bytes(content[at : at + (1 << 20)]))
+            decoder.decode(b"", final=True)
+            return encoding
         except UnicodeDecodeError:
             continue
-    return content.decode("latin-1")
+    return "latin-1"
 
 
-def _delimiter(text: str) -> str:
+def _delimiter(head: str) -> str:
     """What the file's first characters are split by."""
     import csv
 
-    head = text[:4096]
     try:
         return csv.Sniffer().sniff(head, delimiters=",;\t|").delimiter
     except csv.Error:
@@ -64,7 +69,8 @@ def _delimiter(text: str) -> str:
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """file, row_no (from 2, as in the file without blank rows) and cells (MAP header -> text) of every CSV file under a path.
 
-    Each file is read by itself, with its own encoding, delimiter and header. Of equal headers the last one counts.
+    Each file is read by itself, with its own encoding, delimiter and header. Of equal headers the last one counts. A task
+    holds the bytes of a file, and decodes and parses them piece by piece.
     """
 
     def records(batches):
@@ -80,8 +86,10 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                text = _csv_text(content.as_py())
-                reader = csv.reader(io.StringIO(text, newline=""), delimiter=_delimiter(text))
+                raw = content.as_buffer()
+                encoding = _csv_encoding(memoryview(raw))
+                opened = lambda raw=raw, encoding=encoding: io.TextIOWrapper(pa.BufferReader(raw), encoding=encoding, newline="")
+                reader = csv.reader(opened(), delimiter=_delimiter(opened().read(4096)))
                 names = [n.strip() for n in next((r for r in reader if r), [])]
                 start, rows = 2, []
                 for cells in reader:

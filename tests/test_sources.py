@@ -124,3 +124,22 @@ def test_site_rules(spark):
     u = spark.createDataFrame([(1, "Alpha", "https://x", 2), (2, "", "https://BETA.de", 1), (3, None, "https://gamma", 5), (4, "alpha", None, 0)], "id int, site_name string, url string, n int")
     got = sorted((r.id, r.rule, r.candidate_no, r.method, r.url, r.body) for r in site_candidates(u, rules, "id").collect())
     assert got == [(1, "many", 0, "GET", "https://x/0", None), (1, "many", 1, "GET", "https://x/1", None), (2, "many", 0, "GET", "https://BETA.de/0", None), (2, "one", 0, "POST", "https://BETA.de", "x=1")]
+
+
+def test_manifest_files_stay_small(spark, tmp_path, monkeypatch):
+    """A task reads a file whole: the query writes files of a bounded number of rows."""
+    from quotelens.plans import transfer
+
+    monkeypatch.setattr(transfer, "FILE_ROWS", 100)
+    monkeypatch.setattr(transfer, "scratch", lambda _: str(tmp_path / "m"))
+    n = transfer.csv_manifest_units(spark, "/root/testdata/sf0.001").count()
+    sizes = [sum(1 for _ in f.open()) - 1 for f in (tmp_path / "m").glob("*.csv")]
+    assert sum(sizes) == n and max(sizes) <= 100
+
+
+def test_encoding_is_tried_piece_by_piece():
+    piece = 1 << 20
+    inside = b"a" * (piece - 1) + "ü".encode() + b"b" * piece
+    assert manifests._csv_encoding(memoryview(inside)) == "utf-8-sig"
+    assert manifests._csv_encoding(memoryview(inside + "ü".encode()[:1])) == "cp1252"
+    assert manifests._csv_encoding(memoryview(b"a" * piece + b"\x81")) == "latin-1"

@@ -13,13 +13,9 @@ Pairs that meet in an entry are candidates; the caller scores them. What meets n
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotelens.operators.skew import salted_join
-
 GRAM = 3
 
 
@@ -44,9 +40,15 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, " "), lambda w: w != ""))
 
 
-def _entries(df: DataFrame, scope: list[str], ids: list[str], texts: list[Column], of) -> DataFrame:
-    each = F.flatten(F.array(*[F.coalesce(of(t), F.array().cast("array<string>")) for t in texts]))
-    return df.select(*scope, *ids, F.explode(F.array_distinct(each)).alias("_entry"))
+def _entries(df: DataFrame, scope: list[str], ids: list[str], ways: list[tuple[list[Column], object, bool]], salts: int) -> DataFrame:
+    """One row per entry of a way: a copied side has each entry under all salts, the other one under the salt of its ids."""
+    every, own = F.array(*[F.lit(i) for i in range(salts)]), F.array(F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int"))
+    parts = []
+    for way, (texts, of, copied) in enumerate(ways):
+        each = F.array_distinct(F.flatten(F.array(*[F.coalesce(of(t), F.array().cast("array<string>")) for t in texts])))
+        parts.append(F.struct(F.lit(way).alias("_way"), (every if copied else own).alias("_salts"), each.alias("_each")))
+    found = df.select(*scope, *ids, F.explode(F.array(*parts)).alias("_part")).select(*scope, *ids, "_part._way", "_part._salts", F.explode("_part._each").alias("_entry"))
+    return found.select(*scope, *ids, "_way", "_entry", F.explode("_salts").alias("_salt"))
 
 
 def candidates(
@@ -61,21 +63,19 @@ def candidates(
     tight = lambda names: [F.replace(F.col(c), F.lit(" "), F.lit("")) for c in names]
     plain = lambda names: [F.col(c) for c in names]
     one = lambda t: F.filter(F.array(handle(t)), lambda x: x.isNotNull())
-    ways = []
+    # only the side with fewer entries a text is copied to the salts
+    of_left, of_right = [], []
     if inside:
-        ways.append((tight, one, probes))
+        of_left.append((tight(left_texts), one, True))
+        of_right.append((tight(right_texts), probes, False))
     if around:
-        ways.append((tight, probes, one))
+        of_left.append((tight(left_texts), probes, False))
+        of_right.append((tight(right_texts), one, True))
     if shared:
-        ways.append((plain, words, words))
-    parts = []
-    for texts, of_left, of_right in ways:
-        # only the side with fewer entries a text is copied to the salts; neither is broadcast, as Spark's estimates of
-        # their sizes leave out the entries that explode makes of a text
-        many = _entries(left, scope, left_ids, texts(left_texts), of_left), left_ids
-        few = _entries(right, scope, right_ids, texts(right_texts), of_right), right_ids
-        if of_left is one:
-            many, few = few, many
-        met = salted_join(many[0], few[0].hint("merge"), [*scope, "_entry"], F.xxhash64(*many[1]), salts)
-        parts.append(met.select(*scope, *left_ids, *right_ids))
-    return reduce(DataFrame.unionByName, parts).distinct()
+        of_left.append((plain(left_texts), words, False))
+        of_right.append((plain(right_texts), words, True))
+    # all ways in one join, so that the plan of a side stands in the result once; it is never broadcast, as Spark's
+    # estimates of the sides leave out the entries that explode makes of a text
+    a, b = _entries(left, scope, left_ids, of_left, salts), _entries(right, scope, right_ids, of_right, salts)
+    met = a.join(b.hint("merge"), [*scope, "_way", "_entry", "_salt"])
+    return met.select(*scope, *left_ids, *right_ids).distinct()

@@ -158,6 +158,15 @@ def test_entries_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_ways_share_one_join(spark):
+    """Each side stands once in the plan, whatever the number of ways: the driver plans and keeps it as often."""
+    a = spark.createDataFrame([("s", 1, "red")], "scope string, i long, n string").withColumn("n", F.concat("n", F.lit(" left side")))
+    b = spark.createDataFrame([("s", 2, "dark red widget")], "scope string, j long, nu string")
+    pairs = candidates(a, b, ["scope"], ["i"], ["j"], ["n"], ["nu"])
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("left side") <= 3 and [tuple(r) for r in pairs.collect()] == [("s", 1, 2)]
+
+
 def test_value_ids_of_repeated_labels(spark):
     values = [("k", 1, "Red 10"), ("k", 2, "red  10"), ("k", 3, "blue 20"), ("k", 3, "Blue 20"), ("k", 4, "green 30"), ("k", None, "grey 40")]
     want = spark.createDataFrame([("k", v) for v in ("red 10", "20", "blue", "green30", "10", "40", "none", "")] + [("l", "x")], "scope string, value string")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotelens.functions import jsonwalk
+from quotelens.functions.money import parse_price
 from quotelens.functions.text import match_score
 from quotelens.operators import prices as pr
 from quotelens.operators import requests as rq
@@ -206,3 +207,22 @@ def test_price_pool(spark):
     assert got == {1: ("https://x.com/p", 12.34, 5), 2: ("https://x.com/q", 77.0, 5), 4: ("https://x.com/z", 77.0, None), 5: ("https://x.com/p", 5.5, 3)}
     source = pr.trace_price_candidates(t.filter("run_id = 1"), ["run_id"]).collect()
     assert {r.source.split(":")[0] for r in source} == {"captured_trace_json_text"}
+
+
+def test_lines_and_neighbours_across_blocks(spark):
+    """Blocks of three positions, a gap in them, a null line and a further column: as looked up one by one."""
+    rows = [(u, i, None if (u, i) == (2, 5) else f"{u}-{i}", i % 2) for u in (1, 2) for i in range(1, 12) if (u, i) != (1, 7)]
+    lines = spark.createDataFrame(rows, "unit int, ord long, line string, odd int")
+    text = {(u, i): t for u, i, t, _ in rows}
+    want = {(u, i, t, " ".join(x for x in (text.get((u, i - 1)), t, text.get((u, i + 1))) if x), odd) for u, i, t, odd in rows if t}
+    assert {tuple(r) for r in pr.line_context(lines, ["unit"], "ord", "line", block=3).collect()} == want
+    plan = pr.line_context(lines, ["unit"], "ord", "line")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "Aggregate" not in plan
+
+
+def test_money_text_is_mentioned_once(spark):
+    """A step written into another one is evaluated for every mention of it."""
+    d = spark.createDataFrame([("1.234,56", 1234.56), ("1,234.56", 1234.56), ("1.234.567", None), ("12.345.6", 123456.0), ("-3", None), ("", None), (None, None), (" 7 ,5", 7.5)], "t string, v double")
+    got = d.select("v", parse_price(F.col("t")).alias("p"))
+    assert got._jdf.queryExecution().analyzed().toString().splitlines()[0].count("t#") == 1
+    assert all(r.v == r.p for r in got.collect())

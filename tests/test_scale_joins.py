@@ -185,6 +185,22 @@ def test_suggestions_fill_up_with_last_labels(spark):
     assert got == {"red": "delta red|zeta|gamma", "nothing": "zeta|gamma|delta red"}
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matches_plan_their_inputs_once(spark):
+    """Requests, options and texts stand in no further plan: the driver would plan and keep each copy."""
+    o = spark.createDataFrame([("s", 1, "g", 1, "red widget", "5")], "scope string, group_ord int, group_label string, option_ord int, visible_label string, visible_value string")
+    r = spark.createDataFrame([("s", "size", "red")], "scope string, key string, value string")
+    found = rs.match_catalog(r, o, "scope")
+    assert _plan(found).count("LogicalRDD [") > 2 and "visible_value" not in _plan(found) and [(x.match_status, x.matched_label) for x in found.collect()] == [("catalog_option", "red widget")]
+    vm = spark.createDataFrame([("a", "p", "format", "l", "7", "Red Widget", "confirmed")], "site string, property_id string, canonical_key string, source_label string, backend_id string, label string, confidence string")
+    w = spark.createDataFrame([("a", "format", "red")], "site string, canonical_key string, value string")
+    got = rs.resolve_values(w, vm, vm)
+    assert "Red" not in _plan(got) and _plan(got).count("label_") == 0 and _plan(got).count("source_label") <= 2 and [(x.status, x.backend_id) for x in got.collect()] == [("resolved", "7")]
+
+
 def trace(run, idx, url, body, kind="application/json"):
     return (run, idx, url, body, kind)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotelens.functions.jsonwalk import parse, walk
+from quotelens.functions.jsonwalk import leaves_of, parse
 from quotelens.functions.text import option_matches
 from quotelens.operators.prices import price_delta
 
@@ -15,31 +17,70 @@ NAME_KEYS = ["name", "property", "propertyname", "key", "label"]  # fixed values
 VALUE_KEYS = ["value", "id", "selected", "selectedid", "selectedvalue"]  # fixed values, in order of preference
 
 
-def accepted_options(responses: DataFrame, keys: list[str], body: str) -> DataFrame:
+_OBJECT = re.compile(r"\.?[^.\[\]]+$")
+FACTS = "array<struct<option_key:string,accepted_value:string,kind:string,_at:array<int>>>"
+
+
+def facts_of(text: str, only: frozenset[str] | None = None) -> list[tuple[str, str | None, str, list[int]]]:
+    """Name, value, kind and position of the facts of valid JSON text: pairs, property ids, then plain keys."""
+    direct, objects = [], {}
+    for leaf in leaves_of(text):
+        path = leaf["path"]
+        if not path or path.endswith("]"):
+            continue
+        key, value, at = leaf["leaf_key"], leaf["value"], leaf["ord"]
+        low = key.lower()
+        if only is None or low in only:
+            direct.append((key, value, "key", at))
+        # an object inside a list, or inside one of the configuration lists, is a row of facts
+        at_object = _OBJECT.sub("", path)
+        if at_object.endswith("]"):
+            o = objects.setdefault(at_object, {"at": at})
+            o["at"] = max(o["at"], at)
+            for what, ranked in (("name", NAME_KEYS), ("value", VALUE_KEYS)):
+                if low in ranked and ranked.index(low) <= o.get(what, (len(ranked),))[0]:
+                    o[what] = (ranked.index(low), value)
+            for word in ("propertyid", "value"):
+                if low == word and value is not None:
+                    o["=" + word] = max(o.get("=" + word, value), value)
+    out = []
+    for o in objects.values():
+        name, value = o.get("name", (0, None))[1], o.get("value", (0, None))[1]
+        if name is not None and value is not None:
+            out.append((name, value, "pair", o["at"]))
+        if "=propertyid" in o and "=value" in o:
+            out.append(("propertyId:" + o["=propertyid"], o["=value"], "property", o["at"]))
+    return [f for f in out if only is None or f[0].lower() in only] + direct
+
+
+def accepted_options(responses: DataFrame, keys: list[str], body: str, only: list[str] | None = None) -> DataFrame:
     """Name / value facts of a JSON response: objects with a name and a value, property ids, and plain keys.
 
-    Output: keys, option_key, accepted_value, kind (pair / property / key). The last occurrence wins.
+    Output: keys, option_key, accepted_value, kind (pair / property / key). The last occurrence wins. ``only``: the option
+    keys that the caller asks for, in lower case. A body is scanned once, and its facts leave the scan as one array.
     """
-    leaves = walk(responses.withColumn("_body_v", parse(F.col(body))), "_body_v", keys)
-    leaves = leaves.filter(F.col("path") != "").withColumn("_k", F.lower("leaf_key"))
-    plain = ~F.col("path").endswith("]")
-    leaves = leaves.withColumn("_at", F.col("ord"))
-    # an object inside a list, or inside one of the configuration lists, is a row of facts
-    inside = leaves.filter(plain).withColumn("_obj", F.regexp_replace("path", r"\.?[^.\[\]]+$", "")).filter(F.col("_obj").endswith("]"))
-    name_rank = F.array_position(F.array(*[F.lit(k) for k in NAME_KEYS]), F.col("_k"))
-    value_rank = F.array_position(F.array(*[F.lit(k) for k in VALUE_KEYS]), F.col("_k"))
-    rows = inside.groupBy(*keys, "_obj").agg(
-        F.min_by("value", F.when(name_rank > 0, name_rank)).alias("_name"), F.min_by("value", F.when(value_rank > 0, value_rank)).alias("_value"),
-        F.max(F.when(F.col("_k") == "propertyid", F.col("value"))).alias("_pid"), F.max(F.when(F.col("_k") == "value", F.col("value"))).alias("_pval"),
-        F.max("_at").alias("_at"),
-    )
-    pairs = rows.filter("_name is not null and _value is not null").select(*keys, F.col("_name").alias("option_key"), F.col("_value").alias("accepted_value"), F.lit("pair").alias("kind"), "_at")
-    props = rows.filter("_pid is not null and _pval is not null").select(
-        *keys, F.concat(F.lit("propertyId:"), F.col("_pid")).alias("option_key"), F.col("_pval").alias("accepted_value"), F.lit("property").alias("kind"), "_at"
-    )
-    direct = leaves.filter(plain).select(*keys, F.col("_k").alias("option_key"), F.col("value").alias("accepted_value"), F.lit("key").alias("kind"), "_at")
-    pool = pairs.unionByName(props).unionByName(direct)
-    last = pool.groupBy(*keys, "option_key").agg(F.max_by(F.struct("accepted_value", "kind"), F.col("_at")).alias("b"))
+    asked = None if only is None else frozenset(only)
+
+    def scan(texts):
+        ends, names, values, kinds, at_ends, at = [0], [], [], [], [0], []
+        for t in texts.to_pylist():
+            for name, value, kind, place in facts_of(t, asked) if t is not None else ():
+                names.append(name)
+                values.append(value)
+                kinds.append(kind)
+                at.extend(place)
+                at_ends.append(len(at))
+            ends.append(len(names))
+        places = pa.ListArray.from_arrays(pa.array(at_ends, pa.int32()), pa.array(at, pa.int32()))
+        each = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string()), pa.array(kinds, pa.string()), places], ["option_key", "accepted_value", "kind", "_at"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+
+    scan.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    bodies = responses.withColumn("_body_v", parse(F.col(body))).filter(F.col("_body_v").isNotNull())
+    # outer, see walk
+    facts = bodies.select(*keys, F.arrow_udf(scan, FACTS)(F.to_json("_body_v")).alias("_facts")).select(*keys, F.inline_outer("_facts")).filter("option_key is not null")
+    facts = facts.withColumn("option_key", F.when(F.col("kind") == "key", F.lower("option_key")).otherwise(F.col("option_key")))
+    last = facts.groupBy(*keys, "option_key").agg(F.max_by(F.struct("accepted_value", "kind"), F.col("_at")).alias("b"))
     return last.select(*keys, "option_key", "b.accepted_value", "b.kind")
 
 

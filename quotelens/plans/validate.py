@@ -23,7 +23,7 @@ def accepted_configuration(spark, sf_dir):
 def _compared(spark, sf_dir):
     """Requested options of the units whose trace reports a configuration, against that report."""
     t = view(spark, sf_dir, "traces")
-    accepted = va.accepted_options(t, ["trace_idx"], "response_body_preview").withColumnRenamed("trace_idx", "unit_no")
+    accepted = va.accepted_options(t, ["trace_idx"], "response_body_preview", only=["quantity", "format"]).withColumnRenamed("trace_idx", "unit_no")
     u = view(spark, sf_dir, "units")
     rows = F.explode(F.array(F.struct(F.lit("quantity").alias("key"), F.col("quantity").alias("value")), F.struct(F.lit("format").alias("key"), F.col("format").alias("value"))))
     requested = u.select("unit_no", rows.alias("o")).select("unit_no", "o.key", "o.value")

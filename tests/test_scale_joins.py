@@ -201,6 +201,25 @@ def test_matches_plan_their_inputs_once(spark):
     assert "Red" not in _plan(got) and _plan(got).count("label_") == 0 and _plan(got).count("source_label") <= 2 and [(x.status, x.backend_id) for x in got.collect()] == [("resolved", "7")]
 
 
+def test_facts_are_scanned_once(spark):
+    """One scan for pairs, property ids and plain keys; the plain rules over the leaves give the same facts."""
+    from quotelens.operators import validate as va
+
+    bodies = [*map(json.dumps, BODIES), '{"c":[{"Name":"Quantity","value":"50 St"},{"key":"k","name":null,"value":1},{"propertyid":9,"value":"rot","id":3},{"label":"L","id":{"a":1}}],"QUANTITY":7,"x.y":[{"name":"n","selected":true}]}', "no json"]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "id int, body string")
+    facts = va.accepted_options(rows, ["id"], "body")
+    leaves = jsonwalk.walk(rows.withColumn("v", jsonwalk.parse(F.col("body"))), "v", ["id"])
+    assert _plan(facts).count("ArrowEvalPython") == 1 and _plan(leaves).count("ArrowEvalPython") == 1
+    got = {(r.id, r.option_key): (r.accepted_value, r.kind) for r in facts.collect()}
+    n = len(BODIES)
+    assert {k[1]: v for k, v in got.items() if k[0] == n} == {
+        "Quantity": ("50 St", "pair"), "propertyId:9": ("rot", "property"), "n": ("true", "pair"), "name": ("n", "key"), "value": ("rot", "key"), "key": ("k", "key"),
+        "propertyid": ("9", "key"), "id": ("3", "key"), "label": ("L", "key"), "a": ("1", "key"), "quantity": ("7", "key"), "selected": ("true", "key"),
+    }
+    few = va.accepted_options(rows, ["id"], "body", only=["quantity", "n"])
+    assert {((r.id, r.option_key), (r.accepted_value, r.kind)) for r in few.collect()} == {x for x in got.items() if x[0][1].lower() in ("quantity", "n")}
+
+
 def trace(run, idx, url, body, kind="application/json"):
     return (run, idx, url, body, kind)
 

@@ -87,7 +87,7 @@ pr AS (SELECT a.run_id, a.url, b.url AS related_url, b.rank AS related_rank,
 rn AS (SELECT *, row_number() OVER (PARTITION BY run_id, url ORDER BY relation DESC, related_rank) AS relation_no FROM pr WHERE relation >= 0.35)
 SELECT run_id, url, related_url, relation_no, round(relation, 3) AS relation FROM rn WHERE relation_no <= 4"""))
 def related_endpoints(spark, sf_dir):
-    s = scored(spark, sf_dir)
+    s = ep.scored_once(scored(spark, sf_dir))
     rel = ep.related_endpoints(ep.rank_endpoints(s), ep.signatures(s))
     return rel.select("run_id", "url", "related_url", "relation_no", F.round("relation", 3).alias("relation"))
 
@@ -100,7 +100,7 @@ tr AS (SELECT *, row_number() OVER (PARTITION BY run_id, request_family ORDER BY
 tl AS (SELECT run_id, request_family, string_agg(t, ',' ORDER BY tn) AS dominant_signals FROM tr WHERE tn <= 8 GROUP BY ALL)
 SELECT sh.*, tl.dominant_signals FROM sh LEFT JOIN tl USING (run_id, request_family)"""))
 def family_clusters(spark, sf_dir):
-    s = scored(spark, sf_dir)
+    s = ep.scored_once(scored(spark, sf_dir))
     return ep.family_summary(ep.rank_endpoints(s), ep.signatures(s))
 
 

@@ -220,6 +220,20 @@ def test_facts_are_scanned_once(spark):
     assert {((r.id, r.option_key), (r.accepted_value, r.kind)) for r in few.collect()} == {x for x in got.items() if x[0][1].lower() in ("quantity", "n")}
 
 
+def test_traces_are_scored_once(spark):
+    """Rankings and relations read written evidence; the rules over texts stand in no plan that reads it."""
+    from quotelens.operators import endpoints as ep
+
+    rows = [(1, i, f"https://www.x.example.com/api/price/{i}", "POST", "xhr", 200, "application/json", '{"quantity":25,"format":"A5"}', '{"price":1.5,"total":2}') for i in range(3)]
+    traces = spark.createDataFrame(rows, "run_id long, trace_idx long, url string, method string, resource_type string, status int, response_content_type string, post_data string, response_body_preview string")
+    s = ep.scored_once(ep.score_traces(traces))
+    ranked = ep.rank_endpoints(ep.score_traces(traces))
+    related = ep.related_endpoints(ranked, ep.signatures(s))
+    for d in (s, ranked, related):
+        assert "LogicalRDD" not in _plan(d) and "regexp" not in _plan(d)
+    assert [(r.url[-1], r.rank) for r in ranked.orderBy("rank").collect()] == [("0", 1), ("1", 2), ("2", 3)] and related.count() == 6
+
+
 def trace(run, idx, url, body, kind="application/json"):
     return (run, idx, url, body, kind)
 

@@ -11,6 +11,7 @@ from quotelens.plans import checksql as ck
 from quotelens.plans.catalog import MT
 from quotelens.plans.evidence import table, view, with_views
 from quotelens.plans.registry import query
+from quotelens.session import cut_lineage
 
 
 def score_sql(a: str, b: str) -> str:
@@ -60,6 +61,13 @@ def _matches(spark, sf_dir):
     return rs.match_catalog(view(spark, sf_dir, "requests"), _options(spark, sf_dir), "snapshot_id")
 
 
+def _outcomes(spark, sf_dir, *columns):
+    """Every request with these columns of its match. Matches are written first: one row per distinct request, which a filter on
+    the requests would otherwise carry into the plan of the matches, and a second use would repeat."""
+    m = cut_lineage(_matches(spark, sf_dir).select("snapshot_id", "key", "value", *columns))
+    return view(spark, sf_dir, "requests").select("unit_no", "snapshot_id", "key", "value").join(m.hint("merge"), ["snapshot_id", "key", "value"])
+
+
 @query("catalog_option_matches", with_views(["requests", "catalog_options"], f"WITH {CATALOG_CTE} SELECT * FROM mt"))
 def catalog_option_matches(spark, sf_dir):
     return _matches(spark, sf_dir)
@@ -67,9 +75,7 @@ def catalog_option_matches(spark, sf_dir):
 
 @query("unit_option_outcomes", with_views(["requests", "catalog_options"], f"WITH {CATALOG_CTE} SELECT r.unit_no, r.key, r.value, m.match_status, m.group_label, m.matched_label FROM requests r JOIN mt m USING (snapshot_id, key, value)"))
 def unit_option_outcomes(spark, sf_dir):
-    m = _matches(spark, sf_dir).select("snapshot_id", "key", "value", "match_status", "group_label", "matched_label")
-    r = view(spark, sf_dir, "requests").select("unit_no", "snapshot_id", "key", "value")
-    return r.join(m.hint("merge"), ["snapshot_id", "key", "value"]).drop("snapshot_id")
+    return _outcomes(spark, sf_dir, "match_status", "group_label", "matched_label").drop("snapshot_id")
 
 
 @query("option_suggestions", with_views(["requests", "catalog_options"], f"""WITH {CATALOG_CTE},
@@ -86,8 +92,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, valid ORDER BY unit
 SELECT snapshot_id, count(*) FILTER (WHERE valid) AS matched_count, count(*) FILTER (WHERE NOT valid) AS unmatched_count, bool_and(valid) AS valid,
   string_agg(key || '=' || value, ';' ORDER BY rn) FILTER (WHERE NOT valid AND rn <= 12) AS unmatched FROM n GROUP BY snapshot_id"""))
 def prevalidation_summary(spark, sf_dir):
-    m = _matches(spark, sf_dir).select("snapshot_id", "key", "value", (F.col("match_status") == "catalog_option").alias("valid"))
-    rows = view(spark, sf_dir, "requests").select("unit_no", "snapshot_id", "key", "value").join(m.hint("merge"), ["snapshot_id", "key", "value"])
+    rows = _outcomes(spark, sf_dir, (F.col("match_status") == "catalog_option").alias("valid"))
     return rs.prevalidation_summary(rows, ["snapshot_id"], [F.asc("unit_no")])
 
 

@@ -8,7 +8,7 @@ from quotelens.operators import knowledge as kn
 from quotelens.operators import validate as va
 from quotelens.plans.evidence import table, view, with_views
 from quotelens.plans.registry import query
-from quotelens.plans.resolve import CATALOG_CTE, _matches
+from quotelens.plans.resolve import CATALOG_CTE, _outcomes
 
 
 @query("accepted_configuration", with_views(["traces"], """
@@ -107,8 +107,7 @@ def synthesis_issue_summary(spark, sf_dir):
 SELECT unit_no, 'failed' AS final_status, false AS validated, 'prevalidation_failed' AS strategy, 'prevalidation_failed' AS extraction_reason, 0 AS attempts, 1 AS option_unmatched_count,
  'required_options_unmatched key=' || key || ' requested=' || value || ' reason=' || match_status AS mismatches FROM requests JOIN mt USING (snapshot_id, key, value) WHERE match_status <> 'catalog_option'"""))
 def prevalidation_failures(spark, sf_dir):
-    m = _matches(spark, sf_dir).select("snapshot_id", "key", "value", "match_status", (F.col("match_status") == "catalog_option").alias("valid"))
-    rows = view(spark, sf_dir, "requests").join(m.hint("merge"), ["snapshot_id", "key", "value"])
+    rows = _outcomes(spark, sf_dir, "match_status", (F.col("match_status") == "catalog_option").alias("valid"))
     return va.prevalidation_failures(rows, ["unit_no"])
 
 

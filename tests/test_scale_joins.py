@@ -275,3 +275,13 @@ def test_money_text_is_mentioned_once(spark):
     got = d.select("v", parse_price(F.col("t")).alias("p"))
     assert got._jdf.queryExecution().analyzed().toString().splitlines()[0].count("t#") == 1
     assert all(r.v == r.p for r in got.collect())
+
+
+@pytest.mark.parametrize("name", ["prevalidation_failures", "prevalidation_summary", "unit_option_outcomes"])
+def test_outcomes_read_written_matches(spark, name):
+    """The matches stand in no plan that reads them: a filter would be carried into it, and a second use repeat it."""
+    import __spark_entry__ as entry
+
+    out = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "group_score" not in plan and plan.count("Relation [") == plan.count("LogicalRDD")

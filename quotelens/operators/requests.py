@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotelens.functions.text import decode_template
+from quotelens.functions.text import bound, decode_template
 from quotelens.functions.urls import encode_pairs, form_pairs, netloc, path, replace_pair, scheme
 from quotelens.operators.skew import best_row, salted_join
 
@@ -345,21 +345,26 @@ def updated_setlink(link: Column, group_code: Column, option_code: Column) -> Co
 def interpolated_quantity(pairs: Column, field: Column, typed: Column) -> Column:
     """Form pairs with a free quantity: the tile field becomes 'Interpolation', the typed value goes to the first
     ``input_qty_1`` after it, or to a new one right behind it. Forms without the tile field stay as they are."""
-    keys = F.transform(pairs, lambda p: p["key"])
-    at = F.array_position(keys, field)
-    after = F.array_position(F.slice(keys, at + 1, F.greatest(F.size(keys), F.lit(1))), "input_qty_1")
-    target = F.when(after > 0, at + after).otherwise(F.lit(0))
-    edited = F.transform(
-        pairs,
-        lambda p, i: F.struct(
-            p["key"].alias("key"),
-            F.when(i + 1 == at, F.lit("Interpolation")).when(i + 1 == target, typed).otherwise(p["value"]).alias("value"),
-        ),
-    )
-    typed_pair = F.array(F.struct(F.lit("input_qty_1").alias("key"), typed.alias("value")))
-    size = F.greatest(F.size(edited), F.lit(1))
-    inserted = F.concat(F.slice(edited, 1, F.greatest(at, F.lit(1)).cast("int")), typed_pair, F.slice(edited, (at + 1).cast("int"), size))
-    return F.when(at == 0, pairs).when(target > 0, edited).otherwise(inserted)
+    def placed(pairs: Column, spot: Column) -> Column:
+        at, target = spot["at"], spot["target"]
+        edited = F.transform(
+            pairs,
+            lambda p, i: F.struct(
+                p["key"].alias("key"),
+                F.when(i + 1 == at, F.lit("Interpolation")).when(i + 1 == target, typed).otherwise(p["value"]).alias("value"),
+            ),
+        )
+        typed_pair = F.array(F.struct(F.lit("input_qty_1").alias("key"), typed.alias("value")))
+        inserted = lambda e: F.concat(F.slice(e, 1, F.greatest(at, F.lit(1)).cast("int")), typed_pair, F.slice(e, (at + 1).cast("int"), F.greatest(F.size(e), F.lit(1))))
+        return F.when(at == 0, pairs).when(target > 0, edited).otherwise(bound(edited, inserted))
+
+    def spot(keys: Column, at: Column) -> Column:
+        after = F.array_position(F.slice(keys, at + 1, F.greatest(F.size(keys), F.lit(1))), "input_qty_1")
+        return bound(after, lambda n: F.struct(at.alias("at"), F.when(n > 0, at + n).otherwise(F.lit(0)).alias("target")))
+
+    # each step is bound: the form is read once, and its places are not looked up again for every pair
+    place = lambda keys: bound(F.array_position(keys, field), lambda at: spot(keys, at))
+    return bound(pairs, lambda own: bound(bound(F.transform(own, lambda p: p["key"]), place), lambda at: placed(own, at)))
 
 
 def form_requests(units: DataFrame) -> DataFrame:

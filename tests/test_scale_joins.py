@@ -285,3 +285,27 @@ def test_outcomes_read_written_matches(spark, name):
     out = entry.queries()[name](spark, "/root/testdata/sf0.001")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in plan and "group_score" not in plan and plan.count("Relation [") == plan.count("LogicalRDD")
+
+
+def plain_interpolation(pairs, field, typed):
+    keys = [k for k, _ in pairs]
+    if field not in keys:
+        return pairs
+    at = keys.index(field)
+    out = [(k, "Interpolation" if i == at else v) for i, (k, v) in enumerate(pairs)]
+    if "input_qty_1" in keys[at + 1:]:
+        spot = keys.index("input_qty_1", at + 1)
+        return [(k, typed if i == spot else v) for i, (k, v) in enumerate(out)]
+    return [*out[:at + 1], ("input_qty_1", typed), *out[at + 1:]]
+
+
+def test_interpolation_reads_a_form_once(spark):
+    from quotelens.functions.urls import encode_pairs, form_pairs
+
+    rng = random.Random(5)
+    forms = [[(rng.choice(["a", "q", "input_qty_1", "x"]), str(rng.randint(0, 9))) for _ in range(rng.randint(0, 6))] for _ in range(200)]
+    text = lambda pairs: "&".join(f"{k}={v}" for k, v in pairs)
+    rows = spark.createDataFrame([(i, text(f)) for i, f in enumerate(forms)], "id int, body string")
+    out = rows.select("id", encode_pairs(rq.interpolated_quantity(form_pairs(F.col("body")), F.lit("q"), F.lit("77"))).alias("body"))
+    assert {r.id: r.body for r in out.collect()} == {i: text(plain_interpolation(f, "q", "77")) for i, f in enumerate(forms)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

@@ -114,9 +114,10 @@ def injection_audit(inputs: DataFrame, rules: DataFrame, keys: list[str]) -> Dat
     """One row per (unit, rule) whose input is present: applied value or the reason it was skipped.
 
     ``inputs``: keys, adapter_id, input_key, raw_value. ``rules``: adapter_id, rule_no, input_key, path, cast_to,
-    value_map (MAP or null), require_mapped.
+    value_map (MAP or null), require_mapped. Rules are declared, a few per adapter, and go to every task: all units of an
+    adapter have the same few keys, so a shuffle by them would put a share of all inputs into one task.
     """
-    d = inputs.join(rules.filter("input_key <> '' and path <> ''"), ["adapter_id", "input_key"])
+    d = inputs.join(F.broadcast(rules.filter("input_key <> '' and path <> ''")), ["adapter_id", "input_key"])
     m, raw = F.col("value_map"), F.col("raw_value")
     mapped = F.coalesce(F.element_at(m, raw), F.element_at(m, F.trim(raw)), F.element_at(m, F.lower(F.trim(raw))))
     d = d.withColumn("_mapped", mapped)

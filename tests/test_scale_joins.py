@@ -309,3 +309,19 @@ def test_interpolation_reads_a_form_once(spark):
     out = rows.select("id", encode_pairs(rq.interpolated_quantity(form_pairs(F.col("body")), F.lit("q"), F.lit("77"))).alias("body"))
     assert {r.id: r.body for r in out.collect()} == {i: text(plain_interpolation(f, "q", "77")) for i, f in enumerate(forms)}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_rules_do_not_gather_inputs(spark):
+    """All inputs have the same few keys; a shuffle by them would put a share of all rows into one task."""
+    inputs = spark.range(3000).selectExpr("id AS unit_no", "'a' AS adapter_id", "CASE id % 3 WHEN 0 THEN 'k' WHEN 1 THEN 'l' ELSE 'none' END AS input_key", "CAST(id AS STRING) AS raw_value")
+    rules = spark.createDataFrame([("a", 1, "k", "x", "int", None, False), ("a", 2, "l", "y", "", None, False), ("b", 3, "k", "x", "", None, False)],
+                                  "adapter_id string, rule_no int, input_key string, path string, cast_to string, value_map map<string,string>, require_mapped boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large inputs, of which no side looks small
+    try:
+        out = rq.injection_audit(inputs, rules, ["unit_no"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {(i, 1 + i % 3, str(i) if i % 3 == 0 else f'"{i}"') for i in range(3000) if i % 3 < 2}
+    assert {(r.unit_no, r.rule_no, r.value_json) for r in out.collect()} == want
+    assert "hashpartitioning" not in plan

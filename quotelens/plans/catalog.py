@@ -208,24 +208,16 @@ def form_field_map(spark, sf_dir):
 @query("enriched_catalog_fields", None)
 def enriched_catalog_fields(spark, sf_dir):
     """Catalog options with form field name and code; brute-force checked on a fixture."""
-    o = view(spark, sf_dir, "catalog_options").select(
-        "snapshot_id", F.dense_rank().over(_by("snapshot_id", "group_label")).alias("group_ord"), F.col("option_no").alias("option_ord"),
-        "visible_label", "visible_value", F.col("group_label").alias("source_label"),
+    o = ct.with_group_order(view(spark, sf_dir, "catalog_options"), ["snapshot_id"], "group_label").select(
+        "snapshot_id", "group_ord", F.col("option_no").alias("option_ord"), "visible_label", "visible_value", F.col("group_label").alias("source_label"),
     )
-    posts = view(spark, sf_dir, "form_posts")
-    latest = posts.groupBy("snapshot_id").agg(F.max_by("post_data", "post_no").alias("post_data"))
+    latest = ct.newest_rows(view(spark, sf_dir, "form_posts"), ["snapshot_id"], "post_no")
     fields = ct.form_fields(latest, ["snapshot_id"])
     v = ct.option_inputs(view(spark, sf_dir, "option_html"), ["snapshot_id", "part_no"], F.col("html"))
     v = ct.distinct_variants(v, ["snapshot_id"], [F.col("part_no"), F.col("tag_no")])
     return ct.enrich_with_form_fields(o, fields, v.withColumn("tag_no", F.col("part_no")), "snapshot_id")
 
 
-def _by(part, order):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(part).orderBy(order)
-
-
 # ---- backend ids ------------------------------------------------------------------------------------------------------------
 
 DETAIL_JSON = """'{"prop_details":[{"box_name":"quantity","box_name_title":"Auflage","prop_id":' || CAST(o_orderkey AS STRING) || ',"prop_translated":"' || CAST(25 * (1 + o_orderkey % 12) AS STRING) || ' Stück","prop_name":"q"},{"box_name":"format","prop_id":"7","prop_name":"A5"},{"box_name":"","prop_id":"8"}]}'"""

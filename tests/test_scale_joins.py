@@ -325,3 +325,26 @@ def test_rules_do_not_gather_inputs(spark):
     want = {(i, 1 + i % 3, str(i) if i % 3 == 0 else f'"{i}"') for i in range(3000) if i % 3 < 2}
     assert {(r.unit_no, r.rule_no, r.value_json) for r in out.collect()} == want
     assert "hashpartitioning" not in plan
+
+
+def test_group_order_and_newest_rows(spark):
+    """The same as a rank over all options and the largest row of a key, without sorting either."""
+    from pyspark.sql import Window
+
+    from quotelens.operators import catalog as ct
+
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(rng.choice(["s", "t", None]), rng.choice(["b", "a", "c", None]), i, f"text {i}") for i in range(300)], "s string, label string, no int, body string")
+    want = rows.withColumn("group_ord", F.dense_rank().over(Window.partitionBy("s").orderBy("label")))
+    assert sorted(map(str, ct.with_group_order(rows, ["s"], "label").select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    newest = ct.newest_rows(rows, ["s"], "no")
+    best = rows.groupBy("s").agg(F.max_by("body", "no").alias("body"))
+    assert {(r.s, r.body) for r in newest.collect()} == {(r.s, r.body) for r in best.collect()}
+
+
+def test_enriched_catalog_broadcasts_no_options(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["enriched_catalog_fields"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "dense_rank" not in plan and "max_by(post_data" not in plan
+    assert all("LeftSemi" in line for line in plan.splitlines() if "BroadcastHashJoin" in line)

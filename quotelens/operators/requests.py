@@ -228,10 +228,10 @@ def open_adapter_hits(urls: DataFrame, adapters: DataFrame) -> DataFrame:
     counted = grams.join(probes.groupBy("_gram").agg(F.count(F.lit(1)).alias("_urls")), "_gram")
     # a triple that no url has rules its adapter out
     rare = counted.distinct().groupBy(*named).agg(F.min_by("_gram", F.struct("_urls", "_gram")).alias("_gram"), F.count(F.lit(1)).alias("_some")).filter("_some = _all").drop("_some", "_all")
-    met = salted_join(probes, rare, ["_gram"], F.xxhash64("url")).filter(F.contains(F.lower("url"), F.col("_lit")) & F.rlike(F.col("url"), F.col("url_regex")))
+    met = salted_join(probes, rare, ["_gram"], F.xxhash64("url"), merge=False).filter(F.contains(F.lower("url"), F.col("_lit")) & F.rlike(F.col("url"), F.col("url_regex")))
     loose = filed.filter(F.coalesce(F.char_length("_lit"), F.lit(0)) < GRAM).select("adapter_no", "adapter_id", "url_regex").withColumn("_all", F.lit(True))
-    tried = salted_join(urls.select("url").withColumn("_all", F.lit(True)), loose, ["_all"], F.xxhash64("url")).filter(F.rlike(F.col("url"), F.col("url_regex")))
-    first = salted_join(urls.select("url").withColumn("_all", F.lit(True)), always.withColumn("_all", F.lit(True)), ["_all"], F.xxhash64("url"))
+    tried = salted_join(urls.select("url").withColumn("_all", F.lit(True)), loose, ["_all"], F.xxhash64("url"), merge=False).filter(F.rlike(F.col("url"), F.col("url_regex")))
+    first = salted_join(urls.select("url").withColumn("_all", F.lit(True)), always.withColumn("_all", F.lit(True)), ["_all"], F.xxhash64("url"), merge=False)
     return reduce(DataFrame.unionByName, (x.select("url", "adapter_no", "adapter_id") for x in (met, tried, first)))
 
 
@@ -245,7 +245,7 @@ def match_adapters(targets: DataFrame, adapters: DataFrame, keys: list[str]) ->
     a = adapters.withColumn("_domains", F.filter(F.transform(F.coalesce("domains", F.array().cast("array<string>")), lambda x: F.regexp_replace(F.lower(F.trim(x)), r"^www\.", "")), lambda x: x != ""))
     hosted = a.filter(F.size("_domains") > 0).select("adapter_no", "adapter_id", "url_regex", F.explode("_domains").alias("_host")).distinct()
     urls = d.filter("_host <> ''").groupBy("url", "_host").agg(F.count(F.lit(1)).alias("_uses"))
-    own = salted_join(urls, hosted, ["_host"], F.xxhash64("url"))
+    own = salted_join(urls, hosted, ["_host"], F.xxhash64("url"), merge=False)
     fits = (F.coalesce("url_regex", F.lit("")) == "") | F.rlike(F.col("url"), F.col("url_regex"))
     by_host = own.groupBy("url").agg(F.min(F.when(fits, F.struct("adapter_no", "adapter_id"))).alias("_h"), F.lit(True).alias("_tried"))
     opened = a.filter(F.size("_domains") == 0).select("adapter_no", "adapter_id", "url_regex")

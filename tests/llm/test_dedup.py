@@ -229,3 +229,19 @@ def test_long_texts_are_read_in_stretches(spark, monkeypatch):
     got = substring_dedup.drop_repeated_words(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.left) for r in got) == plain_words(rows, 10)
     assert isinstance(pa.array(index[0][0]), pa.Int64Array)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("earlier", [True, False])
+def test_repeats_are_not_broadcast(spark, earlier):
+    """Spark's estimate of copies made by explode is that of the rows before it: even small tables are merged."""
+    rows = [(d, d, core, whole, 0, 3) for d, (core, whole) in enumerate([(1, 1), (1, 1), (1, 2), (2, 5), (2, 5), (3, 9)])]
+    found, _ = windows._repeated(spark.createDataFrame(rows, "doc_id long, text_hash int, core long, whole long, first int, last int"), earlier)
+    assert "SortMergeJoin" in plan_of(found) and "Broadcast" not in plan_of(found)
+    got = {r.doc_id: [(x.sure, x.open) for x in r.runs] for r in found.collect()}
+    # of cores with several classes the first document of each goes on; core 2 has one class
+    want = {0: (not earlier, True), 1: (True, False), 2: (False, True), 3: (not earlier, False), 4: (True, False)}
+    assert got == {d: [w] for d, w in want.items() if any(w)}

@@ -230,3 +230,15 @@ def test_inferred_rules(spark):
     named = spark.createDataFrame([(1, "menge", 2)], "run_id int, name string, property_pos int")
     got = {r.input_key: (r.path, r.value_map) for r in rp.inject_rules(m, vm, named).collect()}
     assert got == {"quantity": ("properties[2].id", None), "format": ("fmt", {"A5": "7"})}
+
+
+def test_template_mutations_are_not_capped(spark):
+    from quotelens.operators import reports
+
+    items = ",".join(f'{{"quantity": {i}}}' for i in range(20))
+    form = "&".join(f"quantity{i}=1" for i in range(18))
+    rows = [(1, 1, "json", f'{{"rows": [{items}]}}'), (1, 2, "form", form)]
+    got = reports.template_mutations(spark.createDataFrame(rows, "run_id int, rank int, url string, post_data string")).collect()
+    by_url = {u: sorted((r.mutation_no, r.path) for r in got if r.url == u and r.option_key == "quantity") for u in ("json", "form")}
+    assert [p for _, p in by_url["form"]] == [f"quantity{i}" for i in range(18)] and [n for n, _ in by_url["form"]] == list(range(1, 19))
+    assert {f"rows[{i}].quantity" for i in range(20)} <= {p for _, p in by_url["json"]}

@@ -59,8 +59,11 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1, once: bool = False) -> np.ndarray:
     """The words of the fingerprint; the first from XXH64 with the seed, the others from mixtures of that hash. With once, repeated shingles count once."""
     hashes = shingle_hashes(text, shingle)
-    if once:
-        hashes = np.unique(hashes)
+    return fingerprint_of(np.unique(hashes) if once else hashes, words)
+
+
+def fingerprint_of(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The words of the fingerprint of shingle hashes."""
     out = np.zeros(words, np.uint64)
     for k in range(words if len(hashes) else 0):
         own = hashes if not k else mixed(hashes + np.uint64(k))
@@ -287,9 +290,13 @@ def forests(rows: DataFrame, by: list[str], near: int, distance: int, words: int
 
 def links(distinct: DataFrame, scheme: list[tuple[list[int], int]], near: int, distance: int, words: int, group: int) -> DataFrame:
     """a, b: nodes of edges that connect all fingerprints within the distances of each other, directly or through others."""
+    return met_under(filed(distinct, scheme, words), large_keys(distinct, scheme, group), near, distance, words, group)
+
+
+def met_under(keys: DataFrame, crowded: DataFrame, near: int, distance: int, words: int, group: int) -> DataFrame:
+    """a, b: nodes of edges that connect what links connect under each key (part, key, fp0 ...); crowded: part, key, n of keys with more than group rows."""
     names = columns_of(words)
-    keys = filed(distinct, scheme, words)
-    large = kept(large_keys(distinct, scheme, group).select("part", "key", F.ceil(2 * F.col("n") / group).cast("int").alias("blocks")))
+    large = kept(crowded.select("part", "key", F.ceil(2 * F.col("n") / group).cast("int").alias("blocks")))
     if not large.take(1):
         return forests(keys, ["part", "key"], near, distance, words)
     small = forests(keys.join(large, ["part", "key"], "left_anti"), ["part", "key"], near, distance, words)

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from quotelens.functions import jsonwalk, money, text, urls
+from quotelens.functions import jsonwalk, money, text, urls, vocab
 from quotelens.operators import catalog as ct
 from quotelens.operators import gates, knowledge, planning
 from quotelens.operators import prices as pr
@@ -232,6 +232,24 @@ def test_inferred_rules(spark):
     assert got == {"quantity": ("properties[2].id", None), "format": ("fmt", {"A5": "7"})}
 
 
+def test_weights_of_sources_are_those_of_the_columns(spark):
+    words = [*vocab.PATH_BONUS_VALUE, *vocab.PATH_BONUS_TOTAL, *vocab.PATH_MALUS_PART, *vocab.PATH_MALUS_EXTRA, *vocab.GROUP_SHIPPING, *vocab.GROUP_TOTAL, *vocab.GROUP_COMPONENT]
+    sources = [None, "", "derived_vat:19.00%:x", "Selected_Config:value:A", *words, *(f"json:{a}.{b.upper()}" for a in words for b in words[::7])]
+    d = spark.createDataFrame([(s,) for s in sources], "source string").withColumn("w", pr.source_weights(F.col("source")))
+    grp = pr.candidate_group(F.col("source"))
+    rows = d.select("source", "w", F.coalesce(pr.path_bonus(F.col("source")), F.lit(0)), grp, pr.group_priority(grp)).collect()
+    assert len(rows) == len(sources) and all(tuple(r[1]) == tuple(r)[2:] for r in rows)
+
+
+def test_first_dom_stages_are_merged(spark):
+    """Written tables are small on disk and large in memory: the driver would hold the first stages of all runs."""
+    dom = spark.createDataFrame([(1, 1, 5.0), (1, 0, 7.0), (1, 0, 6.0), (2, 2, 4.0), (3, 0, -1.0)], "run_id int, stage int, value double")
+    others = spark.createDataFrame([(1, 9.0, 12, "selected_config:total"), (3, 8.0, 12, "selected_config:total")], "run_id int, value double, score int, source string")
+    out = pr.prices_from_dom(dom, others, ["run_id"])
+    assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.run_id, r.replay, r.lowest, r.price) for r in out.collect()) == [(1, "browser_dom_post_interaction", 6.0, 9.0), (2, "browser_dom", 4.0, 4.0)]
+
+
 def test_template_mutations_are_not_capped(spark):
     from quotelens.operators import reports
 

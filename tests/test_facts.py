@@ -260,3 +260,17 @@ def test_template_mutations_are_not_capped(spark):
     by_url = {u: sorted((r.mutation_no, r.path) for r in got if r.url == u and r.option_key == "quantity") for u in ("json", "form")}
     assert [p for _, p in by_url["form"]] == [f"quantity{i}" for i in range(18)] and [n for n, _ in by_url["form"]] == list(range(1, 19))
     assert {f"rows[{i}].quantity" for i in range(20)} <= {p for _, p in by_url["json"]}
+
+
+def test_only_pages_of_the_units_are_mined(spark, monkeypatch):
+    from quotelens.plans import prices as plans
+    from quotelens.plans.evidence import view
+
+    sf_dir, seen = "/root/testdata/sf0.001", []
+    plain = pr.prices_from_dom
+    monkeypatch.setattr(pr, "prices_from_dom", lambda dom, others, keys, *rest: seen.extend([dom, others]) or plain(dom, others, keys, *rest))
+    plans.extraction_tiers(spark, sf_dir)
+    units = {r.run_id for r in view(spark, sf_dir, "units").select("run_id").distinct().collect()}
+    pages = {r.run_id for r in view(spark, sf_dir, "price_lines").select("run_id").distinct().collect()}
+    assert not pages <= units and len(seen) == 2
+    assert all({r.run_id for r in d.select("run_id").distinct().collect()} <= units for d in seen)

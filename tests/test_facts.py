@@ -274,3 +274,10 @@ def test_only_pages_of_the_units_are_mined(spark, monkeypatch):
     pages = {r.run_id for r in view(spark, sf_dir, "price_lines").select("run_id").distinct().collect()}
     assert not pages <= units and len(seen) == 2
     assert all({r.run_id for r in d.select("run_id").distinct().collect()} <= units for d in seen)
+
+
+def test_run_prices_scores_traces_once(spark):
+    from quotelens.plans import prices as plans
+
+    plan = plans.run_prices(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "cdn.example.com/gtm" not in plan  # traces stand in written tables only
